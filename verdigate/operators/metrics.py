@@ -39,6 +39,7 @@ def profile_metrics(
     memberships: Mapping[str, Column],
     groups: Sequence[str] = ("rule",),
     tail: bool = True,
+    direct_rule: str | None = None,
 ) -> DataFrame:
     """Coverage, routes, harm, laundering, utility and tail per group and profile.
 
@@ -82,29 +83,34 @@ def profile_metrics(
     )
     if not tail:
         return out
-    return out.join(tail_adjustment(ruled, memberships, groups), [*groups, "profile"])
+    tails = tail_adjustment(ruled, memberships, groups, direct_rule)
+    return out.join(tails, [*groups, "profile"])
 
 
 def tail_adjustment(
-    ruled: DataFrame, memberships: Mapping[str, Column], groups: Sequence[str] = ("rule",)
+    ruled: DataFrame, memberships: Mapping[str, Column], groups: Sequence[str] = ("rule",),
+    direct_rule: str | None = None,
 ) -> DataFrame:
-    """Fifth percentile of selected utility minus that of full utility."""
+    """Fifth percentile of selected utility minus that of full utility.
+
+    A rule that executes everything selects the full utility, so naming one as
+    `direct_rule` saves the second quantile pass.
+    """
     groups = list(groups)
     names = F.filter(
         F.array(*[F.when(is_true(t), F.lit(n)) for n, t in memberships.items()]),
         lambda n: n.isNotNull(),
     )
     profiled = ruled.withColumn("profile", F.explode(names))
-    q = wide_quantiles(profiled, [*groups, "profile"], "selected_utility", {"selected": 0.05})
-    # Full utility does not depend on the rule, so one rule's rows stand for all.
-    others = [g for g in groups if g != "rule"]
-    one_rule = profiled
-    if "rule" in groups:
-        any_rule = profiled.select("rule").first()
-        one_rule = profiled.filter(F.col("rule") == (any_rule[0] if any_rule else ""))
-    base = wide_quantiles(one_rule, [*others, "profile"], "full_utility", {"full": 0.05})
-    return q.join(base, [*others, "profile"]).select(
-        *groups, "profile", (F.col("selected") - F.col("full")).alias("tla")
+    keys = [*groups, "profile"]
+    selected = wide_quantiles(profiled, keys, "selected_utility", {"selected": 0.05})
+    if direct_rule is not None:
+        others = Window.partitionBy(*[k for k in keys if k != "rule"])
+        base = F.max(F.when(F.col("rule") == direct_rule, F.col("selected"))).over(others)
+        return selected.select(*keys, (F.col("selected") - base).alias("tla"))
+    full = wide_quantiles(profiled, keys, "full_utility", {"full": 0.05})
+    return selected.join(full, keys).select(
+        *keys, (F.col("selected") - F.col("full")).alias("tla")
     )
 
 

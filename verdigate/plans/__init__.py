@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("coverage",)
+MODULES = ("coverage", "provenance", "tasks")
 _LATER = (
     "coverage", "provenance", "tasks", "structure", "inference", "ranks", "timeseries",
     "markets", "calibration", "texts", "learning", "pipelines", "scans",

@@ -173,13 +173,17 @@ def decision_outcome_totals(spark, directory):
 @query(
     "PRJ3_economic_labels",
     f"""WITH {DECISION_SQL}
-    SELECT row_id, full_utility, reduced_utility, full_utility < 0 AS harm_label,
-      least(full_utility, 0.0e0) AS tail_loss FROM v""",
+    SELECT source_role, opportunity_slice, sum(full_utility) AS full_utility,
+      sum(reduced_utility) AS reduced_utility, count(*) FILTER (WHERE full_utility < 0) AS harms,
+      sum(least(full_utility, 0.0e0)) AS tail_loss FROM v GROUP BY 1, 2""",
     ("full_utility", "reduced_utility", "tail_loss"),
 )
-def economic_label_rows(spark, directory):
-    return decision_view(spark, directory).select(
-        "row_id", "full_utility", "reduced_utility", "harm_label", "tail_loss"
+def economic_label_totals(spark, directory):
+    return decision_view(spark, directory).groupBy("source_role", "opportunity_slice").agg(
+        F.sum("full_utility").alias("full_utility"),
+        F.sum("reduced_utility").alias("reduced_utility"),
+        F.count_if("harm_label").alias("harms"),
+        F.sum("tail_loss").alias("tail_loss"),
     )
 
 
@@ -219,7 +223,8 @@ A1_SQL = f"{WITH_D}, {S.PROFILED} {S.profile_metrics()}"
 @query("A1_profile_metrics", A1_SQL, (*S.PROFILE_DOUBLES, "tla"))
 def core_profile_metrics(spark, directory):
     return metrics.profile_metrics(
-        core_decisions(spark, directory), labels.certification_profiles()
+        core_decisions(spark, directory), labels.certification_profiles(),
+        direct_rule="Direct Prior",
     )
 
 
