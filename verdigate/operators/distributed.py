@@ -57,16 +57,34 @@ def global_position(
     )
 
 
+def position_in_group(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "position"
+) -> DataFrame:
+    """Zero-based position inside each group and the group size, without sorting a
+    whole group in one task: a global position less the first one of the group."""
+    placed = global_position(df, [*groups, *order], "_global")
+    firsts = placed.groupBy(*groups).agg(
+        F.min("_global").alias("_first"), F.count("*").alias("group_size")
+    )
+    return (
+        placed.join(firsts, list(groups))
+        .withColumn(name, F.col("_global") - F.col("_first"))
+        .drop("_global", "_first")
+    )
+
+
 def hash_position(
-    df: DataFrame, key: str, groups: Sequence[str] = (), name: str = "position"
+    df: DataFrame, key: str, groups: Sequence[str] = (), name: str = "position",
+    digest: Column | None = None,
 ) -> DataFrame:
-    """Zero-based position by md5 of a unique key inside each group.
+    """Zero-based position by md5 (or another hex digest) of a unique key per group.
 
     The first three hex digits form 4,096 even ranges, so neither a large group
     nor a frequent key prefix can crowd a task.
     """
     groups = list(groups)
-    keyed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn(
+    hashed = F.md5(F.col(key).cast("string")) if digest is None else digest
+    keyed = df.withColumn("_h", hashed).withColumn(
         "_range", F.substring("_h", 1, 3)
     )
     inside = Window.partitionBy(*groups, "_range").orderBy("_h", key)
