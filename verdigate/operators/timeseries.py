@@ -71,13 +71,27 @@ def asof_join(
     last = q.groupBy(*by, "_slice").agg(
         F.max_by("_q", F.struct("_t", "_order")).alias("_end")
     )
-    asked = p.select(*by, "_slice").distinct()
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        last.join(asked, [*by, "_slice"], "full_outer")
-        .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
-        .select(*by, "_slice", "_before")
-    )
+    along = Window.partitionBy(*by).orderBy("_slice")
+    if max_age_seconds is not None:
+        # A quote reaches at most `reach` slices further, so each slice summary is
+        # copied to the slices up to the next one and the probes are read once.
+        reach = int(-(-max_age_seconds // slice_seconds)) or 1
+        until = F.least(
+            F.coalesce(F.lead("_slice").over(along), F.col("_slice") + reach),
+            F.col("_slice") + reach,
+        )
+        carry = last.withColumn("_until", until).select(
+            *by, F.explode(F.sequence(F.col("_slice") + 1, F.col("_until"))).alias("_slice"),
+            F.col("_end").alias("_before"),
+        )
+    else:
+        asked = p.select(*by, "_slice").distinct()
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        carry = (
+            last.join(asked, [*by, "_slice"], "full_outer")
+            .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
+            .select(*by, "_slice", "_before")
+        )
     found = F.coalesce("_hit", "_before")
     joined = inside.join(carry, [*by, "_slice"], "left").select("_p", found.alias("_f"))
     age = F.abs(micros(F.col(f"_p.{probe_time}")) - F.col("_f._us")) / F.lit(float(EPOCH_MICROS))
@@ -145,33 +159,41 @@ def bar_window(
     (key, time) and a probe never meets more than `steps` bars.
     """
     offsets = F.sequence(F.lit(0), F.lit(steps - 1))
-    wanted = probes.select(*by, probe_id, start.alias("_s"), F.explode(offsets).alias("_i")).select(
-        *by, probe_id, "_i",
-        from_micros(micros(F.col("_s")) + F.col("_i").cast("bigint") * (step_seconds * EPOCH_MICROS)).alias("open_time"),
-    )
-    met = wanted.join(
-        bars.withColumn("open_time", F.col("open_time").cast("timestamp")), [*by, "open_time"]
-    )
-    along = Window.partitionBy(probe_id).orderBy("_i")
-    good = (F.least("open", "high", "low", "close") > 0)
-    returns = met.withColumns(
-        {
-            "_r": F.when(
-                (F.col("close") > 0) & (F.lag("close").over(along) > 0),
-                F.ln(F.col("close") / F.lag("close").over(along)),
-            ),
-            "_ok": good,
-        }
+    # The probe travels on its first step only, so it is read and shuffled once.
+    whole = F.struct(*[F.col(c) for c in probes.columns])
+    wanted = probes.select(
+        *by, probe_id, start.alias("_s"), whole.alias("_w"), F.explode(offsets).alias("_i")
+    ).select(
+        *by, probe_id, "_i", F.when(F.col("_i") == 0, F.col("_w")).alias("_p"),
+        from_micros(
+            micros(F.col("_s")) + F.col("_i").cast("bigint") * (step_seconds * EPOCH_MICROS)
+        ).alias("open_time"),
+    )
+    prices = ("open", "high", "low", "close")
+    right = bars.select(*by, F.col("open_time").cast("timestamp").alias("open_time"), *prices)
+    met = wanted.join(right, [*by, "open_time"], "left")
+    earlier = Window.partitionBy(probe_id).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("close", ignorenulls=True).over(earlier)
+    returns = met.withColumn("_before", before).withColumn(
+        "_r",
+        F.when((F.col("close") > 0) & (F.col("_before") > 0), F.ln(F.col("close") / F.col("_before"))),
     )
     scale = float(horizon if horizon is not None else steps - 1) ** 0.5 * 10000.0
+    found = F.col("close").isNotNull()
     stats = returns.groupBy(probe_id).agg(
-        F.count("*").alias(f"{prefix}bars"),
-        F.coalesce(F.bool_and("_ok"), F.lit(False)).alias(f"{prefix}positive"),
+        F.first("_p", ignorenulls=True).alias("_p"),
+        F.nullif(F.count_if(found), F.lit(0)).alias(f"{prefix}bars"),
+        F.coalesce(
+            F.bool_and(F.when(found, F.least(*prices) > 0)), F.lit(False)
+        ).alias(f"{prefix}positive"),
         F.min("low").alias(f"{prefix}min_price"),
         F.max("high").alias(f"{prefix}max_price"),
-        F.coalesce(F.stddev_samp("_r") * F.lit(scale), F.lit(0.0)).alias(f"{prefix}volatility_bps"),
+        F.when(
+            F.count_if(found) > 0, F.coalesce(F.stddev_samp("_r") * F.lit(scale), F.lit(0.0))
+        ).alias(f"{prefix}volatility_bps"),
     )
-    return probes.join(stats, probe_id, "left").withColumn(
+    measured = [c for c in stats.columns if c not in (probe_id, "_p")]
+    return stats.select("_p.*", *measured).withColumn(
         f"{prefix}complete",
         F.coalesce((F.col(f"{prefix}bars") == steps) & F.col(f"{prefix}positive"), F.lit(False)),
     )

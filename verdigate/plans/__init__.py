@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("coverage", "provenance", "tasks", "inference", "ranks", "structure")
+MODULES = ("coverage", "provenance", "tasks", "inference", "ranks", "structure", "timeseries", "markets")
 _LATER = (
     "coverage", "provenance", "tasks", "structure", "inference", "ranks", "timeseries",
     "markets", "calibration", "texts", "learning", "pipelines", "scans",
