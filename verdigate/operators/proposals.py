@@ -22,18 +22,27 @@ PAYLOAD_SCHEMA = f"proposals ARRAY<STRUCT<{RECORD_SCHEMA.replace(' STRING', ': S
 ACTION_MAP = {"long": 1, "short": -1, "increase_limit": 1, "abstain": 0}
 
 
-def proposal_records(payloads: DataFrame, batch: str, payload: str) -> DataFrame:
-    """Records of each payload in their given order; malformed JSON has none."""
+def proposal_records(
+    payloads: DataFrame, batch: str, payload: str, sequence: str | None = None
+) -> DataFrame:
+    """Records of each payload in their given order; malformed JSON has none.
+
+    A batch may arrive in several payloads; `sequence` then orders them.
+    """
+    part = F.lit(0) if sequence is None else F.col(sequence)
     parsed = F.from_json(F.col(payload), PAYLOAD_SCHEMA)
     readable = F.get_json_object(F.col(payload), "$").isNotNull()
-    return payloads.select(
-        batch, readable.alias("readable"), F.posexplode_outer(parsed["proposals"]).alias("pos", "r")
-    ).select(batch, "readable", "pos", "r.*")
+    records = payloads.select(
+        batch, part.alias("_part"), readable.alias("readable"),
+        F.posexplode_outer(parsed["proposals"]).alias("_pos", "r"),
+    )
+    place = F.when(F.col("_pos").isNotNull(), F.struct("_part", "_pos"))
+    return records.select(batch, "readable", place.alias("pos"), "r.*")
 
 
 def validate_proposals(
     payloads: DataFrame, contexts: DataFrame, batch: str = "batch_id", payload: str = "payload",
-    max_rationale: int = 500, fields: Sequence[str] = PROMPT_FIELDS,
+    max_rationale: int = 500, fields: Sequence[str] = PROMPT_FIELDS, sequence: str | None = None,
 ) -> DataFrame:
     """One row per expected context: the first matching record if it is valid,
     otherwise an abstaining placeholder with the reason.
@@ -41,7 +50,7 @@ def validate_proposals(
     The first record per context is a `min_by` on its position, which combines
     map-side when one context is answered very often.
     """
-    records = proposal_records(payloads, batch, payload)
+    records = proposal_records(payloads, batch, payload, sequence)
     numbered = records.filter(F.col("context_id").isNotNull())
     whole = F.struct(*[c for c in numbered.columns if c not in (batch, "context_id")])
     first = numbered.groupBy(batch, "context_id").agg(

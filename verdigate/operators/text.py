@@ -139,7 +139,7 @@ def seed_numbers(df: DataFrame, text: str) -> DataFrame:
     found = F.flatten(
         F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in SEED_PATTERNS])
     )
-    return df.select(F.explode(found).cast("bigint").alias("seed")).distinct()
+    return df.select(F.explode(found).alias("s")).select(F.col("s").cast("bigint").alias("seed")).distinct()
 
 
 BITS = 64

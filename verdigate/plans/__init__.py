@@ -2,8 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("coverage", "provenance", "tasks", "inference", "ranks", "structure", "timeseries", "markets", "calibration", "texts")
-_LATER = (
+MODULES = (
     "coverage", "provenance", "tasks", "structure", "inference", "ranks", "timeseries",
     "markets", "calibration", "texts", "learning", "pipelines", "scans",
 )

@@ -333,8 +333,7 @@ def opportunity_by_slice(spark, directory):
     return metrics.opportunity_by_slice(df, ["decision_timestamp", "row_id"])
 
 
-COLLAPSE_SQL = f"""{WITH_D}, {S.PROFILED},
-m AS ({S.profile_metrics(tail=False)}),
+COLLAPSE_CTES = f"""m AS ({S.profile_metrics(tail=False)}),
 cc AS (
   SELECT rule, max(coverage) FILTER (WHERE profile = 'ordinary') AS o,
     max(coverage) FILTER (WHERE profile = 'stress') AS s FROM m GROUP BY rule),
@@ -346,6 +345,7 @@ collapse2 AS (
       WHEN abs(stress_coverage_ratio - 1.0e0) <= 1e-8 + 1e-5 THEN 'UNIFORM'
       WHEN stress_coverage_ratio < 1 THEN 'COLLAPSE' ELSE 'EXPANSION' END AS coverage_relation
   FROM collapse)"""
+COLLAPSE_SQL = f"{WITH_D}, {S.PROFILED}, {COLLAPSE_CTES}"
 
 
 @query(
