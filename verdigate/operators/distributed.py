@@ -137,6 +137,8 @@ def grouped_quantiles(
     wanted = F.array(
         *[F.struct(F.lit(k).alias("quantile"), F.lit(float(q)).alias("q")) for k, q in probs.items()]
     )
+    # A group no larger than the sketch is kept whole.
+    big = F.col("_n") > accuracy
     edges: list[float] = []
     for q in probs.values():
         edges += [max(0.0, q - margin), min(1.0, q + margin)]
@@ -152,17 +154,17 @@ def grouped_quantiles(
             F.col("_w.quantile").alias("quantile"),
             "_n",
             ((F.col("_n") - 1) * F.col("_w.q")).alias("_h"),
-            F.element_at("_edges", F.col("_i") * 2 + 1).alias("_lo"),
-            F.element_at("_edges", F.col("_i") * 2 + 2).alias("_hi"),
+            F.when(big, F.element_at("_edges", F.col("_i") * 2 + 1)).alias("_lo"),
+            F.when(big, F.element_at("_edges", F.col("_i") * 2 + 2)).alias("_hi"),
         )
     )
     brackets = broadcast_if_small(materialize(brackets))
     kept = (
         rows.join(brackets, group)
-        .filter(F.col("_v") <= F.col("_hi"))
+        .filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
         .groupBy(
             *group, "quantile", "_n", "_h",
-            F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"),
+            F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v"),
         )
         .agg(F.count("*").alias("_c"))
     )

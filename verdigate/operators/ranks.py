@@ -183,7 +183,7 @@ def exact_permutation(
         *groups, "n_rules", "valid", "reason",
         F.col("spearman_rho").alias("observed_spearman_rho"),
         F.coalesce("permutations", F.lit(0)).alias("permutations"),
-        (F.col("_extreme") / F.col("permutations")).alias("exact_p_value"),
+        F.try_divide("_extreme", "permutations").alias("exact_p_value"),
     )
 
 

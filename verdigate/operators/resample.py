@@ -110,7 +110,10 @@ def _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_lengt
         placed = hash_position(base, key, group)
     placed = placed.drop(key)
     n_rows = sum(s["n"] for s in sizes)
-    side = F.broadcast(placed) if n_rows * (len(values) + 2) <= 4_000_000 else placed
+    # A build side of known, modest size is broadcast; a larger one is hashed per
+    # partition, which spares sorting the draws.
+    small = n_rows * (len(values) + 2) <= 4_000_000
+    side = F.broadcast(placed) if small else placed.hint("shuffle_hash")
     return (
         draws.join(side, [*group, "position"])
         .groupBy(*group, "replicate", "clusters")
