@@ -2,8 +2,8 @@
 then drawn with replacement, n out of n, for every replicate.
 
 Two ways give the same multinomial resampling.  `draws` writes the draw as a SQL
-expression of (seed, replicate, slot), which any SQL engine can repeat, and costs
-replicates x clusters rows in a shuffle.  `blocks` splits the clusters into blocks,
+expression of (seed, replicate, slot), which any SQL engine can repeat, and shuffles
+replicates x clusters pairs of integers.  `blocks` splits the clusters into blocks,
 draws the block totals from a multinomial and the members inside each task, and
 shuffles only one row per block and replicate.  `auto` takes `draws` while the
 draw table is small.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigate.functions.columns import mix32
+from verdigate.functions.columns import with_mix32
 from verdigate.operators.distributed import (
     broadcast_if_small, global_position, hash_position, materialize,
 )
@@ -27,10 +27,14 @@ from verdigate.operators.distributed import (
 DRAW_LIMIT = 200_000_000
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 4096
+RUN = 1024
 
 
-def draw_hash(seed: int, replicate: Column, slot: Column) -> Column:
-    return mix32(mix32(slot + 1).bitwiseXOR(mix32(replicate + seed)))
+def with_draw_hash(df: DataFrame, seed: int) -> DataFrame:
+    """Add `_u`, the 32-bit draw of (seed, replicate, _slot)."""
+    df = with_mix32(df, F.col("_slot") + 1, "_a")
+    df = with_mix32(df, F.col("replicate") + seed, "_b")
+    return with_mix32(df, F.col("_a").bitwiseXOR(F.col("_b")), "_u").drop("_a", "_b")
 
 
 def resampled_sums(
@@ -81,8 +85,8 @@ def _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_lengt
         blocks = -(-n // length)
         ids = spark.range(0, replicates * blocks)
         r, slot = F.expr(f"id div {blocks}"), F.col("id") % blocks
-        start = ids.select(
-            r.alias("replicate"), slot.alias("_slot"), draw_hash(seed, r, slot).alias("_u")
+        start = with_draw_hash(
+            ids.select(r.alias("replicate"), slot.alias("_slot")), seed
         ).withColumn("_start", F.col("_u") % n)
         if length == 1:
             drawn = start.select("replicate", F.col("_start").alias("position"))
@@ -96,7 +100,7 @@ def _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_lengt
         tables.append(
             drawn.select(
                 *[F.lit(s[g]).cast(fields[g]).alias(g) for g in group],
-                "replicate", "position", F.lit(n).cast("bigint").alias("clusters"),
+                "replicate", "position",
             )
         )
     draws = tables[0]
@@ -108,17 +112,47 @@ def _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_lengt
             raise ValueError("moving blocks take no strata")
     else:
         placed = hash_position(base, key, group)
-    placed = placed.drop(key)
-    n_rows = sum(s["n"] for s in sizes)
-    # A build side of known, modest size is broadcast; a larger one is hashed per
-    # partition, which spares sorting the draws.
-    small = n_rows * (len(values) + 2) <= 4_000_000
-    side = F.broadcast(placed) if small else placed.hint("shuffle_hash")
-    return (
-        draws.join(side, [*group, "position"])
-        .groupBy(*group, "replicate", "clusters")
-        .agg(*[F.sum(v).alias(v) for v in values])
+    # Draws and clusters meet in runs of positions.  A run is a small matrix product,
+    # so neither side is copied once per draw and no group grows with the data.
+    run = F.floor(F.col("position") / RUN).cast("bigint")
+    names, k = list(values), len(values)
+    sides = [
+        draws.select(
+            *group, run.alias("_run"), F.col("replicate").cast("int").alias("replicate"),
+            (F.col("position") % RUN).cast("int").alias("_i"),
+        ),
+        placed.select(*group, run.alias("_run"), (F.col("position") % RUN).cast("int").alias("_i"), *names),
+    ]
+
+    def multiply(keys: tuple, drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.zeros((RUN, k))
+        matrix[rows["_i"].to_numpy()] = rows[names].to_numpy(dtype=float)
+        cell = drawn["replicate"].to_numpy(dtype=np.int64) * RUN + drawn["_i"].to_numpy()
+        weight = np.bincount(cell, minlength=replicates * RUN).reshape(replicates, RUN)
+        frame = pd.DataFrame(weight @ matrix, columns=names)
+        frame.insert(0, "replicate", np.arange(replicates, dtype=np.int64))
+        for g, v in zip(reversed(group), reversed(keys[:-1])):
+            frame.insert(0, g, v)
+        return frame
+
+    schema = T.StructType(
+        [T.StructField(g, fields[g]) for g in group]
+        + [T.StructField("replicate", T.LongType())]
+        + [T.StructField(v, T.DoubleType()) for v in names]
     )
+    left, right = (side.groupBy(*group, "_run") for side in sides)
+    sums = (
+        left.cogroup(right).applyInPandas(multiply, schema)
+        .groupBy(*group, "replicate")
+        .agg(*[F.sum(v).alias(v) for v in names])
+    )
+    count = F.lit(None).cast("bigint")
+    for s in sizes:
+        mine = F.lit(True)
+        for g in group:
+            mine = mine & F.col(g).eqNullSafe(F.lit(s[g]).cast(fields[g]))
+        count = F.when(mine, F.lit(s["n"]).cast("bigint")).otherwise(count)
+    return sums.select(*group, "replicate", count.alias("clusters"), *names)
 
 
 def _sums_by_block(base, group, key, values, replicates, seed, sizes) -> DataFrame:

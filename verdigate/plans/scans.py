@@ -5,13 +5,13 @@ back through the library reader and summarises it."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigate.operators.distributed import shared_folder
 from verdigate.plans.proxies import DECISION_SQL, decision_view
 from verdigate.plans.registry import query
 from verdigate.sources import ingest, sinks
@@ -19,8 +19,7 @@ from verdigate.sources import ingest, sinks
 
 def scratch(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, which every executor can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigate-")
-    return f"{base.rstrip('/')}/scan-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
 
 
 EVENT_SCHEMA = T.StructType(
