@@ -10,14 +10,17 @@ from verdigate.operators import certify, labels, metrics, ranks, resample, rules
 from verdigate.operators import structure as X
 from verdigate.operators.distributed import materialize, rank_min
 from verdigate.operators.text import jensen_shannon_drift
-from verdigate.plans.calibration import selection
-from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, core_decisions
+from verdigate.plans import sql_rules as S
+from verdigate.plans.calibration import FOLD_SQL, selection
+from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, WITH_D, core_decisions
 from verdigate.plans.inference import (
-    CORE_NAMES, MEASURES, PAIR, REPLICATES, SEED, SURFACE_SQL, core_bounds,
+    CORE_NAMES, MEASURES, PAIR, REPLICATES, SEED, SURFACE_SQL, core_bounds, draws_sql,
 )
 from verdigate.plans.markets import replay
-from verdigate.plans.proxies import decision_view, provenance_view
-from verdigate.plans.provenance import provenance_decisions
+from verdigate.plans.provenance import (
+    LAUNDERING_DOUBLES, LAUNDERING_FIELDS, WITH_L, provenance_decisions,
+)
+from verdigate.plans.proxies import DECISION_SQL, PROVENANCE_SQL, decision_view, provenance_view
 from verdigate.plans.registry import query
 from verdigate.plans.structure import even_test_clusters
 from verdigate.plans.tasks import task_decisions
@@ -68,7 +71,30 @@ def one_profile_bounds(ruled: DataFrame, names: list[str], replicates: int = REP
     return resample.cluster_bootstrap_bounds(sums, names, replicates, SEED)
 
 
-@query("PL2_provenance_audit")
+PL2_FIELDS = (*LAUNDERING_DOUBLES, "coverage_lcb95", "far_ucb95", "alr_ucb95")
+
+
+@query(
+    "PL2_provenance_audit",
+    f"""{WITH_L}, cs AS (
+      SELECT rule, event_cluster_id, count(*) AS rows, count(*) FILTER (WHERE authorized) AS au,
+        count(*) FILTER (WHERE selected_harm) AS ha, count(*) FILTER (WHERE selected_laundering) AS la
+      FROM l GROUP BY 1, 2),
+    cl AS (SELECT event_cluster_id, row_number() OVER (
+        ORDER BY md5(CAST(event_cluster_id AS VARCHAR)), event_cluster_id) - 1 AS position
+      FROM (SELECT DISTINCT event_cluster_id FROM cs)),
+    sz AS (SELECT 0 AS g, count(*) AS n FROM cl), {draws_sql("sz", "g")},
+    w AS (SELECT n, replicate, position, count(*) AS w FROM draws GROUP BY 1, 2, 3),
+    bs AS (SELECT rule, n, replicate, sum(w * rows) * 1.0e0 AS r, sum(w * au) * 1.0e0 AS au,
+        sum(w * ha) * 1.0e0 AS ha, sum(w * la) * 1.0e0 AS la
+      FROM w JOIN cl USING (position) JOIN cs USING (event_cluster_id) GROUP BY 1, 2, 3),
+    b AS (SELECT rule, n AS clusters, quantile_cont(au / r, 0.05) AS coverage_lcb95,
+        quantile_cont(CASE WHEN au > 0 THEN ha / au END, 0.95) AS far_ucb95,
+        quantile_cont(CASE WHEN au > 0 THEN la / au END, 0.95) AS alr_ucb95 FROM bs GROUP BY 1, 2),
+    lm AS (SELECT rule, {LAUNDERING_FIELDS} FROM l GROUP BY rule)
+    SELECT * FROM lm JOIN b USING (rule)""",
+    PL2_FIELDS,
+)
 def provenance_audit(spark, directory):
     """Laundering metrics and bootstrap bounds per provenance rule."""
     d = provenance_decisions(spark, directory)
@@ -156,7 +182,39 @@ def baseline_governance(spark, directory):
     )
 
 
-@query("PL6_PL22_validation_to_test_stability")
+def _rho_sql(source: str, keys: str) -> str:
+    """Spearman of x and y over complete rows of `source`, per key."""
+    return f"""rk AS (
+      SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x)
+          + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0e0 AS rx,
+        rank() OVER (PARTITION BY {keys} ORDER BY y)
+          + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2.0e0 AS ry
+      FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL),
+    rho AS (
+      SELECT {keys}, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN corr(rx, ry) END
+          AS spearman_rho,
+        CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN 'defined'
+          ELSE 'constant_rank' END AS status
+      FROM rk GROUP BY {keys})"""
+
+
+SPLIT_METRICS = f"""{WITH_D}, sm AS (
+  SELECT rule, split, avg(CAST(authorized AS DOUBLE)) AS coverage,
+    avg(CASE WHEN authorized THEN CAST(selected_harm AS DOUBLE) END) AS far,
+    avg(CASE WHEN authorized THEN CAST(selected_laundering AS DOUBLE) END) AS alr,
+    coalesce(sum(selected_utility) FILTER (WHERE authorized), 0.0e0) AS cau
+  FROM d WHERE certification_eligible GROUP BY 1, 2)"""
+
+
+@query(
+    "PL6_PL22_validation_to_test_stability",
+    f"""{SPLIT_METRICS}, xy AS ({" UNION ALL ".join(
+        f"SELECT '{m}' AS metric, rule, max({m}) FILTER (WHERE split = 'validation') AS x, "
+        f"max({m}) FILTER (WHERE split = 'test') AS y FROM sm GROUP BY 2"
+        for m in ("far", "cau", "coverage"))}), {_rho_sql("xy", "metric")}
+    SELECT * FROM rho""",
+    ("spearman_rho",),
+)
 def validation_to_test_stability(spark, directory):
     """Rank agreement of harm and utility between the validation and test splits."""
     m = metrics.profile_metrics(
@@ -209,7 +267,26 @@ def order_book_families(spark, directory):
     return ranks.holm(tests.withColumn("name", F.concat_ws(":", "prior_family", "metric")))
 
 
-@query("PL12_two_track_evaluation")
+@query(
+    "PL12_two_track_evaluation",
+    f"""WITH {FOLD_SQL.replace("td0 AS", "cd0 AS").replace("FROM td0", "FROM cd0").replace(
+        "td1 AS", "cd1 AS").replace("FROM td1", "FROM cd1").replace("td AS (", "cd AS (").replace(
+        "FROM td GROUP", "FROM cd GROUP")}, {S.task_outcomes(S.TWO_TASK)},
+    tp AS (SELECT *, 'overall' AS profile FROM td UNION ALL SELECT *, task_id FROM td),
+    zm AS ({S.task_metrics("tp", "rule, profile")}),
+    zs AS (SELECT zm.*, coalesce(calibration_valid, TRUE) AS ok,
+        coalesce(calibration_status, 'FIXED_FORM_NOT_RECALIBRATED') AS st FROM zm LEFT JOIN sel USING (rule))
+    SELECT *, TRUE AS calibration_valid, 'ZERO_SHOT' AS calibration_status,
+      CAST(NULL AS VARCHAR) AS structural_n_a_reason, 'zero_shot' AS track FROM zm
+    UNION ALL BY NAME
+    SELECT rule, profile, rows, {", ".join(
+        f"CASE WHEN ok THEN {c} END AS {c}" for c in (
+            "clusters", *S.TASK_DOUBLES, "authorized_count", "directional_authorized_count",
+            "risk_authorized_count", "benign_opportunity_count"))},
+      ok AS calibration_valid, st AS calibration_status,
+      CASE WHEN NOT ok THEN st END AS structural_n_a_reason, 'recalibrated' AS track FROM zs""",
+    S.TASK_DOUBLES,
+)
 def two_track_evaluation(spark, directory):
     """Zero-shot metrics next to recalibrated ones, N/A where calibration failed."""
     profiled = labels.explode_profiles(task_decisions(spark, directory), labels.task_profiles())
@@ -233,7 +310,27 @@ def memory_drift(spark, directory):
     )
 
 
-@query("PL16_review_workload_layers")
+def _load_sql(cte: str, layer: str) -> str:
+    return (
+        f"SELECT '{layer}' AS layer, rule, avg(CAST(decision = 'review' AS DOUBLE)) AS review_rate, "
+        f"count(*) AS n FROM {cte} GROUP BY 2"
+    )
+
+
+PROV_ROUTES = f"SELECT rule, decision FROM ({S.ruled(S.PROVENANCE, 'p')})"
+
+
+@query(
+    "PL16_review_workload_layers",
+    f"""WITH {PROVENANCE_SQL}, {S.outcomes(S.CORE, 'v')}, pd AS ({PROV_ROUTES}),
+    w AS ({_load_sql("d", "controlled")} UNION ALL {_load_sql("pd", "provenance")}),
+    g AS (SELECT unnest([0.05e0, 0.1e0, 0.2e0, 0.4e0]) AS capacity_fraction)
+    SELECT layer, rule, review_rate, capacity_fraction,
+      greatest(review_rate - capacity_fraction, 0.0e0) AS excess_review_fraction,
+      CAST(ceil(greatest(review_rate - capacity_fraction, 0.0e0) * n) AS BIGINT) AS queue_rows
+    FROM w, g""",
+    ("review_rate", "capacity_fraction", "excess_review_fraction"),
+)
 def review_workload_layers(spark, directory):
     """Review load of the controlled and the provenance layer."""
     core = metrics.review_workload(core_decisions(spark, directory), ["rule"])
@@ -258,7 +355,23 @@ def certification_robustness(spark, directory):
     return policies.join(certify.hypervolume(bounds), "rule").join(frontier, "rule")
 
 
-@query("PL19_scale_stability")
+_DELTA = ("coverage", "far", "alr", "cau")
+
+
+@query(
+    "PL19_scale_stability",
+    f"""{SPLIT_METRICS}, wm AS (
+      SELECT rule, avg(CAST(authorized AS DOUBLE)) AS coverage,
+        avg(CASE WHEN authorized THEN CAST(selected_harm AS DOUBLE) END) AS far,
+        avg(CASE WHEN authorized THEN CAST(selected_laundering AS DOUBLE) END) AS alr,
+        coalesce(sum(selected_utility) FILTER (WHERE authorized), 0.0e0) AS cau
+      FROM d WHERE certification_eligible GROUP BY 1),
+    j AS (SELECT a.rule, {", ".join(f"a.{m} AS {m}_left, b.{m} AS {m}_right, b.{m} - a.{m} AS {m}_delta" for m in _DELTA)}
+      FROM sm a JOIN wm b ON a.rule = b.rule WHERE a.split = 'train'),
+    xy AS (SELECT 1 AS g, far_left AS x, far_right AS y FROM j), {_rho_sql("xy", "g")}
+    SELECT j.*, spearman_rho, status FROM j, rho""",
+    tuple(f"{m}_{s}" for m in _DELTA for s in ("left", "right", "delta")) + ("spearman_rho",),
+)
 def scale_stability(spark, directory):
     """Rule metrics of the training part against all rows: deltas and rank agreement."""
     d = core_decisions(spark, directory)
@@ -271,7 +384,18 @@ def scale_stability(spark, directory):
     return deltas.withColumn("_k", F.lit(1)).join(rho.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-@query("PL20_test_partition")
+@query(
+    "PL20_test_partition",
+    f"""WITH {DECISION_SQL}, c AS (SELECT DISTINCT event_cluster_id AS id FROM v WHERE split = 'test'),
+    e AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM c)
+      WHERE r <= n - n % 2),
+    k AS (SELECT *, row_number() OVER (ORDER BY sha256('decision-audit|' || id)) AS rn,
+      count(*) OVER () AS n FROM e)
+    SELECT CASE WHEN split <> 'test' THEN split WHEN rn <= n / 2 THEN 'paper_test'
+        ELSE 'community_hidden' END AS destination, count(*) AS rows,
+      count(DISTINCT event_cluster_id) AS clusters
+    FROM v LEFT JOIN k ON event_cluster_id = id WHERE split <> 'test' OR id IS NOT NULL GROUP BY 1""",
+)
 def test_partition(spark, directory):
     """Test clusters of two layers must agree, then they are halved and routed."""
     core, prov = decision_view(spark, directory), provenance_view(spark, directory)
