@@ -14,7 +14,7 @@ from verdigate.plans import sql_rules as S
 from verdigate.plans.calibration import FOLD_SQL, selection
 from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, WITH_D, core_decisions
 from verdigate.plans.inference import (
-    CORE_NAMES, MEASURES, PAIR, REPLICATES, SEED, SURFACE_SQL, core_bounds, draws_sql,
+    CORE_NAMES, MEASURES, PAIR, POLICY_SQL, REPLICATES, SEED, SURFACE_SQL, core_bounds, draws_sql,
 )
 from verdigate.plans.markets import replay
 from verdigate.plans.provenance import (
@@ -24,7 +24,7 @@ from verdigate.plans.proxies import DECISION_SQL, PROVENANCE_SQL, decision_view,
 from verdigate.plans.registry import query
 from verdigate.plans.structure import even_test_clusters
 from verdigate.plans.tasks import task_decisions
-from verdigate.plans.texts import signals
+from verdigate.plans.texts import TEXT_SQL, signals
 from verdigate.plans.timeseries import prior_rows
 
 
@@ -300,7 +300,30 @@ def two_track_evaluation(spark, directory):
     )
 
 
-@query("PL13_memory_drift")
+@query(
+    "PL13_memory_drift",
+    f"""WITH {TEXT_SQL}, b AS (
+      SELECT model_id, task_id, min(calendar_quarter) AS first_period, max(calendar_quarter) AS last_period
+      FROM ps GROUP BY 1, 2 HAVING min(calendar_quarter) <> max(calendar_quarter)),
+    e AS (SELECT *, calendar_quarter = first_period AS f, calendar_quarter = last_period AS l
+      FROM ps JOIN b USING (model_id, task_id)),
+    a AS (SELECT model_id, task_id, action, count(*) FILTER (WHERE f) AS nf, count(*) FILTER (WHERE l) AS nl
+      FROM e WHERE f OR l GROUP BY 1, 2, 3),
+    q AS (SELECT *, nf * 1.0e0 / sum(nf) OVER w AS p, nl * 1.0e0 / sum(nl) OVER w AS r FROM a
+      WINDOW w AS (PARTITION BY model_id, task_id)),
+    js AS (SELECT model_id, task_id, CAST(sum(nf) AS BIGINT) AS first_proposals,
+        CAST(sum(nl) AS BIGINT) AS last_proposals,
+        0.5e0 * sum(CASE WHEN p > 0 THEN p * log2(p / (0.5e0 * (p + r))) ELSE 0 END)
+        + 0.5e0 * sum(CASE WHEN r > 0 THEN r * log2(r / (0.5e0 * (p + r))) ELSE 0 END)
+          AS action_distribution_jensen_shannon_bits FROM q GROUP BY 1, 2),
+    sh AS (SELECT model_id, task_id, {", ".join(
+        f"avg({c}) FILTER (WHERE l) - avg({c}) FILTER (WHERE f) AS {n}_difference_last_minus_first"
+        for n, c in (("active", "CAST(active AS DOUBLE)"), ("confidence", "confidence"),
+                     ("uncertainty", "uncertainty")))} FROM e GROUP BY 1, 2)
+    SELECT * FROM b JOIN js USING (model_id, task_id) JOIN sh USING (model_id, task_id)""",
+    ("action_distribution_jensen_shannon_bits", "active_difference_last_minus_first",
+     "confidence_difference_last_minus_first", "uncertainty_difference_last_minus_first"),
+)
 def memory_drift(spark, directory):
     """First against last quarter per model and task."""
     s = signals(spark, directory).withColumn("active", F.col("active_proposal").cast("double"))
@@ -343,7 +366,26 @@ def review_workload_layers(spark, directory):
     )
 
 
-@query("PL17_certification_robustness")
+@query(
+    "PL17_certification_robustness",
+    f"""{POLICY_SQL}, hv AS (
+      SELECT rule, profile, coalesce(least(greatest(1.0e0 - far_ucb95, 0), 1)
+        * least(greatest((0.25e0 - alr_ucb95) / 0.25e0, 0), 1)
+        * least(greatest(coverage_lcb95, 0), 1), 0.0e0) AS hv FROM bounds),
+    h AS (SELECT rule, max(hv) FILTER (WHERE profile = 'overall') AS overall,
+        max(hv) FILTER (WHERE profile = 'stress') AS stress,
+        min(hv) FILTER (WHERE profile <> 'ordinary') AS worst_profile_hypervolume FROM hv GROUP BY 1),
+    pm AS (SELECT * FROM ({S.profile_metrics(tail=False)}) WHERE profile = 'overall'),
+    ef AS (SELECT a.rule, a.far IS NOT NULL AND a.alr IS NOT NULL AND NOT EXISTS (
+        SELECT 1 FROM pm b WHERE b.rule <> a.rule AND b.coverage >= a.coverage AND b.far <= a.far
+          AND b.alr <= a.alr AND b.moc <= a.moc AND (b.coverage > a.coverage OR b.far < a.far
+          OR b.alr < a.alr OR b.moc < a.moc)) AS pareto_efficient FROM pm a),
+    po AS (SELECT rule, avg(worst_profile_volume) AS mean_volume, min(worst_profile_volume) AS min_volume,
+        max(worst_profile_volume) AS max_volume, min(rank) AS min_rank, max(rank) AS max_rank,
+        max(rank) - min(rank) AS rank_range FROM pv GROUP BY 1)
+    SELECT * FROM po JOIN h USING (rule) JOIN ef USING (rule)""",
+    ("mean_volume", "min_volume", "max_volume", "overall", "stress", "worst_profile_hypervolume"),
+)
 def certification_robustness(spark, directory):
     """Policy volumes, hypervolume and frontier membership per rule."""
     bounds = materialize(core_bounds(spark, directory))

@@ -278,7 +278,7 @@ rs AS (
   SELECT count(rho) AS valid_replicates,
     count(rho) / {REPLICATES}.0e0 AS valid_replicate_fraction,
     quantile_cont(rho, 0.5) AS spearman_median, quantile_cont(rho, 0.025) AS spearman_lcb95,
-    quantile_cont(rho, 0.975) AS spearman_ucb95, avg(CAST(rho < 0 AS DOUBLE)) AS probability_below_zero
+    quantile_cont(rho, 0.975) AS spearman_ucb95, avg(CAST(rho < -1e-12 AS DOUBLE)) AS probability_below_zero
   FROM ok)"""
 RS = ("valid_replicate_fraction", "spearman_median", "spearman_lcb95", "spearman_ucb95",
       "probability_below_zero")
@@ -289,7 +289,18 @@ def date_cluster_rank_bootstrap(spark, directory):
     return rank_bootstrap(spark, directory)
 
 
-@query("ST6_rank_transfer_surface")
+@query(
+    "ST6_rank_transfer_surface",
+    f"""SELECT e.*, r.*, probability_below_zero >= 0.95e0 AND exact_p_value <= 0.05e0 AS primary_support
+    FROM ({SCORES_SQL}, obs AS (SELECT 1 AS g, rule, {OBS} FROM dirr GROUP BY rule),
+      sc AS (SELECT g, rule, controlled, observed FROM obs JOIN ctl USING (rule)),
+      {_rank_sql("sc", "g")}, {_PERMUTE}
+      SELECT n_rules, valid, reason, spearman_rho AS observed_spearman_rho, count(*) AS permutations,
+        avg(CAST(s <= s0 + 1e-9 AS DOUBLE)) AS exact_p_value
+      FROM ps JOIN stat USING (g) GROUP BY 1, 2, 3, 4) e,
+      ({BOOT_RANK_SQL} SELECT * FROM rs) r""",
+    ("observed_spearman_rho", "exact_p_value", *RS),
+)
 def rank_transfer_surface(spark, directory):
     """Point, exact p and bootstrap of the overall transfer with the support rule."""
     scores = observed_scores(directional(spark, directory), []).join(
