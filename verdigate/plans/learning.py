@@ -147,7 +147,7 @@ def seed_aggregates(spark, directory):
 
 def training_utility(
     spark: SparkSession, directory: str, variants=("D0", "D1", "D3"), grid=(0.1, 1.0),
-    budget: int = 400, seeds=(1, 2), target: float = 0.20,
+    budget: int = 300, seeds=(1, 2), target: float = 0.20,
 ) -> tuple[DataFrame, DataFrame]:
     """Variants x seeds: best C by harm, distance to the target coverage, utility; then
     per-mechanism rates and the primary endpoint per run."""
@@ -209,7 +209,7 @@ def training_robustness(spark, directory):
         "stress": train.filter(F.col("opportunity_slice") != "ordinary"),
     }
     parts = []
-    for budget in (200, 600):
+    for budget in (200, 400):
         sample = materialize(
             X.curriculum_sample(pools, "event_cluster_id", budget, {"ordinary": 0.5, "stress": 0.5}, 3)
         )
