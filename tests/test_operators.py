@@ -209,6 +209,8 @@ def test_checked_join_rejects_bad_keys(spark):
 def test_hash_halves_need_an_even_count(spark):
     with pytest.raises(ValueError, match="even"):
         X.hash_halves(spark.range(3), "id", "n")
+    odd = X.hash_halves(spark.range(7), "id", "n", spare="left").groupBy("destination").count().collect()
+    assert {r["destination"]: r["count"] for r in odd} == {"paper_test": 3, "community_hidden": 3, "left": 1}
     got = X.hash_halves(spark.range(10), "id", "n").groupBy("destination").count().collect()
     assert sorted(r["count"] for r in got) == [5, 5]
 
@@ -294,9 +296,23 @@ def test_student_tail_and_power():
 
 
 def test_t_test_without_variance(spark):
-    df = spark.createDataFrame([("z", 0.0), ("z", 0.0), ("c", 2.0), ("c", 2.0)], "g STRING, v DOUBLE")
-    got = {r["g"]: r["raw_p"] for r in ranks.t_test(df, "v", ["g"]).collect()}
-    assert got == {"z": 1.0, "c": 0.0}
+    rows = [("z", 0.0), ("z", 0.0), ("c", 2.0), ("c", 2.0), ("n", -0.1), ("n", -0.1), ("one", 0.05)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+
+    def p(**options):
+        return {r["g"]: r["raw_p"] for r in ranks.t_test(df, "v", ["g"], **options).collect()}
+
+    assert p() == {"z": 1.0, "c": 0.0, "n": 0.0, "one": 1.0}
+    assert p(alternative="greater") == {"z": 1.0, "c": 0.0, "n": 1.0, "one": 1.0}
+    assert set(p(required_pairs=3).values()) == {1.0}
+
+
+def test_gate_needs_every_condition(spark):
+    rows = [(500, 4, 0.8), (499, 4, 0.9), (500, 3, 0.9), (500, 4, 0.79)]
+    df = spark.createDataFrame(rows, "test_clusters INT, active_rules INT, power_lcb95 DOUBLE")
+    got = ranks.gate_conditions(df).collect()
+    assert [r["classification"] == "confirmatory_eligible" for r in got] == [True, False, False, False]
+    assert got[2]["power_lcb95"] == 0.0
 
 
 def test_bootstrap_routes_agree(spark):
@@ -439,3 +455,30 @@ def test_stream_router(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["event_cluster_id"]: r["destination"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "train", 2: "paper_test", 3: "community_hidden", 4: "validation"}
+
+
+def test_public_projection_reaches_maps_and_nested_strings(spark):
+    df = spark.sql(
+        """SELECT 1 AS id, map('api_key_path', 'x', 'ok', 'sealed', 'fine', 'v') AS m,
+        named_struct('rationale', 'r') AS gone, array(named_struct('a', 'x/raw/y', 'b', 2)) AS list,
+        named_struct('inner', named_struct('p', '/data/k.pem', 'q', 'plain')) AS deep"""
+    )
+    got = TX.public_projection(df)
+    assert got.columns == ["id", "m", "list", "deep"]
+    row = got.first()
+    assert row["m"] == {"ok": None, "fine": "v"}
+    assert row["list"][0]["a"] is None and row["list"][0]["b"] == 2
+    assert row["deep"]["inner"].asDict() == {"p": None, "q": "plain"}
+    found = {(r["field"], r["reason"]) for r in TX.sensitive_findings(df, "id").collect()}
+    assert ("list[0].a", "raw, sealed, log, or snapshot path") in found
+    assert ("deep.inner.p", "absolute hidden or private key path") in found
+    assert any(f.startswith("m[") for f, _ in found)
+
+
+def test_file_fingerprints_name_what_they_skip(spark, tmp_path):
+    from verdigate.sources import ingest
+
+    (tmp_path / "a").write_bytes(b"12345")
+    (tmp_path / "b").write_bytes(b"1")
+    got = {r["path"][-1]: r for r in ingest.file_fingerprints(spark, str(tmp_path), max_bytes=3).collect()}
+    assert got["a"]["sha256"] is None and got["a"]["reason"] and got["b"]["sha256"] and got["b"]["reason"] is None

@@ -15,14 +15,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor reaches: the checkpoint folder of the session.  A
-    temporary one is made only where none is named, as in local tests."""
+    """Folder every executor reaches: the checkpoint folder of the session.  Where none is
+    named, a session on one machine gets a temporary one and a cluster is refused."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="verdigate-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -39,14 +39,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is known; otherwise AQE decides.
-
-    Call it on a materialized or cheap relation, because it runs a count.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def global_position(
     df: DataFrame, order: Sequence[str], name: str = "position", ranges: int | None = None
 ) -> DataFrame:
@@ -170,7 +162,7 @@ def grouped_quantiles(
             F.when(big, F.element_at("_edges", F.col("_i") * 2 + 2)).alias("_hi"),
         )
     )
-    brackets = broadcast_if_small(materialize(brackets))
+    brackets = materialize(brackets)
     kept = (
         rows.join(brackets, group)
         .filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))

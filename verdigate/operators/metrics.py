@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigate.functions.columns import is_close, is_true, rate, sum_or_zero
-from verdigate.operators.distributed import broadcast_if_small, wide_quantiles
+from verdigate.operators.distributed import wide_quantiles
 from verdigate.operators.labels import DIRECTIONAL, RISK_LIMIT
 
 
@@ -768,7 +768,7 @@ def split_leakage(df: DataFrame, raw_records: DataFrame, cluster: str, split: st
     raw = raw_records.agg(F.count("*").alias("raw_records"))
     return (
         per.withColumn("_k", F.lit(1))
-        .join(broadcast_if_small(raw.withColumn("_k", F.lit(1))), "_k")
+        .join(raw.withColumn("_k", F.lit(1)), "_k")
         .drop("_k")
         .withColumns(
             {

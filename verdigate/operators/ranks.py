@@ -7,16 +7,21 @@ higher-order functions on it, for any number of groups at once."""
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigate.functions.columns import is_close, mix32
+from verdigate.functions.columns import is_close
 from verdigate.operators.distributed import average_rank
 
+# Workers need not be able to import this module for its Pandas functions.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_RULES = 64
 MAX_PERMUTED = 9
 
@@ -323,12 +328,14 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def t_test(
-    df: DataFrame, value: str, groups: Sequence[str], alternative: str = "two-sided"
+    df: DataFrame, value: str, groups: Sequence[str], alternative: str = "two-sided",
+    required_pairs: int = 2,
 ) -> DataFrame:
     """One-sample test against zero per group (give differences for a paired test).
 
     Moments are aggregated by Spark; the tail runs on one row per group.  Without
-    variance p is 1 for a zero mean and 0 otherwise.
+    variance p is 0 where the mean lies on the side of the alternative and 1
+    otherwise.  Fewer than `required_pairs` values, or than two, give 1.
     """
     moments = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(
         F.count("*").alias("clusters"),
@@ -348,9 +355,12 @@ def t_test(
     t = F.try_divide(
         F.col("mean_difference"), F.col("standard_deviation") / F.sqrt("clusters")
     )
+    supported = ~zero & (F.col("mean_difference") > 0 if alternative == "greater" else F.lit(True))
     return moments.withColumn(
         "raw_p",
-        F.when(flat, F.when(zero, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
+        F.when(F.col("clusters") < max(2, required_pairs), F.lit(1.0))
+        .when(flat, F.when(supported, F.lit(0.0)).otherwise(F.lit(1.0)))
+        .otherwise(
             tail(F.coalesce(t, F.lit(0.0)), F.col("clusters"))
         ),
     )
@@ -369,42 +379,21 @@ def required_clusters(effect: float, sd: float, power: float, alpha: float = 0.0
     return math.ceil(((z.inv_cdf(1 - alpha / 2) + z.inv_cdf(power)) * sd / effect) ** 2)
 
 
-def rank_power(
-    signal: DataFrame, rule_count: str, attenuation: str, target_rho: float, alpha: float,
-    replicates: int, seed: int,
+def gate_conditions(
+    gate: DataFrame, minimum_clusters: int = 500, minimum_rules: int = 4, minimum_power: float = 0.80
 ) -> DataFrame:
-    """Power of a rank test by simulation, one distributed row per replicate and rule.
-
-    `signal` is a one-row relation with the number of active rules and the
-    attenuation, both measured on the data.
-    """
-    reps = signal.sparkSession.range(replicates).withColumn("_k", F.lit(1))
-    base = reps.join(F.broadcast(signal.withColumn("_k", F.lit(1))), "_k").withColumn(
-        "rule", F.explode(F.sequence(F.lit(1), F.col(rule_count)))
-    )
-    slot = F.col("id") * 1024 + F.col("rule") * 4
-
-    def uniform(i: int) -> Column:
-        return (mix32(mix32(slot + i + seed)) + 0.5) / F.lit(4294967296.0)
-
-    z1 = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
-    z2 = F.sqrt(-2 * F.log(uniform(2))) * F.cos(2 * math.pi * uniform(3))
-    rho = F.least(F.greatest(F.lit(target_rho) * F.col(attenuation), F.lit(-0.99)), F.lit(0.99))
-    sample = base.select(
-        "id", F.col(rule_count).alias("_n"), F.col("rule").cast("string").alias("rule"),
-        z1.alias("controlled"), (rho * z1 + F.sqrt(1 - rho * rho) * z2).alias("observed"),
+    """Judge rows (test_clusters, active_rules, power_lcb95): a design is confirmatory only
+    if every condition holds.  With fewer rules than the minimum there is no power."""
+    enough = F.col("active_rules") >= minimum_rules
+    judged = gate.withColumns(
+        {
+            "power_lcb95": F.when(enough, F.col("power_lcb95")).otherwise(0.0),
+            "test_clusters_met": F.col("test_clusters") >= minimum_clusters,
+            "active_rules_met": enough,
+            "power_met": enough & (F.col("power_lcb95") >= minimum_power),
+        }
     )
-    rhos = replicate_rhos(sample, ["id", "_n"])
-
-    @F.pandas_udf("double")
-    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(r, n):
-            t = a * math.sqrt((b - 2) / max(1e-300, (1 - a) * (1 + a)))
-            out.append(2 * _t_tail(abs(t), b - 2.0))
-        return pd.Series(out)
-
-    hits = rhos.filter("rho IS NOT NULL").withColumn("_p", p_value("rho", F.col("_n")))
-    return hits.agg(
-        (F.count_if((F.col("rho") > 0) & (F.col("_p") < alpha)) / F.lit(replicates)).alias("power")
+    met = F.col("test_clusters_met") & F.col("active_rules_met") & F.col("power_met")
+    return judged.withColumn(
+        "classification", F.when(met, "confirmatory_eligible").otherwise("exploratory_only")
     )

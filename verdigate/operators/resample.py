@@ -21,10 +21,9 @@ from pyspark.sql import types as T
 
 from verdigate.functions.columns import with_mix32
 from verdigate.operators.distributed import (
-    broadcast_if_small, global_position, hash_position, materialize,
+    global_position, hash_position, materialize,
 )
 
-DRAW_LIMIT = 200_000_000
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 4096
 RUN = 1024
@@ -44,7 +43,7 @@ def resampled_sums(
     replicates: int,
     seed: int,
     strata: Sequence[str] = (),
-    method: str = "auto",
+    method: str = "draws",
     block_length: int | None = None,
 ) -> DataFrame:
     """Sums of `values` over resampled clusters: strata, replicate, clusters, values.
@@ -63,9 +62,6 @@ def resampled_sums(
     sizes = base.groupBy(*group).agg(F.count("*").alias("n")).collect()
     if not sizes:
         raise ValueError("no event clusters")
-    total = sum(s["n"] for s in sizes)
-    if method == "auto":
-        method = "draws" if total * replicates <= DRAW_LIMIT or block_length else "blocks"
     if method == "blocks":
         if block_length:
             raise ValueError("moving blocks need the draws method")
@@ -242,7 +238,7 @@ def cluster_bootstrap_bounds(
     seed: int,
     strata: Sequence[str] = ("profile",),
     cluster: str = "event_cluster_id",
-    method: str = "auto",
+    method: str = "draws",
 ) -> DataFrame:
     """One-sided 5/95 % bounds of coverage, harm, laundering and utility.
 
@@ -289,7 +285,7 @@ def ratio_bootstrap(
     seed: int,
     strata: Sequence[str] = (),
     cluster: str = "event_cluster_id",
-    method: str = "auto",
+    method: str = "draws",
 ) -> DataFrame:
     """Two-sided 95 % intervals of ratio metrics and the share of valid replicates."""
     strata = list(strata)
@@ -321,7 +317,7 @@ def ratio_bootstrap(
 
 def cluster_mean_bootstrap(
     rates: DataFrame, replicates: int, seed: int, strata: Sequence[str],
-    cluster: str = "evaluation_cluster_id", method: str = "auto",
+    cluster: str = "evaluation_cluster_id", method: str = "draws",
 ) -> DataFrame:
     """Bounds on the mean of cluster rates; clusters without a rate are skipped."""
     measures = ("coverage", "far", "alr")
@@ -375,7 +371,7 @@ def paired_interval(
             F.stddev_samp("v").alias("standard_deviation"),
         )
     )
-    return points.join(broadcast_if_small(bounds, 1000), "measure")
+    return points.join(bounds, "measure")
 
 
 def co_primary(interval: DataFrame, false_sesoi: float, laundering_sesoi: float) -> DataFrame:

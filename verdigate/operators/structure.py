@@ -11,7 +11,7 @@ from verdigate.functions.columns import (
     canonical_json, hash_low_bit, is_true, micros, stable_seed,
 )
 from verdigate.operators.distributed import (
-    broadcast_if_small, global_position, hash_position, position_in_group,
+    global_position, hash_position, position_in_group,
 )
 
 
@@ -127,18 +127,20 @@ def contiguous_folds(
 
 def hash_halves(
     ids: DataFrame, key: str, namespace: str, lower: str = "paper_test",
-    upper: str = "community_hidden",
+    upper: str = "community_hidden", spare: str | None = None,
 ) -> DataFrame:
-    """Split an even set of ids at the middle of its sha256 order."""
+    """Split an even set of ids at the middle of its sha256 order.  An odd set is refused,
+    unless `spare` names the destination of the id in the middle."""
     distinct = ids.select(key).distinct()
     n = distinct.count()
-    if n < 2 or n % 2:
+    if n < 2 or n % 2 and spare is None:
         raise ValueError("the split needs an even number of clusters")
     digest = F.sha2(F.concat(F.lit(namespace + "|"), F.col(key).cast("string")), 256)
     placed = hash_position(distinct, key, digest=digest)
-    return placed.select(
-        key, F.when(F.col("position") < n // 2, lower).otherwise(upper).alias("destination")
-    )
+    place = F.when(F.col("position") < n // 2, lower)
+    if n % 2:
+        place = place.when(F.col("position") == n // 2, spare)
+    return placed.select(key, place.otherwise(upper).alias("destination"))
 
 
 def route_rows(
@@ -146,10 +148,10 @@ def route_rows(
 ) -> DataFrame:
     """Destination of each row from its split and, for test rows, its cluster half.
 
-    Every row is joined on its cluster; the list is broadcast only when small, and
-    otherwise AQE splits a cluster that holds many rows.
+    Every row is joined on its cluster; AQE broadcasts a small list and splits a
+    cluster that holds many rows.
     """
-    joined = df.join(broadcast_if_small(halves), key, "left")
+    joined = df.join(halves, key, "left")
     own = F.when(F.col("split").isin(*keep), F.col("split")).when(
         F.col("split") == "test", F.col("destination")
     )

@@ -78,7 +78,7 @@ BOUND_DOUBLES = ("coverage_lcb95", "coverage_ucb95", "far_ucb95", "alr_ucb95", "
 
 
 def core_bounds(spark: SparkSession, directory: str, replicates: int = REPLICATES,
-                method: str = "auto") -> DataFrame:
+                method: str = "draws") -> DataFrame:
     profiled = labels.explode_profiles(
         core_decisions(spark, directory), labels.certification_profiles()
     )

@@ -186,8 +186,10 @@ def training_utility(
 
 @query("PL14_training_utility")
 def training_utility_contrasts(spark, directory):
-    """Paired harm contrasts against D3 with Holm adjustment."""
+    """Paired harm contrasts against D0 with Holm adjustment; a variant that lost a seed
+    has p 1."""
     _, endpoint = training_utility(spark, directory)
+    seeds = endpoint.select("seed").distinct().count()
     valid = endpoint.filter("primary_endpoint_valid").select("variant", "seed", "primary_far")
     reference = valid.filter(F.col("variant") == "D0").select(
         "seed", F.col("primary_far").alias("reference")
@@ -195,7 +197,7 @@ def training_utility_contrasts(spark, directory):
     paired = valid.filter(F.col("variant") != "D0").join(reference, "seed").withColumn(
         "difference", F.col("reference") - F.col("primary_far")
     )
-    tests = ranks.t_test(paired, "difference", ["variant"], "greater")
+    tests = ranks.t_test(paired, "difference", ["variant"], "greater", required_pairs=seeds)
     return ranks.holm(tests, name="variant")
 
 

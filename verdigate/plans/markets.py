@@ -254,12 +254,12 @@ def market_exclusions(spark, directory):
 
 
 @query("PL10_market_dataset")
-def market_dataset(spark, directory):
-    """Kept replay rows, one market per cluster, evenly thinned, split in time order."""
+def market_dataset(spark, directory, thin_to: int | None = None):
+    """Kept replay rows, one market per cluster, thinned evenly if asked, split in time order."""
     kept = replay(spark, directory).filter(F.col("reason").isNull())
     best = M.best_per_cluster(kept, ["event_cluster_id"], M.candidate_score())
     best = materialize(best.withColumn("resolved_at", F.timestamp_seconds("closed_at")))
-    thin = X.evenly_spaced(best, ["resolved_at", "id"], 1000)
+    thin = best if thin_to is None else X.evenly_spaced(best, ["resolved_at", "id"], thin_to)
     bounds = X.fraction_bounds(thin.count(), [("train", 0.6), ("validation", 0.2)])
     splits = X.chronological_split(thin, "event_cluster_id", "resolved_at", bounds, "test")
     rows = thin.join(splits.select("event_cluster_id", "split"), "event_cluster_id")

@@ -22,7 +22,7 @@ from verdigate.plans.provenance import (
 )
 from verdigate.plans.proxies import DECISION_SQL, PROVENANCE_SQL, decision_view, provenance_view
 from verdigate.plans.registry import query
-from verdigate.plans.structure import even_test_clusters
+from verdigate.plans.structure import test_clusters
 from verdigate.plans.tasks import task_decisions
 from verdigate.plans.texts import TEXT_SQL, signals
 from verdigate.plans.timeseries import prior_rows
@@ -429,11 +429,10 @@ def scale_stability(spark, directory):
 @query(
     "PL20_test_partition",
     f"""WITH {DECISION_SQL}, c AS (SELECT DISTINCT event_cluster_id AS id FROM v WHERE split = 'test'),
-    e AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM c)
-      WHERE r <= n - n % 2),
     k AS (SELECT *, row_number() OVER (ORDER BY sha256('decision-audit|' || id)) AS rn,
-      count(*) OVER () AS n FROM e)
-    SELECT CASE WHEN split <> 'test' THEN split WHEN rn <= n / 2 THEN 'paper_test'
+      count(*) OVER () AS n FROM c)
+    SELECT CASE WHEN split <> 'test' THEN split WHEN rn <= n // 2 THEN 'paper_test'
+        WHEN n % 2 = 1 AND rn = n // 2 + 1 THEN 'unassigned'
         ELSE 'community_hidden' END AS destination, count(*) AS rows,
       count(DISTINCT event_cluster_id) AS clusters
     FROM v LEFT JOIN k ON event_cluster_id = id WHERE split <> 'test' OR id IS NOT NULL GROUP BY 1""",
@@ -446,7 +445,9 @@ def test_partition(spark, directory):
     agreement = X.key_alignment(a, b, ["event_cluster_id"]).first()
     if not agreement["aligned"]:
         raise ValueError("the layers hold different test clusters")
-    halves = X.hash_halves(even_test_clusters(core), "event_cluster_id", "decision-audit")
+    halves = X.hash_halves(
+        test_clusters(core), "event_cluster_id", "decision-audit", spare="unassigned"
+    )
     return X.route_rows(core, halves, "event_cluster_id").groupBy("destination").agg(
         F.count("*").alias("rows"), F.countDistinct("event_cluster_id").alias("clusters")
     )

@@ -415,40 +415,21 @@ def rank_signal(bounds: DataFrame, coverage: DataFrame, floor: float = 0.05) ->
 
 
 @query("ST12_ST13_power_gate")
-def power_gate(spark, directory):
-    """Rank-test power under the measured attenuation, and the gate conditions."""
+def power_gate(spark, directory, power_lcb95: float = 0.160):
+    """The measured attenuation, and the gate conditions for a given bound of the power
+    (by default the published one)."""
     coverage = metrics.profile_metrics(
         core_decisions(spark, directory), {"overall": F.col("certification_eligible")}, tail=False
     ).select("rule", "coverage")
     signal = resample.materialize(rank_signal(core_bounds(spark, directory), coverage))
-    reps = 2000
-    power = ranks.rank_power(
-        signal, "active_rules", "attenuation", 0.7, 0.05, reps, 12345
-    )
     clusters = decision_view(spark, directory).filter(F.col("split") == "test").agg(
         F.countDistinct("event_cluster_id").alias("test_clusters")
     )
     key = F.lit(1).alias("_k")
     joined = (
-        signal.select("*", key).join(power.select("*", key), "_k")
-        .join(clusters.select("*", key), "_k").drop("_k")
-    )
-    se = F.sqrt(F.col("power") * (1 - F.col("power")) / reps)
-    gated = joined.withColumn("power_lcb95", F.greatest(F.lit(0.0), F.col("power") - 1.96 * se))
-    gated = gated.withColumns(
-        {
-            "test_clusters_met": F.col("test_clusters") >= 500,
-            "active_rules_met": F.col("active_rules") >= 4,
-            "power_met": F.col("power_lcb95") >= 0.80,
-        }
-    )
-    return gated.withColumn(
-        "classification",
-        F.when(
-            F.col("test_clusters_met") & F.col("active_rules_met") & F.col("power_met"),
-            "confirmatory_eligible",
-        ).otherwise("exploratory_only"),
+        signal.select("*", key).join(clusters.select("*", key), "_k").drop("_k")
     )
+    return ranks.gate_conditions(joined.withColumn("power_lcb95", F.lit(power_lcb95)))
 
 
 FAMILY_SQL = f"""{WITH_D}, m AS (

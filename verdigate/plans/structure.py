@@ -428,27 +428,25 @@ def canonical_json_rows(spark, directory):
 @query(
     "SNK5_split_router",
     f"""{WITH_V}, c AS (SELECT DISTINCT event_cluster_id AS id FROM v WHERE split = 'test'),
-    e AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM c)
-      WHERE r <= n - n % 2),
     k AS (SELECT *, row_number() OVER (ORDER BY sha256('decision-audit|' || id)) AS rn,
-      count(*) OVER () AS n FROM e)
-    SELECT CASE WHEN split <> 'test' THEN split WHEN rn <= n / 2 THEN 'paper_test'
+      count(*) OVER () AS n FROM c)
+    SELECT CASE WHEN split <> 'test' THEN split WHEN rn <= n // 2 THEN 'paper_test'
+        WHEN n % 2 = 1 AND rn = n // 2 + 1 THEN 'unassigned'
         ELSE 'community_hidden' END AS destination, count(*) AS rows
     FROM v LEFT JOIN k ON event_cluster_id = id WHERE split <> 'test' OR id IS NOT NULL GROUP BY 1""",
 )
 def split_router(spark, directory):
     v = decision_view(spark, directory)
-    halves = X.hash_halves(even_test_clusters(v), "event_cluster_id", NAMESPACE)
+    halves = X.hash_halves(
+        test_clusters(v), "event_cluster_id", NAMESPACE, spare="unassigned"
+    )
     return X.route_rows(v, halves, "event_cluster_id").groupBy("destination").agg(
         F.count("*").alias("rows")
     )
 
 
-def even_test_clusters(v: DataFrame) -> DataFrame:
-    """Test clusters, without the largest id when their number is odd."""
-    test = v.filter(F.col("split") == "test").select("event_cluster_id").distinct()
-    stats = test.agg(F.count("*").alias("n"), F.max("event_cluster_id").alias("m")).first()
-    return test if stats["n"] % 2 == 0 else test.filter(F.col("event_cluster_id") != stats["m"])
+def test_clusters(v: DataFrame) -> DataFrame:
+    return v.filter(F.col("split") == "test").select("event_cluster_id").distinct()
 
 
 def market_rows(spark: SparkSession, directory: str) -> DataFrame:

@@ -229,11 +229,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str, max_bytes: int = 100_000_000) -> DataFrame:
-    """Content hash of each file up to a size limit (`length` is pushed down)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .filter(F.col("length") <= max_bytes)
-        .select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """Content hash of each file.  A file above the size limit (`length` is pushed down,
+    so it is not read) is returned with a null hash and the reason."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    hashed = files.filter(F.col("length") <= max_bytes).select(
+        "path", "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("reason")
+    )
+    skipped = files.filter(F.col("length") > max_bytes).select(
+        "path", "length", F.lit(None).cast("string").alias("sha256"),
+        F.lit(f"larger than {max_bytes} bytes").alias("reason"),
     )
+    return hashed.unionByName(skipped)
