@@ -37,6 +37,8 @@ PASSES = 4
 PRIOR = 0.05
 #: Distinct words a task holds before it hands on their counts.
 HELD_WORDS = 400_000
+#: Words that share the tables of one recursion; texts need smaller batches.
+SOLVED_WORDS = 20_000
 MARK = " "
 
 
@@ -233,6 +235,7 @@ def lattice_scores(
     train_tokens = (all_words["n"] or 0) + ends
     denominator = math.log10(train_tokens + (all_words["v"] or 0) + (ends > 0) + 1)
     pieces = vocabulary(vocabulary_file)
+    small_batches(spark, SOLVED_WORDS)
     log_weights, log_end = fit(words, ends, pieces, passes)
     model = sc.broadcast(([p for p, _ in pieces], log_weights))
 
@@ -244,8 +247,6 @@ def lattice_scores(
             found = lattice.forward(marked) / math.log(10) if marked else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "c", "lp"])
 
-    solve_batch = 20_000
-    small_batches(spark, solve_batch)
     solved = scratch.table(words.mapInArrow(solve, "word binary, c bigint, lp double"))
     small_batches(spark)
     # At most `frequent` rows of short words: the largest words of this table are few bytes.
