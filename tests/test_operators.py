@@ -330,10 +330,31 @@ def test_bootstrap_routes_agree(spark):
         assert 0.7 * se < m.std() < 1.3 * se
 
 
+def test_draws_do_not_depend_on_the_partitions(spark):
+    df = spark.range(5000).select(
+        F.col("id").alias("c"), (F.col("id") % 2).alias("g"), (F.col("id") % 97).cast("double").alias("x"),
+        F.lit(1.0).alias("one"),
+    )
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions, chunk in ((3, 1 << 20), (8, 100)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        old, resample.CHUNK = resample.CHUNK, chunk
+        try:
+            out = resample.resampled_sums(df, "c", ["x", "one"], 30, 5, ["g"]).toPandas()
+        finally:
+            resample.CHUNK = old
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert (out["one"] == 2500).all() and (out["clusters"] == 2500).all()
+        found.append(out.sort_values(["g", "replicate"])["x"].tolist())
+    assert len(found[0]) == 60 and found[0] == found[1]
+    assert len(set(found[0])) > 50
+
+
 def test_moving_block_keeps_n(spark):
     df = spark.range(10).select(F.col("id").alias("c"), F.lit(1.0).alias("x"))
-    out = resample.resampled_sums(df, "c", ["x"], 25, 3, block_length=4).toPandas()
-    assert (out["x"] == 10.0).all()
+    for length in (4, 30):
+        out = resample.resampled_sums(df, "c", ["x"], 25, 3, block_length=length).toPandas()
+        assert len(out) == 25 and (out["x"] == 10.0).all()
 
 
 def test_pareto_by_brute_force(spark):

@@ -1,12 +1,12 @@
 """Cluster bootstrap.  Rows shrink to one row per cluster first; the clusters are
 then drawn with replacement, n out of n, for every replicate.
 
-Two ways give the same multinomial resampling.  `draws` writes the draw as a SQL
-expression of (seed, replicate, slot), which any SQL engine can repeat, and shuffles
-replicates x clusters pairs of integers.  `blocks` splits the clusters into blocks,
-draws the block totals from a multinomial and the members inside each task, and
-shuffles only one row per block and replicate.  `auto` takes `draws` while the
-draw table is small.
+`draws` works in two steps that any SQL engine can repeat.  A hash of (seed, replicate,
+slot) throws each of the n slots into a run of 1,024 positions; only the number of slots
+per replicate and run is shuffled.  The task that holds a run then draws as many of its
+clusters, by a hash of (seed, replicate, run, number).  Draws depend on no size limit and
+no partition count.  `blocks`, if asked for, takes seeded random numbers instead of
+hashes: the slots of a replicate are split down a binary tree of blocks.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from verdigate.operators.distributed import (
     global_position, hash_position, materialize,
 )
 
-MAX_BLOCKS = 4096
 BLOCK_ROWS = 4096
 RUN = 1024
+#: Slots unrolled at a time, and the clusters whose product with a 32-bit hash fits 63 bits.
+CHUNK, MOST_CLUSTERS = 1 << 20, 1 << 31
 
 
 def with_draw_hash(df: DataFrame, seed: int) -> DataFrame:
@@ -59,66 +60,123 @@ def resampled_sums(
     base = materialize(
         base.select(*group, key, *[F.col(v).cast("double").alias(v) for v in values])
     )
-    sizes = base.groupBy(*group).agg(F.count("*").alias("n")).collect()
-    if not sizes:
+    if base.isEmpty():
         raise ValueError("no event clusters")
     if method == "blocks":
         if block_length:
             raise ValueError("moving blocks need the draws method")
-        out = _sums_by_block(base, group, key, values, replicates, seed, sizes)
+        sums = _sums_by_block(base, group, key, values, replicates, seed)
+    elif block_length:
+        if strata:
+            raise ValueError("moving blocks take no strata")
+        sums = _sums_by_moving_block(base, group, key, values, replicates, seed, block_length)
     else:
-        out = _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_length)
-    return out if strata else out.drop("_all")
+        sums = _sums_by_draw(base, group, key, values, replicates, seed)
+    sizes = base.groupBy(*group).agg(F.count("*").alias("clusters"))
+    return sums.join(sizes, group).select(*strata, "replicate", "clusters", *values)
 
 
-def _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_length) -> DataFrame:
+def _slots(base: DataFrame, group: list[str], replicates: int, seed: int, length: int) -> DataFrame:
+    """group, n, replicate, _slot, _start: one row per replicate and slot, a slot holding
+    `length` clusters from the position `_start` on."""
     spark = base.sparkSession
-    fields = {f.name: f.dataType for f in base.schema.fields}
-    tables = []
-    for s in sizes:
-        n = s["n"]
-        length = max(1, min(block_length or 1, n))
-        blocks = -(-n // length)
-        ids = spark.range(0, replicates * blocks)
-        r, slot = F.expr(f"id div {blocks}"), F.col("id") % blocks
-        start = with_draw_hash(
-            ids.select(r.alias("replicate"), slot.alias("_slot")), seed
-        ).withColumn("_start", F.col("_u") % n)
-        if length == 1:
-            drawn = start.select("replicate", F.col("_start").alias("position"))
-        else:
-            offsets = F.array(*[F.lit(o).cast("bigint") for o in range(length)])
-            drawn = (
-                start.select("replicate", "_slot", "_start", F.explode(offsets).alias("_o"))
-                .filter(F.col("_slot") * length + F.col("_o") < n)
-                .select("replicate", ((F.col("_start") + F.col("_o")) % n).alias("position"))
-            )
-        tables.append(
-            drawn.select(
-                *[F.lit(s[g]).cast(fields[g]).alias(g) for g in group],
-                "replicate", "position",
-            )
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    few = F.when(F.col("n") < MOST_CLUSTERS, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"a stratum holds {MOST_CLUSTERS} clusters or more")).cast("bigint")
+    )
+    sizes = base.groupBy(*group).agg(F.count("*").alias("n")).withColumn("n", few)
+    slots = F.ceil(F.col("n") / F.least(F.lit(length), F.col("n")))
+    first = F.col("_chunk") * CHUNK
+    # A replicate stays in one task, so that its slots are counted before the shuffle.
+    rows = (
+        sizes.select(
+            *group, "n", slots.alias("_slots"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate"),
         )
-    draws = tables[0]
-    for t in tables[1:]:
-        draws = draws.unionByName(t)
-    if block_length:
-        placed = global_position(base, [key]) if group == ["_all"] else None
-        if placed is None:
-            raise ValueError("moving blocks take no strata")
-    else:
-        placed = hash_position(base, key, group)
-    # Draws and clusters meet in runs of positions.  A run is a small matrix product,
-    # so neither side is copied once per draw and no group grows with the data.
-    run = F.floor(F.col("position") / RUN).cast("bigint")
+        .repartition(spread, *group, "replicate")
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_slots") - 1) / CHUNK))))
+        .withColumn("_slot", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("_slots")) - 1)))
+    )
+    start = F.shiftright(F.col("_u") * F.col("n"), 32)
+    return with_draw_hash(rows, seed).select(*group, "n", "replicate", "_slot", start.alias("_start"))
+
+
+def _sum_schema(base: DataFrame, group: list[str], names: list[str]) -> T.StructType:
+    fields = {f.name: f.dataType for f in base.schema.fields}
+    return T.StructType(
+        [T.StructField(g, fields[g]) for g in group]
+        + [T.StructField("replicate", T.LongType())]
+        + [T.StructField(v, T.DoubleType()) for v in names]
+    )
+
+
+def _runs(placed: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    return placed.select(
+        *group, F.floor(F.col("position") / RUN).cast("bigint").alias("_run"),
+        (F.col("position") % RUN).cast("int").alias("_i"), *names,
+    )
+
+
+def _added_up(parts: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    return parts.groupBy(*group, "replicate").agg(*[F.sum(v).alias(v) for v in names])
+
+
+def _sums_by_draw(base, group, key, values, replicates, seed) -> DataFrame:
     names, k = list(values), len(values)
-    sides = [
-        draws.select(
-            *group, run.alias("_run"), F.col("replicate").cast("int").alias("replicate"),
-            (F.col("position") % RUN).cast("int").alias("_i"),
-        ),
-        placed.select(*group, run.alias("_run"), (F.col("position") % RUN).cast("int").alias("_i"), *names),
-    ]
+    run = F.floor(F.col("_start") / RUN).cast("bigint").alias("_run")
+    taken = (
+        _slots(base, group, replicates, seed, 1)
+        .groupBy(*group, "replicate", run).agg(F.count("*").alias("_taken"))
+        # Own names for the columns that both sides of the cogroup have from `base`.
+        .select(*[F.col(g).alias(g) for g in group], "replicate", "_run", "_taken")
+    )
+
+    def multiply(keys: tuple, counts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        def mixed(x: np.ndarray) -> np.ndarray:
+            mask = np.uint64(0xFFFFFFFF)
+            x = x & mask
+            x = x ^ (x >> np.uint64(16))
+            x = (x * np.uint64(0x21F0AAAD)) & mask
+            x = x ^ (x >> np.uint64(15))
+            x = (x * np.uint64(0x735A2D97)) & mask
+            return x ^ (x >> np.uint64(15))
+
+        size = len(rows)
+        matrix = np.zeros((size, k))
+        matrix[rows["_i"].to_numpy()] = rows[names].to_numpy(dtype=float)
+        times = np.zeros(replicates, np.int64)
+        times[counts["replicate"].to_numpy()] = counts["_taken"].to_numpy()
+        every = np.arange(replicates, dtype=np.uint64)
+        own = mixed(mixed(every + np.uint64(seed)) ^ mixed(np.array([keys[-1]], np.uint64)))
+        of = np.repeat(np.arange(replicates), times)
+        number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        each = mixed(np.arange(1, times.max() + 2, dtype=np.uint64))
+        member = (mixed(own[of] ^ each[number]) % np.uint64(size)).astype(np.int64)
+        weight = np.bincount(of * size + member, minlength=replicates * size).reshape(replicates, size)
+        frame = pd.DataFrame(weight @ matrix, columns=names)
+        frame.insert(0, "replicate", np.arange(replicates, dtype=np.int64))
+        for g, v in zip(reversed(group), reversed(keys[:-1])):
+            frame.insert(0, g, v)
+        return frame
+
+    rows = _runs(hash_position(base, key, group), group, names)
+    parts = (
+        taken.groupBy(*group, "_run").cogroup(rows.groupBy(*group, "_run"))
+        .applyInPandas(multiply, _sum_schema(base, group, names))
+    )
+    return _added_up(parts, group, names)
+
+
+def _sums_by_moving_block(base, group, key, values, replicates, seed, block_length) -> DataFrame:
+    names, k = list(values), len(values)
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(block_length - 1)))
+    place = F.col("_slot") * block_length + F.col("_o")
+    # A stratum shorter than a block is one block, cut to its size.
+    drawn = (
+        _slots(base, group, replicates, seed, block_length).withColumn("_o", offsets)
+        .where(place < F.col("n"))
+        .select(*group, "replicate", ((F.col("_start") + F.col("_o")) % F.col("n")).alias("position"))
+    )
 
     def multiply(keys: tuple, drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         matrix = np.zeros((RUN, k))
@@ -131,29 +189,17 @@ def _sums_by_draw(base, group, key, values, replicates, seed, sizes, block_lengt
             frame.insert(0, g, v)
         return frame
 
-    schema = T.StructType(
-        [T.StructField(g, fields[g]) for g in group]
-        + [T.StructField("replicate", T.LongType())]
-        + [T.StructField(v, T.DoubleType()) for v in names]
-    )
-    left, right = (side.groupBy(*group, "_run") for side in sides)
-    sums = (
-        left.cogroup(right).applyInPandas(multiply, schema)
-        .groupBy(*group, "replicate")
-        .agg(*[F.sum(v).alias(v) for v in names])
-    )
-    count = F.lit(None).cast("bigint")
-    for s in sizes:
-        mine = F.lit(True)
-        for g in group:
-            mine = mine & F.col(g).eqNullSafe(F.lit(s[g]).cast(fields[g]))
-        count = F.when(mine, F.lit(s["n"]).cast("bigint")).otherwise(count)
-    return sums.select(*group, "replicate", count.alias("clusters"), *names)
-
-
-def _sums_by_block(base, group, key, values, replicates, seed, sizes) -> DataFrame:
-    largest = max(s["n"] for s in sizes)
-    blocks = int(min(MAX_BLOCKS, max(1, -(-largest // BLOCK_ROWS))))
+    left = _runs(drawn, group, ["replicate"]).groupBy(*group, "_run")
+    right = _runs(global_position(base, [key]), group, names).groupBy(*group, "_run")
+    parts = left.cogroup(right).applyInPandas(multiply, _sum_schema(base, group, names))
+    return _added_up(parts, group, names)
+
+
+def _sums_by_block(base, group, key, values, replicates, seed) -> DataFrame:
+    """Blocks of some 4,096 clusters by a hash of the key.  The driver holds the size of
+    each block, one number for 4,096 clusters."""
+    largest = base.groupBy(*group).count().agg(F.max("count")).first()[0]
+    blocks = -(-largest // BLOCK_ROWS)
     blocked = base.withColumn(
         "_block", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(blocks)).cast("int")
     )
@@ -161,41 +207,37 @@ def _sums_by_block(base, group, key, values, replicates, seed, sizes) -> DataFra
     for row in blocked.groupBy(*group, "_block").agg(F.count("*").alias("n")).collect():
         stratum = tuple(str(row[g]) for g in group)
         counts.setdefault(stratum, np.zeros(blocks, dtype=np.int64))[row["_block"]] = row["n"]
-    names, k = list(values), len(values)
+    names = list(values)
     order = {stratum: i for i, stratum in enumerate(sorted(counts))}
+    upto = {s: np.concatenate([[0], np.cumsum(n)]) for s, n in counts.items()}
+    shared = base.sparkSession.sparkContext.broadcast(upto)
 
     def draw(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         stratum, block = tuple(str(v) for v in keys[:-1]), int(keys[-1])
-        n_b = counts[stratum]
-        n = int(n_b.sum())
+        before = shared.value[stratum]
+        # Down the tree: how many slots of each replicate fall into the half with the block.
+        low, high = 0, blocks
+        times = np.full(replicates, before[-1])
+        while high - low > 1:
+            middle = (low + high) // 2
+            share = (before[middle] - before[low]) / max(before[high] - before[low], 1)
+            left = np.random.default_rng([seed, order[stratum], low, high]).binomial(times, share)
+            low, high, times = (low, middle, left) if block < middle else (middle, high, times - left)
         # Arrow hands groups over in any order; the key fixes the rows.
         matrix = pdf.sort_values(key)[names].to_numpy(dtype=float)
-        out = np.zeros((replicates, k))
         members = len(matrix)
+        rng = np.random.default_rng([seed, order[stratum], block])
+        out = np.zeros((replicates, len(names)))
         for r in range(replicates):
-            share = np.random.default_rng([seed, order[stratum], r, 0]).multinomial(n, n_b / n)
-            rng = np.random.default_rng([seed, order[stratum], r, block + 1])
-            weight = np.bincount(rng.integers(0, members, share[block]), minlength=members)
-            out[r] = weight @ matrix
+            out[r] = np.bincount(rng.integers(0, members, times[r]), minlength=members) @ matrix
         frame = pd.DataFrame(out, columns=names)
         frame.insert(0, "replicate", np.arange(replicates, dtype=np.int64))
-        for g, v in zip(group, keys[:-1]):
-            frame[g] = v
-        frame["clusters"] = n
-        return frame[[*group, "replicate", "clusters", *names]]
+        for g, v in zip(reversed(group), reversed(keys[:-1])):
+            frame.insert(0, g, v)
+        return frame
 
-    fields = {f.name: f.dataType for f in base.schema.fields}
-    schema = T.StructType(
-        [T.StructField(g, fields[g]) for g in group]
-        + [T.StructField("replicate", T.LongType()), T.StructField("clusters", T.LongType())]
-        + [T.StructField(v, T.DoubleType()) for v in names]
-    )
-    return (
-        blocked.groupBy(*group, "_block")
-        .applyInPandas(draw, schema)
-        .groupBy(*group, "replicate", "clusters")
-        .agg(*[F.sum(v).alias(v) for v in names])
-    )
+    parts = blocked.groupBy(*group, "_block").applyInPandas(draw, _sum_schema(base, group, names))
+    return _added_up(parts, group, names)
 
 
 def widen(

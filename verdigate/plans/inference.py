@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigate.operators import certify, labels, metrics, ranks, resample, rules
+from verdigate.operators.resample import RUN
 from verdigate.plans import sql_rules as S
 from verdigate.plans.coverage import WITH_D, core_decisions
 from verdigate.plans.proxies import DECISION_SQL, TWO_TASK_SQL, decision_view
 from verdigate.plans.registry import query
 from verdigate.plans.tasks import task_decisions
 
-# Replicates of the registered queries; a protocol run passes 2,000 or more.
-REPLICATES = 40
+# Fixed value: replicates of the protocol.
+REPLICATES = 2000
 # Fixed value: bootstrap seed of the protocol, folded to 32 bits by the hash.
 SEED = 3794103132
 CORE_NAMES = [r.name for r in rules.core_rules()]
@@ -31,15 +32,30 @@ def mix_sql(source: str, target: str) -> str:
 
 def draws_sql(sizes: str, group: str, replicates: int = REPLICATES, seed: int = SEED,
               block: int = 1) -> str:
-    """CTEs that end in draws(group, replicate, position, n); `sizes` has group, n."""
-    return f"""
+    """CTEs that end in draws(group, n, replicate, position), and slot where `block` is
+    above 1; `sizes` has group, n."""
+    slots = f"""
 dr0 AS (
   SELECT {group}, n, CAST(ceil(n * 1.0 / {block}) AS BIGINT) AS nb,
     unnest(range(0, {replicates} * CAST(ceil(n * 1.0 / {block}) AS BIGINT))) AS id FROM {sizes}),
 dr1 AS (SELECT *, id // nb AS replicate, id % nb AS slot FROM dr0),
 dr2 AS (SELECT {group}, n, replicate, slot, {mix_sql("slot + 1", "a")},
-  {mix_sql(f"replicate + {seed}", "b")}, {mix_sql("xor(a, b)", "u")} FROM dr1),
-draws AS (SELECT {group}, n, replicate, slot, u % n AS position FROM dr2)"""
+  {mix_sql(f"replicate + {seed}", "b")}, {mix_sql("xor(a, b)", "u")} FROM dr1)"""
+    if block > 1:
+        return f"""{slots},
+draws AS (SELECT {group}, n, replicate, slot, (u * n) >> 32 AS position FROM dr2)"""
+    return f"""{slots},
+dr3 AS (
+  SELECT {group}, n, replicate, ((u * n) >> 32) // {RUN} AS run, count(*) AS taken
+  FROM dr2 GROUP BY 1, 2, 3, 4),
+dr4 AS (
+  SELECT {group}, n, replicate, run, taken, {mix_sql("run", "a")},
+    {mix_sql(f"replicate + {seed}", "b")}, {mix_sql("xor(a, b)", "own")} FROM dr3),
+dr5 AS (SELECT {group}, n, replicate, run, own, unnest(range(0, taken)) AS number FROM dr4),
+dr6 AS (SELECT {group}, n, replicate, run, {mix_sql("number + 1", "e")},
+  {mix_sql("xor(own, e)", "u")} FROM dr5),
+draws AS (SELECT {group}, n, replicate,
+  run * {RUN} + u % least({RUN}, n - run * {RUN}) AS position FROM dr6)"""
 
 
 BOUND_SQL = f"""{WITH_D}, {S.PROFILED},
@@ -94,8 +110,8 @@ def cluster_bootstrap_bounds(spark, directory):
 
 @query("B1_block_multinomial_bootstrap")
 def block_multinomial_bounds(spark, directory):
-    """The large-scale route of the same bootstrap: 200 replicates drawn inside tasks."""
-    return core_bounds(spark, directory, replicates=200, method="blocks")
+    """The same bootstrap with seeded random numbers, split down a tree of blocks."""
+    return core_bounds(spark, directory, method="blocks")
 
 
 COMPONENTS = {
