@@ -404,6 +404,11 @@ def test_ngrams_and_markup(spark):
     df = spark.createDataFrame([(r"% note" + "\n" + r"\textbf{Big} cats-eat \cite{x} fish",), ("two",)], "t STRING")
     got = [r[0] for r in df.select(TX.tokens(F.col("t"))).collect()]
     assert got == [["cats-eat", "fish"], ["two"]]
+    nested = "word"
+    for _ in range(9):
+        nested = r"\emph{" + nested + "}"
+    deep = spark.createDataFrame([("a " + nested + " b",), ("}} { " + nested,), (None,), ("{x} \\",)], "t STRING")
+    assert [r[0] for r in deep.select(TX.tokens(F.col("t"))).collect()] == [["a", "b"], [], None, ["x"]]
     grams = df.select(TX.ngrams(TX.tokens(F.col("t")), 2)).collect()
     assert [r[0] for r in grams] == [["cats-eat fish"], []]
 

@@ -63,15 +63,27 @@ COMMAND = r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])?"
 SYMBOLS = r"[`*_{}$&^~#|>]"
 
 
-def tokens(text: Column, markup_depth: int = 4) -> Column:
+def tokens(text: Column) -> Column:
     """Lower-case tokens of a text after comments and markup are removed.
 
-    Each round removes the innermost commands; `markup_depth` is the nesting that
-    can occur.
+    Each round removes the innermost commands.  A text takes as many rounds as its
+    braces are deep, or as it has commands, if fewer; then none is left.
     """
     plain = F.regexp_replace(text, r"(?m)^\s*%.*$", " ")
-    for _ in range(markup_depth):
-        plain = F.regexp_replace(plain, MARKUP, " ")
+    braces = F.regexp_extract_all(plain, F.lit("[{}]"), 0)
+    depth = F.aggregate(
+        braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda seen, brace: F.when(
+            brace == "{",
+            F.struct((seen["now"] + 1).alias("now"), F.greatest(seen["most"], seen["now"] + 1).alias("most")),
+        ).otherwise(F.struct(F.greatest(seen["now"] - 1, F.lit(0)).alias("now"), seen["most"].alias("most"))),
+        lambda seen: seen["most"],
+    )
+    rounds = F.least(depth, F.regexp_count(plain, F.lit(r"\\[A-Za-z]+")))
+    stripped = F.aggregate(
+        F.array_repeat(F.lit(1), rounds), plain, lambda left, _: F.regexp_replace(left, MARKUP, " ")
+    )
+    plain = F.when(text.contains("\\") & text.contains("{"), stripped).otherwise(plain)
     plain = F.regexp_replace(F.regexp_replace(plain, COMMAND, " "), SYMBOLS, " ")
     return F.regexp_extract_all(F.lower(plain), F.lit(TOKEN), 0)
 

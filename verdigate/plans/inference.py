@@ -47,7 +47,7 @@ draws AS (SELECT {group}, n, replicate, slot, (u * n) >> 32 AS position FROM dr2
     return f"""{slots},
 dr3 AS (
   SELECT {group}, n, replicate, ((u * n) >> 32) // {RUN} AS run, count(*) AS taken
-  FROM dr2 GROUP BY 1, 2, 3, 4),
+  FROM dr2 GROUP BY ALL),
 dr4 AS (
   SELECT {group}, n, replicate, run, taken, {mix_sql("run", "a")},
     {mix_sql(f"replicate + {seed}", "b")}, {mix_sql("xor(a, b)", "own")} FROM dr3),
@@ -58,28 +58,29 @@ draws AS (SELECT {group}, n, replicate,
   run * {RUN} + u % least({RUN}, n - run * {RUN}) AS position FROM dr6)"""
 
 
-BOUND_SQL = f"""{WITH_D}, {S.PROFILED},
+def bounds_of_dp(keys: str = "profile") -> str:
+    """CTEs from dp (ruled rows with `keys`) to bounds per rule and `keys`."""
+    return f"""
 cs AS (
-  SELECT rule, profile, event_cluster_id, count(*) AS rows,
+  SELECT rule, {keys}, event_cluster_id, count(*) AS rows,
     count(*) FILTER (WHERE authorized) AS authorized,
     count(*) FILTER (WHERE selected_harm) AS harmful,
     count(*) FILTER (WHERE selected_laundering) AS laundering, sum(selected_utility) AS utility
-  FROM dp GROUP BY 1, 2, 3),
+  FROM dp GROUP BY ALL),
 cl AS (
-  SELECT profile, event_cluster_id, row_number() OVER (PARTITION BY profile
+  SELECT {keys}, event_cluster_id, row_number() OVER (PARTITION BY {keys}
     ORDER BY md5(CAST(event_cluster_id AS VARCHAR)), event_cluster_id) - 1 AS position
-  FROM (SELECT DISTINCT profile, event_cluster_id FROM cs)),
-sz AS (SELECT profile, count(*) AS n FROM cl GROUP BY 1), {draws_sql("sz", "profile")},
-w AS (SELECT profile, n, replicate, position, count(*) AS w FROM draws GROUP BY 1, 2, 3, 4),
+  FROM (SELECT DISTINCT {keys}, event_cluster_id FROM cs)),
+sz AS (SELECT {keys}, count(*) AS n FROM cl GROUP BY ALL), {draws_sql("sz", keys)},
+w AS (SELECT {keys}, n, replicate, position, count(*) AS w FROM draws GROUP BY ALL),
 bs AS (
-  SELECT rule, w.profile, n, replicate, sum(w * rows) * 1.0e0 AS rows,
+  SELECT rule, {keys}, n, replicate, sum(w * rows) * 1.0e0 AS rows,
     sum(w * authorized) * 1.0e0 AS authorized, sum(w * harmful) * 1.0e0 AS harmful,
     sum(w * laundering) * 1.0e0 AS laundering, sum(w * utility) AS utility
-  FROM w JOIN cl ON w.profile = cl.profile AND w.position = cl.position
-    JOIN cs ON cs.profile = cl.profile AND cs.event_cluster_id = cl.event_cluster_id
-  GROUP BY 1, 2, 3, 4),
+  FROM w JOIN cl USING ({keys}, position) JOIN cs USING ({keys}, event_cluster_id)
+  GROUP BY ALL),
 bounds AS (
-  SELECT rule, profile, n AS clusters, count(*) AS replicates,
+  SELECT rule, {keys}, n AS clusters, count(*) AS replicates,
     count(*) FILTER (WHERE authorized = 0) AS zero_authorized_replicates,
     quantile_cont(authorized / rows, 0.05) AS coverage_lcb95,
     quantile_cont(authorized / rows, 0.95) AS coverage_ucb95,
@@ -88,7 +89,10 @@ bounds AS (
     quantile_cont(utility, 0.05) AS cau_lcb95, quantile_cont(utility, 0.95) AS cau_ucb95,
     quantile_cont(CASE WHEN authorized > 0 THEN utility / authorized END, 0.05) AS upa_lcb95,
     quantile_cont(CASE WHEN authorized > 0 THEN utility / authorized END, 0.95) AS upa_ucb95
-  FROM bs GROUP BY 1, 2, 3)"""
+  FROM bs GROUP BY ALL)"""
+
+
+BOUND_SQL = f"{WITH_D}, {S.PROFILED}, {bounds_of_dp()}"
 BOUND_DOUBLES = ("coverage_lcb95", "coverage_ucb95", "far_ucb95", "alr_ucb95", "cau_lcb95",
                  "cau_ucb95", "upa_lcb95", "upa_ucb95")
 
@@ -365,22 +369,28 @@ def co_primary_decision(spark, directory):
     return resample.co_primary(interval, -0.015, 0.020)
 
 
-SURFACE_SQL = f"""{BOUND_SQL}, grid AS (
+def surface_of_bounds(keys: str = "") -> str:
+    """CTEs from bounds to surface, vol and cert, per rule and the further `keys`."""
+    also = f", {keys}" if keys else ""
+    return f"""grid AS (
   SELECT tau_h, tau_a, c_min FROM (SELECT unnest([0.05e0,0.1e0,0.15e0,0.2e0,0.25e0,0.3e0]) AS tau_h),
     (SELECT unnest([0.0e0,0.01e0,0.02e0,0.05e0]) AS tau_a),
     (SELECT unnest([0.05e0,0.1e0,0.2e0,0.3e0,0.5e0]) AS c_min)),
-surface AS (
-  SELECT rule, profile, tau_h, tau_a, c_min,
+  surface AS (
+  SELECT rule{also}, profile, tau_h, tau_a, c_min,
     coalesce(far_ucb95 <= tau_h AND alr_ucb95 <= tau_a AND coverage_lcb95 >= c_min, FALSE) AS passed,
     coalesce(far_ucb95 > tau_h, TRUE) AS failure_far, coalesce(alr_ucb95 > tau_a, TRUE) AS failure_alr,
     coverage_lcb95 < c_min AS failure_coverage
   FROM bounds, grid WHERE profile IN ('overall', 'stress')),
-vol AS (SELECT rule, profile, avg(CAST(passed AS DOUBLE)) AS certification_volume
-  FROM surface GROUP BY 1, 2),
-cert AS (
-  SELECT rule, max(certification_volume) FILTER (WHERE profile = 'overall') AS overall,
+  vol AS (SELECT rule{also}, profile, avg(CAST(passed AS DOUBLE)) AS certification_volume
+  FROM surface GROUP BY ALL),
+  cert AS (
+  SELECT rule{also}, max(certification_volume) FILTER (WHERE profile = 'overall') AS overall,
     max(certification_volume) FILTER (WHERE profile = 'stress') AS stress,
-    min(certification_volume) AS worst_profile_certification_volume FROM vol GROUP BY 1)"""
+    min(certification_volume) AS worst_profile_certification_volume FROM vol GROUP BY ALL)"""
+
+
+SURFACE_SQL = f"{BOUND_SQL}, {surface_of_bounds()}"
 
 
 def core_surface(spark: SparkSession, directory: str) -> DataFrame:

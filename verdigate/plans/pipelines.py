@@ -14,7 +14,8 @@ from verdigate.plans import sql_rules as S
 from verdigate.plans.calibration import FOLD_SQL, selection
 from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, WITH_D, core_decisions
 from verdigate.plans.inference import (
-    CORE_NAMES, MEASURES, PAIR, POLICY_SQL, REPLICATES, SEED, SURFACE_SQL, core_bounds, draws_sql,
+    CORE_NAMES, MEASURES, PAIR, POLICY_SQL, REPLICATES, SEED, SURFACE_SQL, bounds_of_dp, core_bounds, draws_sql,
+    surface_of_bounds,
 )
 from verdigate.plans.markets import replay
 from verdigate.plans.provenance import (
@@ -104,6 +105,22 @@ def provenance_audit(spark, directory):
     )
 
 
+def _rho_sql(source: str, keys: str) -> str:
+    """Spearman of x and y over complete rows of `source`, per key."""
+    return f"""rk AS (
+      SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x)
+          + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0e0 AS rx,
+        rank() OVER (PARTITION BY {keys} ORDER BY y)
+          + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2.0e0 AS ry
+      FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL),
+    rho AS (
+      SELECT {keys}, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN corr(rx, ry) END
+          AS spearman_rho,
+        CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN 'defined'
+          ELSE 'constant_rank' END AS status
+      FROM rk GROUP BY {keys})"""
+
+
 @query("PL3_public_replay")
 def public_replay(spark, directory):
     """Grid rules over kept market replay rows: metrics, bounds and volumes."""
@@ -126,7 +143,26 @@ def public_replay(spark, directory):
     )
 
 
-@query("PL4_generator_robustness")
+@query(
+    "PL4_generator_robustness",
+    f"""{WITH_D}, dq AS (SELECT *, symbol AS generator_family FROM d WHERE certification_eligible),
+    dp AS (SELECT *, 'overall' AS profile FROM dq
+      UNION ALL SELECT *, 'stress' FROM dq WHERE opportunity_slice <> 'ordinary'),
+    {bounds_of_dp("generator_family, profile")}, {surface_of_bounds("generator_family")},
+    m AS ({S.profile_metrics("dq", "generator_family, rule", tail=False)}),
+    ranked AS (
+      SELECT generator_family, rule,
+        rank() OVER (PARTITION BY generator_family ORDER BY far NULLS LAST) * 1.0e0 AS raw_far_rank,
+        rank() OVER (PARTITION BY generator_family
+          ORDER BY worst_profile_certification_volume DESC) * 1.0e0 AS certification_rank
+      FROM m JOIN cert USING (generator_family, rule)),
+    xy AS ({" UNION ALL ".join(
+        f"SELECT '{c}' AS metric, rule, max({c}) FILTER (WHERE generator_family = 'F') AS x, "
+        f"max({c}) FILTER (WHERE generator_family = 'O') AS y FROM ranked GROUP BY 2"
+        for c in ("raw_far_rank", "certification_rank"))}), {_rho_sql("xy", "metric")}
+    SELECT * FROM rho""",
+    ("spearman_rho",),
+)
 def generator_robustness(spark, directory):
     """Certification per family and the agreement of the two families' rankings."""
     d = core_decisions(spark, directory).withColumn("generator_family", F.col("symbol"))
@@ -164,7 +200,15 @@ def generator_robustness(spark, directory):
     return ranks.spearman(wide, ["metric"], "x", "y")
 
 
-@query("PL5_baseline_governance")
+@query(
+    "PL5_baseline_governance",
+    f"""WITH {DECISION_SQL}, {S.outcomes({**S.ABLATIONS, **S.COMPOSITIONS}, "v")},
+    dp AS (SELECT *, 'overall' AS profile FROM d WHERE certification_eligible),
+    {bounds_of_dp()}, {surface_of_bounds()}, m AS ({S.profile_metrics(tail=False)})
+    SELECT rule, coverage, far, alr, review_rate, cau, certification_volume
+    FROM m JOIN vol USING (rule, profile)""",
+    ("coverage", "far", "alr", "review_rate", "cau", "certification_volume"),
+)
 def baseline_governance(spark, directory):
     """Ablations and compositions after the registered checklist was reproduced."""
     v = decision_view(spark, directory)
@@ -182,22 +226,6 @@ def baseline_governance(spark, directory):
     )
 
 
-def _rho_sql(source: str, keys: str) -> str:
-    """Spearman of x and y over complete rows of `source`, per key."""
-    return f"""rk AS (
-      SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x)
-          + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0e0 AS rx,
-        rank() OVER (PARTITION BY {keys} ORDER BY y)
-          + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2.0e0 AS ry
-      FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL),
-    rho AS (
-      SELECT {keys}, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN corr(rx, ry) END
-          AS spearman_rho,
-        CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN 'defined'
-          ELSE 'constant_rank' END AS status
-      FROM rk GROUP BY {keys})"""
-
-
 SPLIT_METRICS = f"""{WITH_D}, sm AS (
   SELECT rule, split, avg(CAST(authorized AS DOUBLE)) AS coverage,
     avg(CASE WHEN authorized THEN CAST(selected_harm AS DOUBLE) END) AS far,

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,3 +91,23 @@ def result_csv(spark, directory):
         [T.StructField("event_type", T.StringType()), T.StructField("n", T.LongType())]
     )
     return ingest.read_table(spark, path, schema)
+
+
+@query(
+    "T7_ordered_results",
+    "SELECT row_number() OVER (ORDER BY n DESC, event_type) AS line, event_type, n "
+    "FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
+)
+def ordered_results(spark, directory):
+    """The lines of a result table in the order of the sink; one file is one partition."""
+    path = scratch(spark) + "/ordered.csv"
+    counts = _events(spark, directory).groupBy("event_type").agg(F.count("*").alias("n"))
+    sinks.write_result_csv(counts, path, [F.desc_nulls_last("n"), "event_type"])
+    schema = T.StructType(
+        [T.StructField("event_type", T.StringType()), T.StructField("n", T.LongType())]
+    )
+    lines = ingest.read_table(spark, path, schema).select(
+        F.monotonically_increasing_id().alias("_at"), "event_type", "n"
+    )
+    line = F.row_number().over(Window.orderBy("_at")).cast("bigint")
+    return lines.select(line.alias("line"), "event_type", "n")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigate.functions.columns import canonical_json, null_if_not_finite
 
 
-def write_result_csv(df: DataFrame, path: str) -> None:
-    """Result tables have one row per rule, profile or grid cell, so one file."""
-    df.coalesce(1).write.mode("errorifexists").csv(path, header=True)
+def write_result_csv(df: DataFrame, path: str, order: Sequence[str | Column] = ()) -> None:
+    """Result tables have one row per rule, profile or grid cell, so one file, whose
+    lines follow `order`."""
+    one = df.coalesce(1)
+    (one.sortWithinPartitions(*order) if order else one).write.mode("errorifexists").csv(path, header=True)
 
 
 def write_by_split(df: DataFrame, path: str, column: str = "split") -> None:
