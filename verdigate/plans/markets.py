@@ -209,6 +209,13 @@ rp AS (
   FROM rp0)"""
 
 
+STRESS_SQL = """CASE WHEN fee_rate > 0 AND prior BETWEEN 0.4 AND 0.6
+  THEN 'fee_peak_near_50' WHEN sigma >= 0.1 THEN 'high_historical_price_uncertainty'
+  WHEN points_before <= 5 THEN 'thin_historical_price_record'
+  WHEN prior <= 0.1 OR prior >= 0.9 THEN 'extreme_probability' ELSE 'ordinary' END"""
+UTILITY_SQL = "payoff - entry - fee_rate * entry * (1 - entry)"
+
+
 def replay(spark: SparkSession, directory: str) -> DataFrame:
     return M.replay_rows(
         materialize(market_view(spark, directory)), price_points(spark, directory), 0.5, 2
@@ -222,12 +229,9 @@ def replay(spark: SparkSession, directory: str) -> DataFrame:
       CASE WHEN reason IS NULL THEN execution END AS execution_probability,
       CASE WHEN reason IS NULL THEN sigma END AS uncertainty,
       CASE WHEN reason IS NULL THEN med * 10000.0e0 END AS liquidity_cost_bps,
-      CASE WHEN reason IS NULL THEN payoff - entry - fee_rate * entry * (1 - entry) END
+      CASE WHEN reason IS NULL THEN {UTILITY_SQL} END
         AS full_utility,
-      CASE WHEN reason IS NULL THEN CASE WHEN fee_rate > 0 AND prior BETWEEN 0.4 AND 0.6
-        THEN 'fee_peak_near_50' WHEN sigma >= 0.1 THEN 'high_historical_price_uncertainty'
-        WHEN points_before <= 5 THEN 'thin_historical_price_record'
-        WHEN prior <= 0.1 OR prior >= 0.9 THEN 'extreme_probability' ELSE 'ordinary' END END
+      CASE WHEN reason IS NULL THEN {STRESS_SQL} END
         AS stress_tag FROM rp""",
     ("prior_probability", "execution_probability", "uncertainty", "liquidity_cost_bps",
      "full_utility"),
@@ -253,7 +257,24 @@ def market_exclusions(spark, directory):
     ).agg(F.count("*").alias("markets"))
 
 
-@query("PL10_market_dataset")
+@query(
+    "PL10_market_dataset",
+    f"""WITH {REPLAY_SQL}, kb AS (
+      SELECT *, {STRESS_SQL} AS stress_tag, {UTILITY_SQL} AS full_utility,
+        greatest(prior, 1 - prior) AS confidence, row_number() OVER (PARTITION BY event_cluster_id
+          ORDER BY coalesce(volume, 0) DESC, closed_at - created DESC, id DESC) AS rn
+      FROM rp WHERE reason IS NULL),
+    placed AS (
+      SELECT *, row_number() OVER (ORDER BY closed_at, event_cluster_id) AS place,
+        count(*) OVER () AS n FROM kb WHERE rn = 1),
+    cut AS (
+      SELECT *, CASE WHEN place <= round_even(0.6e0 * n, 0) THEN 'train'
+        WHEN place <= round_even(0.6e0 * n, 0) + round_even(0.2e0 * n, 0) THEN 'validation'
+        ELSE 'test' END AS split FROM placed)
+    SELECT split, stress_tag, count(*) AS rows, avg(full_utility) AS full_utility,
+      avg(confidence) AS confidence FROM cut GROUP BY 1, 2""",
+    ("full_utility", "confidence"),
+)
 def market_dataset(spark, directory, thin_to: int | None = None):
     """Kept replay rows, one market per cluster, thinned evenly if asked, split in time order."""
     kept = replay(spark, directory).filter(F.col("reason").isNull())
