@@ -12,12 +12,12 @@ from verdigate.operators.distributed import materialize, rank_min
 from verdigate.operators.text import jensen_shannon_drift
 from verdigate.plans import sql_rules as S
 from verdigate.plans.calibration import FOLD_SQL, selection
-from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, WITH_D, core_decisions
+from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, PUBLIC_SQL, WITH_D, core_decisions
 from verdigate.plans.inference import (
     CORE_NAMES, MEASURES, PAIR, POLICY_SQL, REPLICATES, SEED, SURFACE_SQL, bounds_of_dp, core_bounds, draws_sql,
     surface_of_bounds,
 )
-from verdigate.plans.markets import replay
+from verdigate.plans.markets import REPLAY_SQL, STRESS_SQL, UTILITY_SQL, replay
 from verdigate.plans.provenance import (
     LAUNDERING_DOUBLES, LAUNDERING_FIELDS, WITH_L, provenance_decisions,
 )
@@ -26,7 +26,9 @@ from verdigate.plans.registry import query
 from verdigate.plans.structure import test_clusters
 from verdigate.plans.tasks import task_decisions
 from verdigate.plans.texts import TEXT_SQL, signals
-from verdigate.plans.timeseries import prior_rows
+from verdigate.plans.timeseries import (
+    BOOK_FULL_SQL, BOOK_GROSS_SQL, BOOK_REDUCED_SQL, BOOK_STRESS_SQL, PRIOR_ROWS_SQL, prior_rows,
+)
 
 
 @query(
@@ -121,7 +123,28 @@ def _rho_sql(source: str, keys: str) -> str:
       FROM rk GROUP BY {keys})"""
 
 
-@query("PL3_public_replay")
+#: All rows of d, and those under stress, as profiles.
+STRESSED_SQL = """dp AS (SELECT *, 'overall' AS profile FROM d
+  UNION ALL SELECT *, 'stress' FROM d WHERE stress_tag <> 'ordinary')"""
+
+
+@query(
+    "PL3_public_replay",
+    f"""WITH {REPLAY_SQL}, v AS (
+      SELECT event_cluster_id, 'edge_proposer' AS source_role, TRUE AS original_source_eligible,
+        greatest(prior, 1.0e0 - prior) AS confidence, sigma AS uncertainty, sigma AS volatility_proxy,
+        abs(prior - 0.5e0) * 20000.0e0 AS expected_edge_bps, med * 10000.0e0 AS liquidity_cost_bps,
+        0.0e0 AS turnover_cost_bps, fee_rate * prior * (1.0e0 - prior) * 10000.0e0 AS fee_bps,
+        {UTILITY_SQL} AS full_utility, 0.5e0 * ({UTILITY_SQL}) AS reduced_utility,
+        greatest(1, round_even((closed_at - decided) / 3600.0e0, 0)) AS horizon,
+        {STRESS_SQL} AS stress_tag
+      FROM rp WHERE reason IS NULL),
+    {S.outcomes(PUBLIC_SQL, "v")}, {STRESSED_SQL}, {bounds_of_dp()}, {surface_of_bounds()},
+    pm AS ({S.profile_metrics(tail=False)})
+    SELECT rule, rows, coverage, far, cau, overall, stress, worst_profile_certification_volume
+    FROM pm JOIN cert USING (rule) WHERE profile = 'overall'""",
+    ("coverage", "far", "cau", "overall", "stress", "worst_profile_certification_volume"),
+)
 def public_replay(spark, directory):
     """Grid rules over kept market replay rows: metrics, bounds and volumes."""
     kept = replay(spark, directory).filter(F.col("reason").isNull()).withColumns(
@@ -270,7 +293,29 @@ def book_decisions(spark: SparkSession, directory: str) -> DataFrame:
     ))
 
 
-@query("PL11_order_book_evaluation")
+_ROLES_SQL = " ".join(
+    f"WHEN '{family}' THEN '{role}'" for family, (role, _) in labels.PRIOR_ROLES.items()
+)
+_ELIGIBLE_SQL = ", ".join(f"'{family}'" for family, (_, kept) in labels.PRIOR_ROLES.items() if kept)
+BOOK_DECISIONS_SQL = f"""v AS (
+  WITH {PRIOR_ROWS_SQL}, g AS (SELECT *, {BOOK_GROSS_SQL} AS gross FROM pr)
+  SELECT 'book-' || strftime(day, '%Y-%m-%d') AS event_cluster_id, prior_family,
+    CASE prior_family {_ROLES_SQL} END AS source_role,
+    prior_family IN ({_ELIGIBLE_SQL}) AS original_source_eligible,
+    confidence, uncertainty, vp AS volatility_proxy, expected_edge_bps, liquidity_cost_bps,
+    0.0e0 AS turnover_cost_bps, 8.0e0 AS fee_bps, {BOOK_FULL_SQL} AS full_utility,
+    {BOOK_REDUCED_SQL} AS reduced_utility, {BOOK_STRESS_SQL} AS stress_tag FROM g),
+{S.outcomes(S.CORE, "v")}"""
+
+
+@query(
+    "PL11_order_book_evaluation",
+    f"""WITH {BOOK_DECISIONS_SQL}, {STRESSED_SQL}, {bounds_of_dp()},
+    pm AS ({S.profile_metrics(tail=False)})
+    SELECT rule, profile, pm.rows, coverage, far, alr, cau, coverage_lcb95, far_ucb95, alr_ucb95
+    FROM pm JOIN bounds USING (rule, profile)""",
+    ("coverage", "far", "alr", "cau", "coverage_lcb95", "far_ucb95", "alr_ucb95"),
+)
 def order_book_evaluation(spark, directory):
     """Profile metrics of the core rules on order-book rows with cluster bounds."""
     d = book_decisions(spark, directory)

@@ -422,6 +422,12 @@ pr1 AS (SELECT *, CASE WHEN candidate_action > 0 THEN ask ELSE bid END AS din,
 pr AS (SELECT *, 2.0e0 * {_imp("din")} AS liquidity_cost_bps FROM pr1)"""
 
 
+BOOK_STRESS_SQL = """CASE WHEN prior_family = 'liquidity_critic' THEN 'role_ineligible_source'
+  WHEN prior_family = 'spread_blind_high_conf' THEN 'cost_blind_high_confidence'
+  WHEN liquidity_cost_bps > 15.0e0 THEN 'high_execution_friction'
+  WHEN vp > 0.8e0 THEN 'high_volatility' ELSE 'ordinary' END"""
+
+
 def prior_rows(spark: SparkSession, directory: str) -> DataFrame:
     kept = X.keep_complete(materialize(book(spark, directory)), "day")
     return datasets.order_book_rows(kept, PLAN, "book")
@@ -431,10 +437,7 @@ def prior_rows(spark: SparkSession, directory: str) -> DataFrame:
     "PRJ18_PRJ19_PRJ20_weak_priors",
     f"""WITH {PRIOR_ROWS_SQL} SELECT decision_id, prior_family, candidate_action, confidence,
       uncertainty, expected_edge_bps, liquidity_cost_bps,
-      CASE WHEN prior_family = 'liquidity_critic' THEN 'role_ineligible_source'
-        WHEN prior_family = 'spread_blind_high_conf' THEN 'cost_blind_high_confidence'
-        WHEN liquidity_cost_bps > 15.0e0 THEN 'high_execution_friction'
-        WHEN vp > 0.8e0 THEN 'high_volatility' ELSE 'ordinary' END AS stress_tag FROM pr""",
+      {BOOK_STRESS_SQL} AS stress_tag FROM pr""",
     ("confidence", "uncertainty", "expected_edge_bps", "liquidity_cost_bps"),
 )
 def weak_prior_rows(spark, directory):
@@ -449,16 +452,21 @@ def _pay(n: str) -> str:
     return f"({a} + {a.replace('din', 'dout')})"
 
 
+#: Signed return of a depth row, and its utilities after fee and impact on both sides.
+BOOK_GROSS_SQL = "candidate_action * (exit_price / entry_price - 1.0e0) * 10000.0e0"
+BOOK_FULL_SQL = f"gross - 8.0e0 - {_pay('100000.0e0')}"
+BOOK_REDUCED_SQL = f"0.5e0 * (gross - 8.0e0 - {_pay('50000.0e0')})"
+
+
 @query(
     "PRJ17_order_book_outcomes",
     f"""WITH {PRIOR_ROWS_SQL}, g AS (
-      SELECT *, candidate_action * (exit_price / entry_price - 1.0e0) * 10000.0e0 AS gross,
+      SELECT *, {BOOK_GROSS_SQL} AS gross,
         CASE WHEN candidate_action > 0 THEN (exit_price / entry_price - 1.0e0) * 10000.0e0
           ELSE (entry_price / exit_price - 1.0e0) * 10000.0e0 END AS qgross FROM pr)
     SELECT prior_family, count(*) AS rows,
-      sum(gross - 8.0e0 - {_pay("100000.0e0")}) AS full_utility,
-      sum(0.5e0 * (gross - 8.0e0 - {_pay("50000.0e0")})) AS reduced_utility,
-      count(*) FILTER (WHERE gross - 8.0e0 - {_pay("100000.0e0")} < 0) AS harms,
+      sum({BOOK_FULL_SQL}) AS full_utility, sum({BOOK_REDUCED_SQL}) AS reduced_utility,
+      count(*) FILTER (WHERE {BOOK_FULL_SQL} < 0) AS harms,
       sum(qgross - 8.0e0) AS quote_full_utility FROM g GROUP BY 1""",
     ("full_utility", "reduced_utility", "quote_full_utility"),
 )
