@@ -227,12 +227,13 @@ def permuted_columns(spark, directory):
     )
 
 
-@query("PL21_calibration_run")
+@query("PL21_calibration_run", f"WITH {FOLD_SQL} SELECT * FROM sel", ("max_observed_coverage",))
 def calibration_run(spark, directory):
     """Guard, checked join, folds, grid and selection of a development run."""
     t = task_frame(spark, directory).withColumn("split", F.lit("Development"))
     guarded = X.assert_only_splits(t, ("development",))
-    outcomes = guarded.select("context_id", F.col("full_task_utility").alias("sealed_utility"))
+    sealed = task_frame(spark, directory)
+    outcomes = sealed.select("context_id", F.col("full_task_utility").alias("sealed_utility"))
     joined = X.checked_join(guarded, outcomes, ["context_id"], required=["sealed_utility"])
     folds = X.contiguous_folds(joined, "event_cluster_id", "decision_timestamp", 5)
     by_name = {r.name: r for r in rules.two_task_rules()}

@@ -502,7 +502,16 @@ def action_liquidity_cost(spark, directory):
     return df.groupBy("action").agg(F.sum(cost).alias("cost"))
 
 
-@query("PL7_order_book_dataset")
+@query(
+    "PL7_order_book_dataset",
+    f"""WITH {PRIOR_ROWS_SQL}, days AS (
+      SELECT day, row_number() OVER (ORDER BY day) AS place FROM (SELECT DISTINCT day FROM pr))
+    SELECT CASE WHEN place <= 5 THEN 'development' WHEN place <= 15 THEN 'paper_test'
+        ELSE 'community_hidden' END AS split, prior_family, count(*) AS rows,
+      count(DISTINCT day) AS clusters, avg(confidence) AS confidence
+    FROM pr JOIN days USING (day) GROUP BY 1, 2""",
+    ("confidence",),
+)
 def order_book_dataset(spark, directory):
     """Feature rows with chronological splits, per split and prior family."""
     rows = prior_rows(spark, directory)
