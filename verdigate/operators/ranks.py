@@ -265,9 +265,10 @@ def rho_summary(rhos: DataFrame, groups: Sequence[str], replicates: int) -> Data
 
 def holm(df: DataFrame, p: str = "raw_p", name: str = "name", groups: Sequence[str] = (),
          alpha: float = 0.05) -> DataFrame:
-    """Step-down adjustment over the few hypotheses of each family."""
+    """Step-down adjustment over the few hypotheses of each family.  Values of p that differ
+    by rounding only (nine digits of their logarithm agree) go by name."""
     family = Window.partitionBy(*(groups or [F.lit(0)]))
-    ordered = family.orderBy(p, name)
+    ordered = family.orderBy(F.round(F.log10(F.greatest(F.col(p), F.lit(1e-300))), 9), name)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = F.count(F.lit(1)).over(family) - F.row_number().over(ordered) + 1
     raised = F.least(F.lit(1.0), F.col(p) * F.col("_m"))

@@ -314,6 +314,33 @@ def paired_burdens(spark, directory):
 MEASURES = ("false_authorization_difference", "laundering_difference")
 
 
+def pair_tests_sql(pairs: str, group: str, label: str) -> str:
+    """CTEs from `pairs`, CTEs that end with pd per `group` and cluster, to hm: two-sided
+    tests of both measures and their step-down adjustment.  The tail of Student's t is
+    Simpson's rule over the angle, which keeps small p apart."""
+    long = " UNION ALL ".join(
+        f"SELECT {group}, '{m}' AS {label}, {m} AS v FROM pd" for m in MEASURES
+    )
+    return f"""{pairs}, lo AS ({long}),
+    mo AS (SELECT {group}, {label}, {group} || ':' || {label} AS name, count(v) AS clusters,
+        avg(v) AS mean_difference, stddev_samp(v) AS standard_deviation FROM lo WHERE v IS NOT NULL GROUP BY ALL),
+    an AS (SELECT name, clusters - 1.0e0 AS nu,
+        atan(abs(mean_difference) / standard_deviation * sqrt(clusters / (clusters - 1.0e0))) AS a
+      FROM mo WHERE clusters > 1 AND standard_deviation > 1e-8),
+    tl AS (SELECT name, 2.0e0 * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(pi())
+        * (pi() / 2 - a) / 60000.0e0 * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+          * pow(greatest(cos(a + (pi() / 2 - a) * i / 20000.0e0), 0), nu - 1)) AS p
+      FROM an, range(0, 20001) AS steps(i) GROUP BY name, nu, a),
+    rw AS (SELECT mo.*, CASE WHEN clusters < 2 THEN 1.0e0 WHEN tl.p IS NOT NULL THEN least(tl.p, 1.0e0)
+        WHEN abs(mean_difference) > 1e-8 THEN 0.0e0 ELSE 1.0e0 END AS raw_p FROM mo LEFT JOIN tl USING (name)),
+    hl AS (SELECT *, row_number() OVER (ORDER BY round(log10(greatest(raw_p, 1e-300)), 9), name) AS place,
+        count(*) OVER () - place + 1 AS left_over FROM rw),
+    hm AS (SELECT * EXCLUDE (left_over, place), 0.05e0 / left_over AS holm_threshold,
+        max(least(1.0e0, raw_p * left_over)) OVER so_far AS holm_adjusted_p,
+        bool_and(raw_p <= 0.05e0 / left_over) OVER so_far AS reject
+      FROM hl WINDOW so_far AS (ORDER BY place ROWS UNBOUNDED PRECEDING))"""
+
+
 def _interval_sql(order: str, block: int) -> str:
     if block == 1:
         expand = "SELECT n, replicate, position FROM draws"

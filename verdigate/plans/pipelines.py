@@ -14,8 +14,8 @@ from verdigate.plans import sql_rules as S
 from verdigate.plans.calibration import FOLD_SQL, selection
 from verdigate.plans.coverage import COLLAPSE_CTES, PUBLIC_GRID, PUBLIC_SQL, WITH_D, core_decisions
 from verdigate.plans.inference import (
-    CORE_NAMES, MEASURES, PAIR, POLICY_SQL, REPLICATES, SEED, SURFACE_SQL, bounds_of_dp, core_bounds, draws_sql,
-    surface_of_bounds,
+    CORE_NAMES, MEASURES, PAIR, PAIR_SQL, POLICY_SQL, REPLICATES, SEED, SURFACE_SQL, bounds_of_dp, core_bounds,
+    draws_sql, pair_tests_sql, surface_of_bounds,
 )
 from verdigate.plans.markets import REPLAY_SQL, STRESS_SQL, UTILITY_SQL, replay
 from verdigate.plans.provenance import (
@@ -328,7 +328,18 @@ def order_book_evaluation(spark, directory):
     )
 
 
-@query("PL11_order_book_families")
+BOOK_PAIR_SQL = (
+    PAIR_SQL.replace(WITH_D, f"WITH {BOOK_DECISIONS_SQL}")
+    .replace("SELECT event_cluster_id,", "SELECT prior_family, event_cluster_id,", 1)
+    .replace("FROM d GROUP BY 1)", "FROM d GROUP BY 1, 2)", 1)
+)
+
+
+@query(
+    "PL11_order_book_families",
+    f"{pair_tests_sql(BOOK_PAIR_SQL, 'prior_family', 'metric')} SELECT * FROM hm",
+    ("mean_difference", "standard_deviation", "raw_p", "holm_threshold", "holm_adjusted_p"),
+)
 def order_book_families(spark, directory):
     """Paired differences per prior family with Holm-adjusted tests."""
     d = book_decisions(spark, directory)

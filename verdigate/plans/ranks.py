@@ -11,7 +11,7 @@ from verdigate.plans import sql_rules as S
 from verdigate.plans.coverage import WITH_D, core_decisions
 from verdigate.plans.inference import (
     CORE_NAMES, MEASURES, PAIR, PAIR_SQL, REPLICATES, SEED, SURFACE_SQL, burdens, core_bounds,
-    draws_sql,
+    draws_sql, pair_tests_sql,
 )
 from verdigate.plans.proxies import DECISION_SQL, TWO_TASK_SQL, decision_view
 from verdigate.plans.registry import query
@@ -314,10 +314,14 @@ def rank_transfer_surface(spark, directory):
     return joined.withColumn("primary_support", support)
 
 
+SYMBOL_PAIR_SQL = PAIR_SQL.replace(
+    "SELECT event_cluster_id,", "SELECT symbol, event_cluster_id,", 1
+).replace("FROM d GROUP BY 1)", "FROM d GROUP BY 1, 2)", 1)
+
+
 @query(
     "ST8_prior_family_tests",
-    f"""{PAIR_SQL.replace("SELECT event_cluster_id,", "SELECT symbol, event_cluster_id,", 1).replace(
-        "FROM d GROUP BY 1)", "FROM d GROUP BY 1, 2)", 1)},
+    f"""{SYMBOL_PAIR_SQL},
     long AS (
       SELECT symbol, 'false_authorization_difference' AS measure,
         false_authorization_difference AS v FROM pd
@@ -340,7 +344,12 @@ def family_tests(spark: SparkSession, directory: str) -> DataFrame:
     return ranks.t_test(wide.select("symbol", F.inline(cells)), "v", ["symbol", "measure"])
 
 
-@query("ST8_W13_family_tests_with_holm")
+@query(
+    "ST8_W13_family_tests_with_holm",
+    f"""{pair_tests_sql(SYMBOL_PAIR_SQL, "symbol", "measure")} SELECT symbol, measure, mean_difference,
+      raw_p, holm_adjusted_p, holm_threshold, reject FROM hm""",
+    ("mean_difference", "raw_p", "holm_adjusted_p", "holm_threshold"),
+)
 def family_tests_with_holm(spark, directory):
     tests = family_tests(spark, directory).withColumn(
         "name", F.concat_ws(":", "symbol", "measure")
