@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from verdigate.llm import exact, lm, mixing, neighbours, packing, rollup, shards, simhash, toxicity, urls
+from verdigate.llm import exact, lm, mixing, neighbours, packing, rollup, shards, simhash, similar, toxicity, urls
 from verdigate.llm.common import Scratch, components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, _row int"
@@ -145,6 +145,40 @@ def test_near_duplicates_and_stage(docs, spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def five_word_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("short, block", [(32, 1000), (3, 20)])
+def test_near_copies_of_the_stage_are_those_of_brute_force(spark, monkeypatch, short, block):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(similar, "SHORT", short)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    texts = [None, "", "one two", "One  two", "one two three"]
+    for n in (12, 60, 100, 400, 1000):
+        for _ in range(3):
+            base = [f"v{int(x)}" for x in rng.integers(0, 5000, n)]
+            for edits in (0, 1, 1, 2, 4, 8, 16, 32):
+                words = list(base)
+                for at in rng.integers(0, n, edits):
+                    words[at] = f"e{int(rng.integers(0, 10**6))}"
+                texts.append(" ".join(words))
+    base = [f"hot{i}" for i in range(150)]
+    for _ in range(70):
+        texts.append(" ".join(f"e{int(rng.integers(0, 10**6))}" if rng.random() < 0.02 else w for w in base))
+    rows = [(i, t, "en", "a", 0, "k", 1) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([*rows, (7000, *rows[20][1:]), (None, *rows[30][1:])], DOCS)
+    sets = [five_word_set(t) for t in texts]
+    near = lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8
+    want = roots(range(len(texts)), lambda a, b: near(sets[a], sets[b]))
+    kept = pipeline.near_copies_go(spark, table, "")
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(edges).collect()} == {0}
