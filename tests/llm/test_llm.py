@@ -283,6 +283,16 @@ def test_packing(docs):
         assert len(rows) == 1 or len(rows) * rows[0].bucket_length <= 1000
 
 
+def test_a_bucket_is_as_long_as_its_longest_document(spark):
+    lengths = [5, 1500, 1501, 3001, 3002, 5001, 9001]
+    rows = spark.createDataFrame([(i, i, n) for i, n in enumerate(lengths)], "_row bigint, doc_id bigint, length bigint")
+    found = packing.pack(Scratch(spark).table(rows), buckets=3).collect()
+    longest = {}
+    for r in found:
+        longest[r.bucket] = max(longest.get(r.bucket, 0), r.length)
+    assert sorted(r.length for r in found) == lengths and all(r.bucket_length == longest[r.bucket] for r in found)
+
+
 # 10: shards
 
 

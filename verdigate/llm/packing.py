@@ -78,11 +78,11 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     """
     cells = (
         rows.groupBy(length_cell(F.col("length")).alias("cell"))
-        .agg(F.count("*").alias("n"), F.sum("length").alias("s"))
+        .agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.max("length").alias("longest"))
         .orderBy("cell")
         .collect()
     )
-    ends = np.array([c["cell"] for c in cells], np.float64)
+    ends = np.array([c["longest"] for c in cells], np.float64)
     counts = np.array([c["n"] for c in cells], np.int64)
     chosen = best_boundaries(ends, counts, np.array([c["s"] for c in cells], np.int64), buckets)
     capacity = [max(1, token_budget // end) for end in chosen]
