@@ -41,7 +41,7 @@ def _scaled(value: Column, low: Column, high: Column) -> Column:
 def coordinates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Narrow rows: _row, doc_id, size, text_crc32 and a key per dimension.  Names are placed
     by their crc32, sizes by their logarithm; null names and ids by 0.  Equal texts share
-    the hash that breaks ties, so they stay neighbours."""
+    the hash that breaks ties, but splits on source, lang or doc_id can part them."""
     text = text_of()
     rows = numbered(
         docs, scratch, docs["doc_id"].alias("doc_id"), docs["source"].alias("source"),
