@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigate.llm import exact, lm, mixing, neighbours, packing, rollup, shards, simhash, toxicity, urls
+from verdigate.llm import (
+    exact, lm, manifest, mixing, neighbours, packing, rollup, runs, shards, simhash, toxicity, urls,
+)
 from verdigate.llm.common import Scratch, read, text_of, word_count
 from verdigate.sources.ingest import configure
 
@@ -73,6 +75,14 @@ def op10_kd_shards(spark: SparkSession, directory: str) -> DataFrame:
     return shards.kd_shards(read(spark, directory, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    return runs.periodic_runs(read(spark, directory, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return manifest.merkle_manifest(read(spark, directory, "documents"), Scratch(spark))
+
+
 OP2_SQL = r"""
 WITH counts AS (
   SELECT doc_id, source, lang,
@@ -139,11 +149,71 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
-SQL = {"op2_word_rollup": OP2_SQL, "op5_block_naming": OP5_SQL, "op6_mixing": OP6_SQL}
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) t(i)),
+tables AS (SELECT list(v ORDER BY i) AS t FROM crc),
+checked AS (
+  SELECT doc_id, list_reduce(
+           list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) CROSS JOIN tables),
+fields AS (
+  SELECT d.doc_id, lang, text,
+         coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-')
+           || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         n_chars, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS changed_chars
+  FROM documents d LEFT JOIN checked USING (doc_id)),
+leaves AS (
+  SELECT doc_id, lang,
+         sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(CAST(changed_chars AS VARCHAR)) || ':' || changed_chars, '-') || coalesce(strlen(text) || ':' || text, '-')) AS changed
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (size + 1) // 2
+  FROM nodes WHERE size > 1 GROUP BY tree, level, pos // 2, size),
+subroots AS (SELECT tree, level AS height, digest AS subroot FROM nodes WHERE size = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, subroot AS digest, count(*) OVER () AS size FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (size + 1) // 2
+  FROM tops WHERE size > 1 GROUP BY level, pos // 2, size),
+steps AS (
+  SELECT p.tree, p.pos, n.level AS step, n.digest, n.pos % 2 = 0 AS before
+  FROM placed p JOIN nodes n ON n.tree = p.tree AND n.pos = xor(p.pos >> n.level, 1)
+  UNION ALL
+  SELECT p.tree, p.pos, s.height + t.level, t.digest, t.pos % 2 = 0
+  FROM placed p JOIN subroots s USING (tree) JOIN tops t ON t.pos = xor(p.tree >> t.level, 1)),
+shape AS (
+  SELECT tree, s.height + (SELECT max(level) FROM tops) AS top FROM subroots s),
+proofs AS (SELECT tree, pos, string_agg(digest, '' ORDER BY step) AS way FROM steps GROUP BY tree, pos),
+folds AS (
+  SELECT tree, pos, 0 AS step, changed AS digest FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, f.step + 1,
+         sha256(CASE WHEN s.before THEN s.digest ELSE '' END || f.digest || CASE WHEN s.before THEN '' ELSE coalesce(s.digest, '') END)
+  FROM folds f JOIN shape ON shape.tree = f.tree AND f.step < shape.top
+  LEFT JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.step = f.step),
+root AS (SELECT digest AS root FROM tops WHERE size = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(way, '')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM placed p JOIN subroots USING (tree) JOIN shape USING (tree) CROSS JOIN root
+LEFT JOIN proofs ON proofs.tree = p.tree AND proofs.pos = p.pos
+JOIN folds f ON f.tree = p.tree AND f.pos = p.pos AND f.step = shape.top
+"""
+
+SQL = {"op12_merkle_manifest": OP12_SQL, "op2_word_rollup": OP2_SQL, "op5_block_naming": OP5_SQL, "op6_mixing": OP6_SQL}
 
 _ALL = (
     op1_vantage_point_search, op2_token_rollup, op2_word_rollup, op3_url_filter, op4_length_buckets,
     op5_block_naming, op6_mixing, op7_lattice_scores, op8_toxicity, op9_simhash_groups, op10_kd_shards,
+    op11_periodic_runs, op12_merkle_manifest,
 )
 
 
