@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigate.llm import (
-    exact, lm, manifest, mixing, neighbours, packing, rollup, runs, shards, simhash, toxicity, urls,
+    exact, lm, manifest, mixing, neighbours, packing, pages, rollup, runs, shards, simhash, toxicity, urls,
 )
 from verdigate.llm.common import Scratch, read, text_of, word_count
 from verdigate.sources.ingest import configure
@@ -83,6 +83,10 @@ def op12_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
     return manifest.merkle_manifest(read(spark, directory, "documents"), Scratch(spark))
 
 
+def op13_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    return pages.main_texts(read(spark, directory, "pages"), Scratch(spark))
+
+
 OP2_SQL = r"""
 WITH counts AS (
   SELECT doc_id, source, lang,
@@ -213,7 +217,7 @@ SQL = {"op12_merkle_manifest": OP12_SQL, "op2_word_rollup": OP2_SQL, "op5_block_
 _ALL = (
     op1_vantage_point_search, op2_token_rollup, op2_word_rollup, op3_url_filter, op4_length_buckets,
     op5_block_naming, op6_mixing, op7_lattice_scores, op8_toxicity, op9_simhash_groups, op10_kd_shards,
-    op11_periodic_runs, op12_merkle_manifest,
+    op11_periodic_runs, op12_merkle_manifest, op13_main_text,
 )
 
 
