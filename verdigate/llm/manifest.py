@@ -16,14 +16,18 @@ digests on its left and right.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigate.llm.common import Scratch, offsets_before, range_count
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Children of a parent, and nodes of a block at most.
 FANOUT = 2
 BLOCK = 4096

@@ -30,6 +30,8 @@ FACTOR = 1.0
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
 LEAF_ROWS = 64
+#: Error allowed for in a distance, sqrt(2 - 2 cos): near 0 it is some 1.5e-8.
+SLACK = 1e-7
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -105,7 +107,7 @@ def search(
         leaf_of = order[active, step]
         reached = np.sqrt(np.maximum(2 - 2 * best[active, 0], 0))
         reached[np.isneginf(best[active, 0])] = np.inf
-        going = factor * bounds[active, leaf_of] <= reached + 1e-9
+        going = factor * bounds[active, leaf_of] <= reached + SLACK
         active, leaf_of = active[going], leaf_of[going]
         if not len(active):
             break
@@ -138,6 +140,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     ).withColumn("dim", F.size("v"))
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    least = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return least.withColumn("dim", F.size("v"))
+
+
 def _gathered(rows: DataFrame, name: str, parts: int, seed: int) -> DataFrame:
     """Rows dealt into `parts` bounded groups: dim, the group, ids, values (end to end)."""
     group = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("bigint").alias(name)
@@ -155,17 +162,18 @@ def nearest(
     Vectors that are null, zero, empty, or hold null or non-finite components take no
     part; vectors of another length never meet.  Of equal vectors only the k + 1 with
     the smallest vec_ids can be among the answers, so the others are not indexed.
-    Repeated vec_ids count as one row.  An empty table gives no rows.
+    Of rows that share a vec_id the one with the smallest vector (component by component)
+    stands for all.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     same = Window.partitionBy("v").orderBy("vec_id")
-    rows = usable(vectors)
+    rows = scratch.table(one_per_id(usable(vectors)))
     counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1)).alias("q")).first()
     shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_rows))
-    ranked = rows.distinct().withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1)
+    ranked = rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1)
     indexed = _gathered(ranked, "shard", shards, 0).withColumnsRenamed({"ids": "row_ids", "values": "row_values"})
-    asked = _gathered(rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct(), "block", blocks, 1)
+    asked = _gathered(rows.where(F.pmod("vec_id", F.lit(every)) == 0), "block", blocks, 1)
     everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
     pairs = indexed.join(asked.withColumn("shard", everywhere), ["dim", "shard"])
 

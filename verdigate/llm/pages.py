@@ -25,17 +25,20 @@ and once for the result, and only their blocks of text are shuffled.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigate.llm.common import Scratch, small_batches
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Decay of a node's own styles against its children.
 DECAY = 0.9
 #: A branch with a composite importance below LOW goes, unless a node in it reaches HIGH.
@@ -130,9 +133,19 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-@lru_cache(maxsize=4096)
+_SEEN: dict[tuple[str, str], tuple] = {}
+
+
 def _presentation(tag: str, text: str) -> tuple[str, bool, bool, bool]:
     """(presentation, noise outside an article, noise inside one, declared article)."""
+    if (tag, text) not in _SEEN:
+        if len(_SEEN) > 4096:
+            _SEEN.clear()
+        _SEEN[tag, text] = _looked_at(tag, text)
+    return _SEEN[tag, text]
+
+
+def _looked_at(tag: str, text: str) -> tuple[str, bool, bool, bool]:
     values = _attributes(text) if text else {}
     classes = values.get("class", "").split()
     named = named_noise([*classes, *values.get("id", "").split()])

@@ -20,15 +20,19 @@ sequence, and memory is bounded by the longest document.
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from verdigate.llm.common import small_batches
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A set of residues whose differences are all residues (fixed values).
 MODULUS = 32
 COVER = (0, 1, 2, 3, 7, 11, 19)
