@@ -2,8 +2,8 @@
 
 A window without a partition, or `percentile` over a large group, would send
 every row to one task.  Positions are therefore taken inside ranges and shifted
-by the sizes of the ranges before them, and quantiles are narrowed with a sketch
-first and made exact on the few values around the wanted rank.
+by the sizes of the ranges before them, and quantiles are narrowed round by round
+to the few values around the wanted rank.
 """
 
 from __future__ import annotations
@@ -115,78 +115,141 @@ def _offsets(df: DataFrame, groups: list[str], range_column: str) -> DataFrame:
     )
 
 
+#: Rows of a group that one task may sort, and cells a larger group is cut into per round.
+SORTED_ROWS = 100_000
+CELLS = 1000
+#: A sketch of this accuracy is off by n / ACCURACY ranks at most.
+ACCURACY = 10_000
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
     method: str = "linear",
-    accuracy: int = 10_000,
+    sorted_rows: int = SORTED_ROWS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Exact quantiles per group, in long form (keys, quantile, n, value).
 
     `linear` interpolates between neighbours; `higher` takes the row at
-    ceil((n-1)q).  Pass one sketches two values that enclose the rank.  Pass two
-    counts what lies below and keeps only the enclosed values, combined map-side.
+    ceil((n-1)q).  A group is counted; while the part of it that may hold a wanted
+    rank has more than `sorted_rows` rows, a sketch cuts that part into cells and the
+    rows of the cells around the rank are counted.  What is left is combined by value
+    and sorted, so no task sorts more than `sorted_rows` values of a group.
     """
     if method not in ("linear", "higher"):
         raise ValueError(f"unknown quantile method: {method}")
     keys = list(keys)
-    group = keys or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*group, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull()
-    )
-    margin = 4.0 / accuracy
+    group = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
+    named = [F.col(k).alias(g) for k, g in zip(keys, group)] or [F.lit(0).alias("_k0")]
+    rows = df.select(*named, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = materialize(rows.groupBy(*group).agg(F.count("*").alias("_n")))
     wanted = F.array(
         *[F.struct(F.lit(k).alias("quantile"), F.lit(float(q)).alias("q")) for k, q in probs.items()]
     )
-    # A group no larger than the sketch is kept whole.
-    big = F.col("_n") > accuracy
-    edges: list[float] = []
-    for q in probs.values():
-        edges += [max(0.0, q - margin), min(1.0, q + margin)]
-    brackets = (
-        rows.groupBy(*group)
-        .agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx("_v", edges, accuracy).alias("_edges"),
-        )
-        .select(*group, "_n", "_edges", F.posexplode(wanted).alias("_i", "_w"))
-        .select(
-            *group,
-            F.col("_w.quantile").alias("quantile"),
-            "_n",
-            ((F.col("_n") - 1) * F.col("_w.q")).alias("_h"),
-            F.when(big, F.element_at("_edges", F.col("_i") * 2 + 1)).alias("_lo"),
-            F.when(big, F.element_at("_edges", F.col("_i") * 2 + 2)).alias("_hi"),
-        )
+    asked = sizes.select(*group, "_n", F.inline(wanted)).select(
+        *group, "_n", "quantile", ((F.col("_n") - 1) * F.col("q")).alias("_h")
+    )
+    ends = [F.ceil("_h")] if method == "higher" else [F.floor("_h"), F.ceil("_h")]
+    ranks = asked.select(*group, "_n", F.explode(F.array(*ends)).alias("_r")).distinct()
+    found = _values_at(rows, group, ranks, sorted_rows, cells)
+    upper = found.select(*group, F.col("_r").alias("_up"), F.col("_value").alias("_b"))
+    asked = _null_safe(asked.withColumn("_up", F.ceil("_h")), upper, [*group, "_up"])
+    result = F.col("_b")
+    if method == "linear":
+        lower = found.select(*group, F.col("_r").alias("_low"), F.col("_value").alias("_a"))
+        asked = _null_safe(asked.withColumn("_low", F.floor("_h")), lower, [*group, "_low"])
+        result = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
+    return asked.select(
+        *[F.col(g).alias(k) for k, g in zip(keys, group)], "quantile", F.col("_n").alias("n"), result.alias("value")
+    )
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns of the same name, where null meets null."""
+    renamed = right.withColumnsRenamed({c: f"_of{c}" for c in on})
+    condition = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in on]
+    return left.join(renamed, condition).drop(*[f"_of{c}" for c in on])
+
+
+def _values_at(rows: DataFrame, group: list[str], ranks: DataFrame, sorted_rows: int, cells: int) -> DataFrame:
+    """The value at rank _r (from 0) of each group: group, _r, _value.
+
+    A wanted rank lies in an open interval (_lo, _hi) of values, null for no bound, with
+    _below rows before it and _inside rows in it.
+    """
+    nothing = F.lit(None).cast("double")
+    open_ = ranks.select(
+        *group, "_r", nothing.alias("_lo"), nothing.alias("_hi"), F.lit(0).cast("bigint").alias("_below"),
+        F.col("_n").alias("_inside"),
     )
-    brackets = materialize(brackets)
-    kept = (
-        rows.join(brackets, group)
-        .filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-        .groupBy(
-            *group, "quantile", "_n", "_h",
-            F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v"),
+    solved: list[DataFrame] = []
+    most = open_.agg(F.max("_inside")).first()[0] or 0
+    if most > sorted_rows:
+        rows = materialize(rows)
+    while most > sorted_rows:
+        large = F.col("_inside") > sorted_rows
+        state = _narrowed(rows, group, materialize(open_.filter(large)), cells).unionByName(
+            open_.filter(~large).withColumn("_value", nothing)
         )
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*group, "quantile").orderBy(F.col("_v").asc_nulls_first())
-    ranked = kept.withColumn("_cum", F.sum("_c").over(upto))
-    lower = F.floor("_h") if method == "linear" else F.ceil("_h")
-    at_lower = F.min(F.when(F.col("_cum") > lower, F.col("_v")))
-    at_upper = F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("_v")))
-    missed = F.max(F.col("_v").isNull() & (F.col("_cum") > lower)) | at_upper.isNull()
-    result = ranked.groupBy(*group, "quantile", "_n", "_h").agg(
-        at_lower.alias("_a"), at_upper.alias("_b"), missed.alias("_missed")
-    )
-    interpolated = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
-    exact = F.col("_b") if method == "higher" else interpolated
-    checked = F.when(
-        F.col("_missed"), F.raise_error(F.lit("quantile bracket missed the rank")).cast("double")
-    ).otherwise(exact)
-    return result.select(*keys, "quantile", F.col("_n").alias("n"), checked.alias("value"))
+        state = materialize(state)
+        solved.append(state.filter("_value is not null").select(*group, "_r", "_value"))
+        open_ = state.filter("_value is null").drop("_value")
+        most = open_.agg(F.max("_inside")).first()[0] or 0
+    parts = open_.select(*group, "_lo", "_hi").distinct()
+    counted = (
+        _inside(rows, group, parts).groupBy(*group, "_lo", "_hi", "_v").agg(F.count("*").alias("_c"))
+    )
+    upto = Window.partitionBy(*group, "_lo", "_hi").orderBy("_v")
+    placed = counted.withColumn("_end", F.sum("_c").over(upto))
+    at = F.col("_r") - F.col("_below")
+    last = (
+        _null_safe(placed, open_, [*group, "_lo", "_hi"])
+        .filter((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c")))
+        .select(*group, "_r", F.col("_v").alias("_value"))
+    )
+    for part in solved:
+        last = last.unionByName(part)
+    return last
+
+
+def _inside(rows: DataFrame, group: list[str], parts: DataFrame) -> DataFrame:
+    """Each row once for every part of its group that it lies in."""
+    after = F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))
+    before = F.col("_hi").isNull() | (F.col("_v") < F.col("_hi"))
+    return _null_safe(rows, parts, group).filter(after & before)
+
+
+def _narrowed(rows: DataFrame, group: list[str], wanted: DataFrame, cells: int) -> DataFrame:
+    """One round: the wanted ranks with a smaller interval, or with their _value."""
+    steps = [i / cells for i in range(cells + 1)]
+    of = [*group, "_lo", "_hi"]
+    grids = (
+        _inside(rows, group, wanted.select(*of).distinct()).groupBy(*of)
+        .agg(F.percentile_approx("_v", steps, ACCURACY).alias("_grid"))
+    )
+    cell = F.least(F.floor((F.col("_r") - F.col("_below")) / F.col("_inside") * cells), F.lit(cells - 1)).cast("int")
+    cut = _null_safe(wanted, grids, of).withColumn("_cell", cell).withColumns({
+        "_a": F.when(F.col("_cell") >= 1, F.get("_grid", F.col("_cell") - 1)),
+        "_b": F.when(F.col("_cell") + 2 <= cells, F.get("_grid", F.col("_cell") + 2)),
+    })
+    cut = materialize(cut.drop("_grid", "_cell"))
+    v, a, b = F.col("_v"), F.col("_a"), F.col("_b")
+    counts = _inside(rows, group, cut.select(*of, "_a", "_b").distinct()).groupBy(*of, "_a", "_b").agg(
+        F.count_if(v < a).alias("_under"), F.count_if(v == a).alias("_at_a"),
+        F.count_if((a.isNull() | (v > a)) & (b.isNull() | (v < b))).alias("_mid"),
+        F.count_if((v == b) & (a.isNull() | (a < b))).alias("_at_b"),
+    )
+    at = F.col("_r") - F.col("_below") - F.col("_under")
+    begins, ends = F.col("_at_a"), F.col("_at_a") + F.col("_mid")
+    missed = F.raise_error(F.lit("quantile sketch missed the rank")).cast("double")
+    return _null_safe(cut, counts, [*of, "_a", "_b"]).select(
+        *group, "_r", F.coalesce("_a", "_lo").alias("_lo"), F.coalesce("_b", "_hi").alias("_hi"),
+        (F.col("_below") + F.col("_under") + begins).alias("_below"), F.col("_mid").alias("_inside"),
+        F.when((at < 0) | (at >= ends + F.col("_at_b")), missed).when(at < begins, a).when(at >= ends, b).alias("_value"),
+    )
 
 
 def wide_quantiles(
