@@ -301,3 +301,22 @@ def rank_min(value: str, groups: Sequence[str] = (), descending: bool = False,
     key = column.desc_nulls_last() if descending else column.asc_nulls_last()
     ranked = F.rank().over(Window.partitionBy(*(groups or [F.lit(0)])).orderBy(key))
     return ranked if missing == "bottom" else F.when(column.isNotNull(), ranked)
+
+
+def values_at_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame,
+    sorted_rows: int = SORTED_ROWS, cells: int = CELLS,
+) -> DataFrame:
+    """The value at each wanted rank: keys, rank, value.  `ranks` holds keys and `rank`
+    (from 0); ranks beyond a group's end are left out."""
+    keys = list(keys)
+    group = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(g) for k, g in zip(keys, group)]
+    rows = df.select(*named, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = materialize(rows.groupBy(*group).agg(F.count("*").alias("_n")))
+    wanted = ranks.select(*named, F.col("rank").cast("bigint").alias("_r")).distinct()
+    wanted = _null_safe(sizes, wanted, group).filter(F.col("_r") < F.col("_n"))
+    found = _values_at(rows, group, wanted, sorted_rows, cells)
+    return found.select(
+        *[F.col(g).alias(k) for k, g in zip(keys, group)], F.col("_r").alias("rank"), F.col("_value").alias("value")
+    )

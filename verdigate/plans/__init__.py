@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "coverage", "provenance", "tasks", "structure", "inference", "ranks", "timeseries",
-    "markets", "calibration", "texts", "learning", "pipelines", "scans",
+    "markets", "calibration", "texts", "learning", "studies", "pipelines", "scans",
 )
 
 

@@ -1,22 +1,17 @@
-"""Training utility and robustness studies, learned gate, coefficient audit."""
+"""Fitted gates, learners, thresholds and masked scoring."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigate.operators import labels, learn, metrics, ranks, rules
-from verdigate.operators import structure as X
-from verdigate.operators.calibration import first_by
+from verdigate.operators import labels, learn, metrics, rules
 from verdigate.operators.distributed import grouped_quantiles, materialize
 from verdigate.plans.inference import RATE_SQL, scored_frame
 from verdigate.plans.proxies import DECISION_SQL, decision_view, provenance_view
 from verdigate.plans.registry import query
-from verdigate.plans.structure import training_variant_rows
 
 FEATURES = learn.Features()
-MECHANISMS = ("ordinary", "severe_stress", "moderate_stress", "no_opportunity_control")
-NAMESPACE = "decision-audit"
 
 
 def layer(spark: SparkSession, directory: str, split: str) -> DataFrame:
@@ -98,23 +93,6 @@ def provenance_learned_gate(spark, directory):
     return metrics.laundering_metrics(ruled, ["rule"])
 
 
-@query("W5_coefficient_audit")
-def coefficient_audit(spark, directory):
-    """Mean absolute coefficient per variant and feature, ranked within the variant."""
-    rows = training_variant_rows(decision_view(spark, directory).filter(F.col("split") == "train"))
-    rows = materialize(rows)
-    found = []
-    for variant in ("D1", "D3"):
-        model = learn.fit(rows.filter(F.col("variant") == variant), FEATURES)
-        found += [(variant, n, v) for n, v in learn.coefficients(model, FEATURES)]
-    from pyspark.sql import Window
-
-    table = spark.createDataFrame(found, "variant STRING, feature STRING, absolute_coefficient DOUBLE")
-    mean = table.groupBy("variant", "feature").agg(F.avg("absolute_coefficient").alias("absolute_coefficient"))
-    order = Window.partitionBy("variant").orderBy(F.desc("absolute_coefficient"), "feature")
-    return mean.withColumn("rank_within_variant", F.row_number().over(order))
-
-
 @query(
     "T8_higher_quantile",
     f"""WITH {DECISION_SQL}, o AS (
@@ -145,86 +123,6 @@ def seed_aggregates(spark, directory):
     return metrics.seed_aggregate(runs, ["evaluation"], ["coverage", "far"])
 
 
-def training_utility(
-    spark: SparkSession, directory: str, variants=("D0", "D1", "D3"), grid=(0.1, 1.0),
-    budget: int = 300, seeds=(1, 2), target: float = 0.20,
-) -> tuple[DataFrame, DataFrame]:
-    """Variants x seeds: best C by harm, distance to the target coverage, utility; then
-    per-mechanism rates and the primary endpoint per run."""
-    pool = materialize(
-        training_variant_rows(decision_view(spark, directory).filter(F.col("split") == "train"))
-    )
-    validation = materialize(layer(spark, directory, "validation"))
-    parts = []
-    for seed in seeds:
-        for variant in variants:
-            sample = X.sample_clusters(
-                pool.filter(F.col("variant") == variant), "event_cluster_id", budget, seed
-            )
-            sample = materialize(
-                X.one_row_per_cluster(sample, "event_cluster_id", "row_id", seed, NAMESPACE)
-            )
-            tried = []
-            for c in grid:
-                model = learn.fit(sample, FEATURES, c=c, seed=seed)
-                scored = learn.score(model, validation, FEATURES)
-                threshold = learn.coverage_threshold(scored, target)
-                overall = metrics.cluster_rate_metrics(learn.authorize(scored, threshold), [])
-                m = overall.first()
-                harm = m["far"] if m["far"] is not None else float("inf")
-                tried.append(((harm, abs(m["coverage"] - target), -m["cau"], c), model, threshold))
-            _, model, threshold = min(tried, key=lambda t: t[0])
-            parts.append(
-                evaluate(model, validation, threshold).withColumns(
-                    {"variant": F.lit(variant), "seed": F.lit(seed)}
-                )
-            )
-    results = materialize(_union(parts))
-    endpoint = metrics.primary_endpoint(results, ["variant", "seed"], MECHANISMS, 0.05)
-    return results, endpoint
-
-
-@query("PL14_training_utility")
-def training_utility_contrasts(spark, directory):
-    """Paired harm contrasts against D0 with Holm adjustment; a variant that lost a seed
-    has p 1."""
-    _, endpoint = training_utility(spark, directory)
-    seeds = endpoint.select("seed").distinct().count()
-    valid = endpoint.filter("primary_endpoint_valid").select("variant", "seed", "primary_far")
-    reference = valid.filter(F.col("variant") == "D0").select(
-        "seed", F.col("primary_far").alias("reference")
-    )
-    paired = valid.filter(F.col("variant") != "D0").join(reference, "seed").withColumn(
-        "difference", F.col("reference") - F.col("primary_far")
-    )
-    tests = ranks.t_test(paired, "difference", ["variant"], "greater", required_pairs=seeds)
-    return ranks.holm(tests, name="variant")
-
-
-@query("PL15_training_robustness")
-def training_robustness(spark, directory):
-    """Learning curve of nested budgets for two learners."""
-    train = materialize(layer(spark, directory, "train"))
-    validation = materialize(layer(spark, directory, "validation"))
-    pools = {
-        "ordinary": train.filter(F.col("opportunity_slice") == "ordinary"),
-        "stress": train.filter(F.col("opportunity_slice") != "ordinary"),
-    }
-    parts = []
-    for budget in (200, 400):
-        sample = materialize(
-            X.curriculum_sample(pools, "event_cluster_id", budget, {"ordinary": 0.5, "stress": 0.5}, 3)
-        )
-        for learner in ("logistic", "boosting"):
-            model = learn.fit(sample, FEATURES, learner)
-            scored = materialize(learn.score(model, validation, FEATURES))
-            bounds = metrics.cluster_rate_bounds(
-                learn.authorize(scored, learn.coverage_threshold(scored, 0.20)), ["evaluation"]
-            )
-            parts.append(bounds.withColumns({"budget": F.lit(budget), "learner": F.lit(learner)}))
-    return metrics.primary_endpoint(_union(parts), ["learner", "budget"], MECHANISMS, 0.05)
-
-
 @query("ML4_role_masked_scoring")
 def role_masked_scoring(spark, directory):
     """Scores of the fitted model when a feature group is masked."""
