@@ -17,7 +17,7 @@ from verdigate.operators import text as TX
 from verdigate.operators.distributed import (
     global_position, grouped_quantiles, hash_position, quantile_bins,
 )
-from verdigate.operators.timeseries import asof_join, sliced_lag
+from verdigate.operators.timeseries import asof_join, busy_spans, sliced_lag, with_slices
 from verdigate.sources.ingest import clean_doubles, parse_bars, require_columns
 
 BASE = {
@@ -185,19 +185,23 @@ def test_positions_cover_a_hot_key(spark):
     assert h.agg(F.countDistinct("position")).first()[0] == 3000
 
 
-def test_asof_matches_pandas(spark):
+@pytest.mark.parametrize("slice_rows", [50_000, 15])
+def test_asof_matches_pandas(spark, slice_rows):
+    """One key holds most quotes, a third of them in one busy spell."""
     rng = np.random.default_rng(3)
     n = 400
+    seconds = np.where(rng.random(n) < 0.3, rng.integers(2000, 2040, n), rng.integers(0, 4000, n))
     quotes = pd.DataFrame({
         "k": np.where(rng.random(n) < 0.7, 0, rng.integers(1, 4, n)),
-        "qs": np.sort(rng.integers(0, 4000, n)) * 10, "v": rng.normal(size=n), "i": np.arange(n)})
+        "qs": np.sort(seconds) * 10, "v": rng.normal(size=n), "i": np.arange(n)})
     probes = pd.DataFrame({"k": rng.integers(0, 4, 150), "ps": np.sort(rng.integers(0, 4000, 150)) * 10,
                            "pid": np.arange(150)})
     q = spark.createDataFrame(quotes).withColumn("qt", F.timestamp_seconds("qs"))
     p = spark.createDataFrame(probes).withColumn("pt", F.timestamp_seconds("ps"))
-    for direction, strict, age in itertools.product(("backward", "forward"), (False, True), (500, None)):
+    cases = [("backward", False, 500), ("backward", True, None), ("forward", False, None), ("forward", True, 500)]
+    for direction, strict, age in cases:
         got = asof_join(p, q, ["k"], "pt", "qt", ["v", "i"], "i", direction, strict, age,
-                        slice_seconds=900).select("pid", "i").toPandas().set_index("pid")["i"]
+                        slice_seconds=9000, slice_rows=slice_rows).select("pid", "i").toPandas().set_index("pid")["i"]
         left = probes.sort_values("ps")
         for row in left.itertuples():
             own = quotes[quotes.k == row.k]
@@ -211,11 +215,31 @@ def test_asof_matches_pandas(spark):
             assert (pd.isna(got[row.pid]) and not ok) or (ok and got[row.pid] == hit.i.iloc[0])
 
 
+def test_no_slice_holds_more_rows_than_stated(spark):
+    """All rows of one key in one busy minute of a day, and equal times that cannot be cut."""
+    busy = spark.range(4000).select(F.lit("a").alias("k"), (F.pow(F.col("id") / 4000, 3) * 60_000_000).cast("bigint").alias("_t"))
+    tied = spark.range(300).select(F.lit("b").alias("k"), F.lit(77).cast("bigint").alias("_t"))
+    rows = busy.unionByName(tied)
+    cut = with_slices(rows, ["k"], 86_400_000_000, busy_spans(rows, ["k"], 86_400_000_000, 100))
+    sizes = {r["k"]: r["n"] for r in cut.groupBy("k", "_slice").count().groupBy("k").agg(F.max("count").alias("n")).collect()}
+    assert sizes["a"] <= 100 and sizes["b"] == 300 and cut.count() == 4300
+    assert busy_spans(rows, ["k"], 1_000, 100_000) is None
+
+
+def test_asof_probe_without_key_finds_nothing(spark):
+    q = spark.createDataFrame([(None, 5, 1), ("a", 5, 2)], "k string, s int, i int").withColumn("t", F.timestamp_seconds("s"))
+    p = spark.createDataFrame([(None, 9, 1), ("a", None, 2), ("a", 9, 3)], "k string, s int, pid int").withColumn("pt", F.timestamp_seconds("s"))
+    got = {r["pid"]: r["i"] for r in asof_join(p.drop("s"), q.drop("s"), ["k"], "pt", "t", ["i"], "i").collect()}
+    assert got == {1: None, 2: None, 3: 2}
+
+
 def test_sliced_lag_matches_plain_lag(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id",
                                  F.timestamp_seconds(F.col("id") * 7000).alias("t"))
-    got = sliced_lag(df, ["k"], "t", ["id"], "id", "prev", 50000)
-    assert got.filter(~F.col("prev").eqNullSafe(F.when(F.col("id") >= 3, F.col("id") - 3))).count() == 0
+    for rows in (50_000, 10):
+        got = sliced_lag(df, ["k"], "t", ["id"], "id", "prev", 500_000, rows)
+        assert got.count() == 500
+        assert got.filter(~F.col("prev").eqNullSafe(F.when(F.col("id") >= 3, F.col("id") - 3))).count() == 0
 
 
 def test_checked_join_rejects_bad_keys(spark):

@@ -1,8 +1,9 @@
 """As-of, look-back and forward joins, resampling, realised volatility.
 
-Time is cut into slices.  A slice of one key is ordered in one task; what was last
-seen before a slice comes from one summary row per slice.  A key that holds a
-third of all quotes is therefore spread over as many tasks as it has slices."""
+Time is cut into slices that hold a bounded number of rows of a key.  A slice is
+ordered in one task; what was last seen before it comes from one summary row per
+slice.  So a key that holds a third of all quotes, or all of them in one busy hour,
+is spread over as many tasks as it fills slices."""
 
 from __future__ import annotations
 
@@ -12,6 +13,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigate.functions.columns import EPOCH_MICROS, from_micros, micros
+from verdigate.operators.distributed import materialize
+
+#: Rows of a key in one slice, at most; rows of one microsecond stay together.
+SLICE_ROWS = 50_000
+
+
+def busy_spans(events: DataFrame, by: Sequence[str], width: int, most: int = SLICE_ROWS) -> DataFrame | None:
+    """Spans of `width` units of `_t` with more than `most` rows of a key: by, _span and
+    `_fine`, the width of the slices to cut them into.  None if there is no such span.
+
+    Widths shrink, round by round, until the fullest slice of a span is small enough.
+    Only spans that are still too full are counted again.
+    """
+    by = list(by)
+    start = F.floor(F.col("_t") / width) * width
+    events = events.select(*by, "_t", start.alias("_span"))
+    full = events.groupBy(*by, "_span").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+
+    def finer(of: Column) -> Column:
+        return F.greatest(F.floor(of * most / F.col("_n") / 2), F.lit(1)).cast("bigint")
+
+    open_ = materialize(full.select(*by, "_span", finer(F.lit(width)).alias("_fine")))
+    if open_.isEmpty():
+        return None
+    done = None
+    while True:
+        slices = events.join(open_, [*by, "_span"]).groupBy(
+            *by, "_span", "_fine", F.floor((F.col("_t") - F.col("_span")) / F.col("_fine")).alias("_at")
+        ).agg(F.count("*").alias("_n"))
+        fullest = materialize(slices.groupBy(*by, "_span", "_fine").agg(F.max("_n").alias("_n")))
+        again = (F.col("_n") > most) & (F.col("_fine") > 1)
+        settled = fullest.filter(~again).select(*by, "_span", "_fine")
+        done = settled if done is None else done.unionByName(settled)
+        open_ = fullest.filter(again).select(*by, "_span", finer(F.col("_fine")).alias("_fine"))
+        if open_.isEmpty():
+            return done
+
+
+def with_slices(df: DataFrame, by: Sequence[str], width: int, busy: DataFrame | None) -> DataFrame:
+    """Adds `_slice`, the start of the slice that `_t` is in."""
+    span = F.floor(F.col("_t") / width) * width
+    if busy is None:
+        return df.withColumn("_slice", span)
+    placed = df.withColumn("_span", span).join(busy, [*by, "_span"], "left")
+    fine = F.col("_span") + F.floor((F.col("_t") - F.col("_span")) / F.col("_fine")) * F.col("_fine")
+    return placed.withColumn("_slice", F.coalesce(fine, "_span")).drop("_span", "_fine")
 
 
 def asof_join(
@@ -27,12 +74,14 @@ def asof_join(
     max_age_seconds: float | None = None,
     slice_seconds: int = 3600,
     prefix: str = "",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Each probe with the nearest earlier (or later) quote of its key.
 
     `strict` leaves out quotes at the probe's own time.  A quote older than
     `max_age_seconds` leaves the added columns NULL.  `tiebreak` orders quotes with
-    equal times.
+    equal times.  A probe without key or time finds nothing.  Slices are
+    `slice_seconds` wide, and narrower where a key has more than `slice_rows` rows.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction: {direction}")
@@ -48,15 +97,19 @@ def asof_join(
     def clock(c: str) -> Column:
         return F.lit(sign) * micros(F.col(c))
 
-    q = quotes.filter(F.col(quote_time).isNotNull()).select(
+    q = quotes.dropna(subset=[*by, quote_time]).select(
         *by, clock(quote_time).alias("_t"), F.lit(quote_side).alias("_side"),
         (F.lit(sign) * F.col(tiebreak)).alias("_order"), payload.alias("_q"),
-    ).withColumn("_slice", F.floor(F.col("_t") / width))
+    )
     carried = F.struct(*[F.col(c) for c in probes.columns])
     p = probes.select(
         *by, clock(probe_time).alias("_t"), F.lit(probe_side).alias("_side"),
         F.lit(None).cast("bigint").alias("_order"), carried.alias("_p"),
-    ).withColumn("_slice", F.floor(F.col("_t") / width))
+    )
+    lost = p.filter(" or ".join(f"`{c}` is null" for c in [*by, "_t"]))
+    p = p.dropna(subset=[*by, "_t"])
+    busy = busy_spans(q.select(*by, "_t").unionByName(p.select(*by, "_t")), by, width, slice_rows)
+    q, p = with_slices(q, by, width, busy), with_slices(p, by, width, busy)
 
     ordered = Window.partitionBy(*by, "_slice").orderBy("_t", "_side", "_order")
     seen = F.last("_q", ignorenulls=True).over(
@@ -71,29 +124,16 @@ def asof_join(
     last = q.groupBy(*by, "_slice").agg(
         F.max_by("_q", F.struct("_t", "_order")).alias("_end")
     )
-    along = Window.partitionBy(*by).orderBy("_slice")
-    if max_age_seconds is not None:
-        # A quote reaches at most `reach` slices further, so each slice summary is
-        # copied to the slices up to the next one and the probes are read once.
-        reach = int(-(-max_age_seconds // slice_seconds)) or 1
-        until = F.least(
-            F.coalesce(F.lead("_slice").over(along), F.col("_slice") + reach),
-            F.col("_slice") + reach,
-        )
-        carry = last.withColumn("_until", until).select(
-            *by, F.explode(F.sequence(F.col("_slice") + 1, F.col("_until"))).alias("_slice"),
-            F.col("_end").alias("_before"),
-        )
-    else:
-        asked = p.select(*by, "_slice").distinct()
-        before = along.rowsBetween(Window.unboundedPreceding, -1)
-        carry = (
-            last.join(asked, [*by, "_slice"], "full_outer")
-            .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
-            .select(*by, "_slice", "_before")
-        )
+    asked = p.select(*by, "_slice").distinct()
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        last.join(asked, [*by, "_slice"], "full_outer")
+        .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
+        .select(*by, "_slice", "_before")
+    )
     found = F.coalesce("_hit", "_before")
     joined = inside.join(carry, [*by, "_slice"], "left").select("_p", found.alias("_f"))
+    joined = joined.unionByName(lost.select("_p"), allowMissingColumns=True)
     age = F.abs(micros(F.col(f"_p.{probe_time}")) - F.col("_f._us")) / F.lit(float(EPOCH_MICROS))
     fresh = F.col("_f").isNotNull()
     if max_age_seconds is not None:
@@ -108,11 +148,14 @@ def asof_join(
 
 def sliced_lag(
     df: DataFrame, by: Sequence[str], time: str, order: Sequence[str], value: str,
-    name: str, slice_seconds: int = 86400,
+    name: str, slice_seconds: int = 86400, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Previous value of `value` per key in time order, slice by slice."""
+    """Previous value of `value` per key in time order, slice by slice.  Rows without a
+    key are left out."""
     by = list(by)
-    sliced = df.withColumn("_slice", F.floor(micros(F.col(time)) / (slice_seconds * EPOCH_MICROS)))
+    width = slice_seconds * EPOCH_MICROS
+    timed = df.dropna(subset=by).withColumn("_t", micros(F.col(time)))
+    sliced = with_slices(timed, by, width, busy_spans(timed, by, width, slice_rows)).drop("_t")
     inside = Window.partitionBy(*by, "_slice").orderBy(time, *order)
     key = F.struct(time, *order)
     ends = sliced.groupBy(*by, "_slice").agg(F.max_by(F.struct(value), key).alias("_end"))
