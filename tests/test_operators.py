@@ -557,3 +557,25 @@ def test_file_fingerprints_name_what_they_skip(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"1")
     got = {r["path"][-1]: r for r in ingest.file_fingerprints(spark, str(tmp_path), max_bytes=3).collect()}
     assert got["a"]["sha256"] is None and got["a"]["reason"] and got["b"]["sha256"] and got["b"]["reason"] is None
+
+
+def test_features_are_read_from_the_expression(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "x", True)], "confidence DOUBLE, `odd name` DOUBLE, row_id STRING, other BOOLEAN")
+    hidden = rules.Rule("Hidden", ("confidence",), lambda t: rules.gate((F.col("confidence") > t["confidence"]) & F.col("other")))
+    boast = rules.Rule("Boast", ("confidence", "row_id"), lambda t: rules.gate(F.col("confidence") > 0))
+    odd = rules.Rule("Odd", ("odd name",), lambda t: rules.gate(F.col("`odd name`") > 0))
+    assert rules.features_read(df, hidden) == ["confidence", "other"]
+    assert rules.features_read(df, odd) == ["odd name"]
+    got = {r["rule"]: r for r in rules.feature_access(df, [hidden, boast, odd], "t", ("confidence", "other", "odd name"), (), ("row_id",)).collect()}
+    assert (got["Hidden"]["status"], got["Hidden"]["undeclared_features"]) == ("INVALID", ["other"])
+    assert (got["Boast"]["status"], got["Boast"]["features_used"]) == ("VALID", ["confidence"])
+    assert got["Odd"]["status"] == "VALID"
+
+
+def test_decisions_from_a_relation_of_thresholds(spark):
+    df = spark.createDataFrame([(0.3,), (0.65,), (0.95,)], "confidence DOUBLE").withColumn("uncertainty", 1 - F.col("confidence"))
+    chosen = spark.createDataFrame([("Confidence Gate", {"confidence": 0.9})], "rule STRING, chosen MAP<STRING, DOUBLE>")
+    own = [r for r in rules.core_rules() if r.name in ("Confidence Gate", "Uncertainty Gate")]
+    got = {(r["rule"], r["confidence"]): r["decision"] for r in rules.decide_with(df, own, chosen).collect()}
+    assert got["Confidence Gate", 0.65] == "abstain" and got["Confidence Gate", 0.95] == "execute"
+    assert got["Uncertainty Gate", 0.65] == "execute" and got["Uncertainty Gate", 0.3] == "abstain"

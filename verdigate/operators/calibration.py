@@ -12,7 +12,7 @@ from verdigate.functions.columns import is_true
 from verdigate.operators.distributed import global_position, hash_position
 from verdigate.operators.labels import apply_task_decision
 from verdigate.operators.metrics import _task_aggregates
-from verdigate.operators.rules import EXAMPLE_THRESHOLDS, Rule
+from verdigate.operators.rules import EXAMPLE_THRESHOLDS, Rule, decide_with
 
 OBJECTIVES = (
     "material_harm_authorization_rate", "authority_violation_rate", "normalized_task_utility",
@@ -135,6 +135,19 @@ def mask_decisions(ruled: DataFrame, status: DataFrame) -> DataFrame:
     ).drop("_v")
 
 
+def chosen_parameters(status: DataFrame) -> DataFrame:
+    """rule and `chosen`, a map of the selected threshold values, of each calibrated rule."""
+    pairs = F.str_to_map("selected_parameters", F.lit(","), F.lit("="))
+    values = F.transform_values(pairs, lambda _, v: v.cast("double"))
+    return status.filter("calibration_valid").select("rule", values.alias("chosen"))
+
+
+def recalibrated_decisions(df: DataFrame, rules: Sequence[Rule], status: DataFrame) -> DataFrame:
+    """Decisions under the thresholds that calibration chose; rules for which it found
+    none are `not_evaluated` and authorize nothing."""
+    return apply_task_decision(mask_decisions(decide_with(df, rules, chosen_parameters(status)), status))
+
+
 def first_by(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Row with the smallest order key per group; NULL keys go last."""
     ranked = Window.partitionBy(*groups).orderBy(*[c.asc_nulls_last() for c in order])

@@ -6,10 +6,12 @@ two-valued: a comparison with a missing feature is false.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigate.functions.columns import is_true, role_list
@@ -372,6 +374,30 @@ def decide(
     return df.select("*", F.inline(pairs))
 
 
+def decide_with(
+    df: DataFrame, rules: Iterable[Rule], parameters: DataFrame, thresholds: Thresholds = EXAMPLE_THRESHOLDS
+) -> DataFrame:
+    """`decide` with thresholds from a relation: `parameters` has one row per rule with
+    `rule` and `chosen`, a map of threshold names to values.
+
+    A rule without a row, or a name that its map lacks, takes `thresholds`.  The relation
+    is as small as the registry of rules and is broadcast; each row evaluates one rule.
+    """
+    rules = list(rules)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    given = parameters.select(F.col("rule"), F.col("chosen").alias("_chosen"))
+    spread = df.select("*", F.explode(names).alias("rule")).join(F.broadcast(given), "rule", "left")
+    current = {
+        name: F.coalesce(F.try_element_at("_chosen", F.lit(name)), _num(value))
+        for name, value in thresholds.items()
+    }
+    decision = None
+    for r in rules:
+        mine = F.col("rule") == r.name
+        decision = F.when(mine, r.build(current)) if decision is None else decision.when(mine, r.build(current))
+    return spread.withColumn("decision", decision).select(*df.columns, "rule", "decision")
+
+
 def invalid_decisions(ruled: DataFrame) -> DataFrame:
     """Rules that produced a missing or unknown route, with counts."""
     bad = ~is_true(F.col("decision").isin(*ROUTES))
@@ -382,26 +408,53 @@ def invalid_decisions(ruled: DataFrame) -> DataFrame:
     )
 
 
+def features_read(frame: DataFrame, rule: Rule, thresholds: Thresholds = EXAMPLE_THRESHOLDS) -> list[str]:
+    """The columns of `frame` that the rule's expression refers to.
+
+    The expression is resolved against a relation without columns; each column the
+    analyzer then misses is added, until nothing is missing.  No row is read.
+    """
+    read: list[str] = []
+    reports = logging.getLogger("DataFrameQueryContextLogger")
+    before = reports.disabled
+    reports.disabled = True  # the errors are the answer here
+    try:
+        while True:
+            try:
+                frame.select(*read).select(rule.build(thresholds))
+                return sorted(read)
+            except AnalysisException as missing:
+                found = (missing.getMessageParameters() or {}).get("objectName", "")
+                name = found.strip("`").split("`.`")[0]
+                if name not in frame.columns or name in read:
+                    raise
+                read.append(name)
+    finally:
+        reports.disabled = before
+
+
 def feature_access(
-    spark: SparkSession,
+    frame: DataFrame,
     rules: Iterable[Rule],
     task: str,
     legal: Iterable[str],
     forbidden: Iterable[str],
     identifiers: Iterable[str],
 ) -> DataFrame:
-    """VALID unless a rule reads a forbidden, identifying or unlisted feature."""
+    """VALID unless a rule reads a forbidden, identifying or unlisted feature, or one that
+    it does not declare.  What a rule reads is taken from its expression over `frame`."""
     allowed, banned = set(legal), set(forbidden) | set(identifiers)
     rows = []
     for r in rules:
-        used = set(r.features)
+        used = set(features_read(frame, r))
         illegal = sorted((used & banned) | (used - allowed))
+        undeclared = sorted(used - set(r.features))
         rows.append(
-            (r.name, task, r.classification, sorted(used), illegal,
-             "INVALID" if illegal else "VALID")
+            (r.name, task, r.classification, sorted(used), illegal, undeclared,
+             "INVALID" if illegal or undeclared else "VALID")
         )
-    return spark.createDataFrame(
+    return frame.sparkSession.createDataFrame(
         rows,
         "rule STRING, task STRING, classification STRING, features_used ARRAY<STRING>, "
-        "illegal_features ARRAY<STRING>, status STRING",
+        "illegal_features ARRAY<STRING>, undeclared_features ARRAY<STRING>, status STRING",
     )

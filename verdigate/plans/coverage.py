@@ -122,29 +122,34 @@ IDENTIFIERS = ("row_id", "event_cluster_id", "current_source_id", "stress_tag")
 @query(
     "R25_feature_access_audit",
     f"""{WITH_D}
-    SELECT rule, 'VALID' AS status, '' AS illegal_features,
+    SELECT rule, 'VALID' AS status, '' AS illegal_features, '' AS undeclared_features,
       count(*) FILTER (WHERE authorized) AS authorized_count
     FROM d GROUP BY rule
     UNION ALL
-    SELECT 'Peeking Gate', 'INVALID', 'full_utility,row_id',
-      count(*) FILTER (WHERE full_utility > 0) FROM v""",
+    SELECT 'Peeking Gate', 'INVALID', 'full_utility', '',
+      count(*) FILTER (WHERE full_utility > 0) FROM v
+    UNION ALL
+    SELECT 'Silent Gate', 'INVALID', '', 'confidence', count(*) FILTER (WHERE confidence >= 0.9e0) FROM v""",
 )
 def feature_access_audit(spark, directory):
-    """Feature access of each rule with the number of rows it authorizes.  One
-    deliberately illegal rule shows the INVALID branch."""
+    """Feature access of each rule with the number of rows it authorizes.  A rule that
+    looks at the outcome and one that hides what it reads show the INVALID branches."""
     peeking = rules.Rule(
         "Peeking Gate", ("full_utility", "row_id"), lambda t: rules.gate(F.col("full_utility") > 0)
     )
-    audited = [*rules.core_rules(), peeking]
+    silent = rules.Rule("Silent Gate", ("uncertainty",), lambda t: rules.gate(F.col("confidence") >= 0.9))
+    audited = [*rules.core_rules(), peeking, silent]
+    view = decision_view(spark, directory)
     access = rules.feature_access(
-        spark, audited, "coverage",
+        view, audited, "coverage",
         legal=("candidate_action", "confidence", *rules.CHECKLIST_FEATURES),
         forbidden=GLOBAL_FORBIDDEN, identifiers=IDENTIFIERS,
     )
-    ruled = labels.decision_outcomes(rules.decide(decision_view(spark, directory), audited))
+    ruled = labels.decision_outcomes(rules.decide(view, audited))
     counts = ruled.groupBy("rule").agg(F.count_if("authorized").alias("authorized_count"))
     return access.join(counts, "rule").select(
         "rule", "status", F.array_join("illegal_features", ",").alias("illegal_features"),
+        F.array_join("undeclared_features", ",").alias("undeclared_features"),
         "authorized_count",
     )
 

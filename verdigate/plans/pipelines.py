@@ -24,7 +24,7 @@ from verdigate.plans.provenance import (
 from verdigate.plans.proxies import DECISION_SQL, PROVENANCE_SQL, decision_view, provenance_view
 from verdigate.plans.registry import query
 from verdigate.plans.structure import test_clusters
-from verdigate.plans.tasks import task_decisions
+from verdigate.plans.tasks import task_decisions, task_frame
 from verdigate.plans.texts import TEXT_SQL, signals
 from verdigate.plans.timeseries import (
     BOOK_FULL_SQL, BOOK_GROSS_SQL, BOOK_REDUCED_SQL, BOOK_STRESS_SQL, PRIOR_ROWS_SQL, prior_rows,
@@ -351,15 +351,36 @@ def order_book_families(spark, directory):
     return ranks.holm(tests.withColumn("name", F.concat_ws(":", "prior_family", "metric")))
 
 
+_CHOSEN = "(SELECT CAST(split_part(selected_parameters, '=', 2) AS DOUBLE) FROM sel WHERE rule = '{}' AND calibration_valid)"
+
+
+def _recalibrated_rules() -> dict[str, str]:
+    """The two-task rules in SQL with chosen thresholds where calibration has found some."""
+    own = {
+        "Confidence Gate": f"confidence >= coalesce({_CHOSEN.format('Confidence Gate')}, 0.6e0)",
+        "Cost-Aware Gate": f"expected_edge_bps > {S.COST} + coalesce({_CHOSEN.format('Cost-Aware Gate')}, 5.0e0)",
+        "Uncertainty Gate": f"uncertainty <= coalesce({_CHOSEN.format('Uncertainty Gate')}, 0.4e0)",
+    }
+    acting = {r: f"CASE WHEN candidate_action = 0 THEN 'abstain' ELSE {S.gate(test)} END" for r, test in own.items()}
+    return {**S.TWO_TASK, **acting}
+
+
+RECALIBRATED_SQL = f"""{FOLD_SQL.replace("td0 AS", "cd0 AS").replace("FROM td0", "FROM cd0").replace(
+    "td1 AS", "cd1 AS").replace("FROM td1", "FROM cd1").replace("td AS (", "cd AS (").replace(
+    "FROM td GROUP", "FROM cd GROUP")}, {S.task_outcomes(S.TWO_TASK)},
+    rd0 AS (SELECT * REPLACE (CASE WHEN rule IN (SELECT rule FROM sel WHERE NOT calibration_valid)
+        THEN 'not_evaluated' ELSE decision END AS decision) FROM ({S.ruled(_recalibrated_rules(), "t")})),
+    rd1 AS (SELECT *, {S.TASK_SELECTED} FROM rd0), rd AS (SELECT *, {S.TASK_SELECTED_2} FROM rd1)"""
+
+
 @query(
     "PL12_two_track_evaluation",
-    f"""WITH {FOLD_SQL.replace("td0 AS", "cd0 AS").replace("FROM td0", "FROM cd0").replace(
-        "td1 AS", "cd1 AS").replace("FROM td1", "FROM cd1").replace("td AS (", "cd AS (").replace(
-        "FROM td GROUP", "FROM cd GROUP")}, {S.task_outcomes(S.TWO_TASK)},
+    f"""WITH {RECALIBRATED_SQL},
     tp AS (SELECT *, 'overall' AS profile FROM td UNION ALL SELECT *, task_id FROM td),
-    zm AS ({S.task_metrics("tp", "rule, profile")}),
-    zs AS (SELECT zm.*, coalesce(calibration_valid, TRUE) AS ok,
-        coalesce(calibration_status, 'FIXED_FORM_NOT_RECALIBRATED') AS st FROM zm LEFT JOIN sel USING (rule))
+    rp AS (SELECT *, 'overall' AS profile FROM rd UNION ALL SELECT *, task_id FROM rd),
+    zm AS ({S.task_metrics("tp", "rule, profile")}), rm AS ({S.task_metrics("rp", "rule, profile")}),
+    rs AS (SELECT rm.*, coalesce(calibration_valid, TRUE) AS ok,
+        coalesce(calibration_status, 'FIXED_FORM_NOT_RECALIBRATED') AS st FROM rm LEFT JOIN sel USING (rule))
     SELECT *, TRUE AS calibration_valid, 'ZERO_SHOT' AS calibration_status,
       CAST(NULL AS VARCHAR) AS structural_n_a_reason, 'zero_shot' AS track FROM zm
     UNION ALL BY NAME
@@ -368,15 +389,18 @@ def order_book_families(spark, directory):
             "clusters", *S.TASK_DOUBLES, "authorized_count", "directional_authorized_count",
             "risk_authorized_count", "benign_opportunity_count"))},
       ok AS calibration_valid, st AS calibration_status,
-      CASE WHEN NOT ok THEN st END AS structural_n_a_reason, 'recalibrated' AS track FROM zs""",
+      CASE WHEN NOT ok THEN st END AS structural_n_a_reason, 'recalibrated' AS track FROM rs""",
     S.TASK_DOUBLES,
 )
 def two_track_evaluation(spark, directory):
-    """Zero-shot metrics next to recalibrated ones, N/A where calibration failed."""
+    """Zero-shot metrics next to those of decisions taken anew under the calibrated
+    thresholds, N/A where calibration failed."""
     profiled = labels.explode_profiles(task_decisions(spark, directory), labels.task_profiles())
     zero = metrics.task_metrics(profiled, ["rule", "profile"])
     status = materialize(selection(spark, directory))
-    masked = C.mask_uncalibrated(zero, status, ["profile", "rows"])
+    anew = C.recalibrated_decisions(task_frame(spark, directory), rules.two_task_rules(), status)
+    anew = metrics.task_metrics(labels.explode_profiles(anew, labels.task_profiles()), ["rule", "profile"])
+    masked = C.mask_uncalibrated(anew, status, ["profile", "rows"])
     extra = {"calibration_valid": F.lit(True), "calibration_status": F.lit("ZERO_SHOT"),
              "structural_n_a_reason": F.lit(None).cast("string")}
     return zero.withColumns(extra).withColumn("track", F.lit("zero_shot")).unionByName(
@@ -384,6 +408,39 @@ def two_track_evaluation(spark, directory):
     )
 
 
+SUBGROUPS = ("model_id", "symbol", "task_id")
+
+
+@query(
+    "ST21_recalibrated_subgroups",
+    f"""WITH {RECALIBRATED_SQL},
+    rg AS (SELECT *, 'model_id' AS dimension, model_id AS value FROM rd UNION ALL
+      SELECT *, 'symbol', symbol FROM rd UNION ALL SELECT *, 'task_id', task_id FROM rd),
+    gm AS (SELECT rule, dimension, value, count(*) AS rows, avg(CAST(authorized AS DOUBLE)) AS coverage,
+      count(*) FILTER (WHERE authorized) AS authorized_count,
+      count(*) FILTER (WHERE decision = 'not_evaluated') AS skipped FROM rg GROUP BY 1, 2, 3)
+    SELECT rule, dimension, value, rows, CASE WHEN coalesce(calibration_valid, TRUE) THEN coverage END AS coverage,
+      CASE WHEN coalesce(calibration_valid, TRUE) THEN authorized_count END AS authorized_count,
+      CASE WHEN NOT coalesce(calibration_valid, TRUE) THEN skipped ELSE 0 END AS not_evaluated_rows,
+      coalesce(calibration_valid, TRUE) AS calibration_valid,
+      coalesce(calibration_status, 'FIXED_FORM_NOT_RECALIBRATED') AS calibration_status,
+      CASE WHEN NOT calibration_valid THEN calibration_status END AS structural_n_a_reason
+    FROM gm LEFT JOIN sel USING (rule)""",
+    ("coverage",),
+)
+def recalibrated_subgroups(spark, directory):
+    """Recalibrated decisions by subgroup; the groups of rules without a calibration are N/A."""
+    status = materialize(selection(spark, directory))
+    ruled = C.recalibrated_decisions(task_frame(spark, directory), rules.two_task_rules(), status)
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in SUBGROUPS])
+    grouped = ruled.select("rule", "decision", "authorized", F.inline(cells)).groupBy("rule", "dimension", "value").agg(
+        F.count("*").alias("rows"), F.avg(F.col("authorized").cast("double")).alias("coverage"),
+        F.count_if("authorized").alias("authorized_count"),
+        F.count_if(F.col("decision") == "not_evaluated").alias("not_evaluated_rows"),
+    )
+    return C.mask_uncalibrated(grouped, status, ["dimension", "value", "rows", "not_evaluated_rows"])
+
+
 @query(
     "PL13_memory_drift",
     f"""WITH {TEXT_SQL}, b AS (
