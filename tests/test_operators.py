@@ -579,3 +579,23 @@ def test_decisions_from_a_relation_of_thresholds(spark):
     got = {(r["rule"], r["confidence"]): r["decision"] for r in rules.decide_with(df, own, chosen).collect()}
     assert got["Confidence Gate", 0.65] == "abstain" and got["Confidence Gate", 0.95] == "execute"
     assert got["Uncertainty Gate", 0.65] == "execute" and got["Uncertainty Gate", 0.3] == "abstain"
+
+
+def test_published_partitions_are_counted_and_never_overwritten(spark, tmp_path):
+    import os
+
+    from verdigate.sources.sinks import publish_partitions
+
+    df = spark.range(100).select("id", F.when(F.col("id") < 60, "a").otherwise("b").alias("destination"))
+    path = str(tmp_path / "out")
+    assert publish_partitions(df, path, ("a", "b", "c")) == {"a": 60, "b": 40, "c": 0}
+    assert spark.read.parquet(path).where("destination = 'a'").count() == 60
+    with pytest.raises(FileExistsError):
+        publish_partitions(df, path, ("a", "b"))
+    with pytest.raises(ValueError, match="40 rows have no listed destination"):
+        publish_partitions(df, str(tmp_path / "other"), ("a",))
+    lost = df.withColumn("destination", F.when(F.col("id") > 2, F.col("destination")))
+    with pytest.raises(ValueError, match="3 rows"):
+        publish_partitions(lost, str(tmp_path / "other"), ("a", "b"))
+    assert sorted(os.listdir(tmp_path)) == ["out"]
+    assert publish_partitions(df.limit(0), str(tmp_path / "none"), ("a",)) == {"a": 0}

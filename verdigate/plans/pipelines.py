@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigate.operators import calibration as C
 from verdigate.operators import certify, labels, metrics, ranks, resample, rules
 from verdigate.operators import structure as X
-from verdigate.operators.distributed import materialize, rank_min
+from verdigate.operators.distributed import materialize, rank_min, shared_folder
 from verdigate.operators.text import jensen_shannon_drift
 from verdigate.plans import sql_rules as S
 from verdigate.plans.calibration import FOLD_SQL, selection
@@ -23,12 +25,13 @@ from verdigate.plans.provenance import (
 )
 from verdigate.plans.proxies import DECISION_SQL, PROVENANCE_SQL, decision_view, provenance_view
 from verdigate.plans.registry import query
-from verdigate.plans.structure import test_clusters
+from verdigate.plans.structure import DESTINATIONS, test_clusters
 from verdigate.plans.tasks import task_decisions, task_frame
 from verdigate.plans.texts import TEXT_SQL, signals
 from verdigate.plans.timeseries import (
     BOOK_FULL_SQL, BOOK_GROSS_SQL, BOOK_REDUCED_SQL, BOOK_STRESS_SQL, PRIOR_ROWS_SQL, prior_rows,
 )
+from verdigate.sources.sinks import publish_partitions
 
 
 @query(
@@ -579,7 +582,7 @@ def scale_stability(spark, directory):
     FROM v LEFT JOIN k ON event_cluster_id = id WHERE split <> 'test' OR id IS NOT NULL GROUP BY 1""",
 )
 def test_partition(spark, directory):
-    """Test clusters of two layers must agree, then they are halved and routed."""
+    """Test clusters of two layers must agree, then they are halved, routed and published."""
     core, prov = decision_view(spark, directory), provenance_view(spark, directory)
     a = core.filter(F.col("split") == "test").select("event_cluster_id")
     b = prov.filter(F.col("split") == "test").select("event_cluster_id")
@@ -589,6 +592,8 @@ def test_partition(spark, directory):
     halves = X.hash_halves(
         test_clusters(core), "event_cluster_id", "decision-audit", spare="unassigned"
     )
-    return X.route_rows(core, halves, "event_cluster_id").groupBy("destination").agg(
+    path = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    publish_partitions(X.route_rows(core, halves, "event_cluster_id"), path, DESTINATIONS)
+    return spark.read.parquet(path).groupBy("destination").agg(
         F.count("*").alias("rows"), F.countDistinct("event_cluster_id").alias("clusters")
     )

@@ -76,7 +76,7 @@ def json_roundtrip(spark, directory):
 def file_fingerprints(spark, directory):
     """Content hashes of the table files up to the size limit."""
     files = ingest.file_fingerprints(spark, directory)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "sha256")
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "sha256", "reason")
 
 
 @query(
@@ -111,3 +111,70 @@ def ordered_results(spark, directory):
     )
     line = F.row_number().over(Window.orderBy("_at")).cast("bigint")
     return lines.select(line.alias("line"), "event_type", "n")
+
+
+@query(
+    "SRC4_bar_files",
+    """SELECT epoch_us(ts) // 1000 AS open_ms, count(*) AS bars, sum(value) AS open, sum(value * 2.0e0) AS high
+    FROM events WHERE event_type <> 'error' GROUP BY 1""",
+    ("open", "high"),
+)
+def bar_files(spark, directory):
+    """Bars read from text files: lines that are headers in the middle drop out."""
+    path = scratch(spark) + "/bars.csv"
+    value = F.col("value")
+    bars = ingest.table(spark, directory, "events").select(
+        F.when(F.col("event_type") == "error", "open_time")
+        .otherwise(F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("open_time"),
+        value.alias("open"), (value * 2.0).alias("high"), *[value.alias(c) for c in ("low", "close", "volume")],
+    )
+    bars.write.csv(path)
+    return ingest.read_bars(spark, path).groupBy(F.unix_millis("open_time").alias("open_ms")).agg(
+        F.count("*").alias("bars"), F.sum("open").alias("open"), F.sum("high").alias("high")
+    )
+
+
+@query(
+    "SRC8_market_files",
+    """SELECT CAST(user_id % 7 AS VARCHAR) AS category, count(*) AS markets, sum(value) AS volume,
+      sum(CAST(event_id % 3 AS DOUBLE) / 10.0e0) AS rate, count(*) FILTER (WHERE event_id % 2 = 0) AS tagged
+    FROM events GROUP BY 1""",
+    ("volume", "rate"),
+)
+def market_files(spark, directory):
+    """Market records written as JSON lines and read with the declared nested schema."""
+    path = scratch(spark) + "/markets.json"
+    made = ingest.table(spark, directory, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.col("value").alias("volumeNum"),
+        (F.col("user_id") % 7).cast("string").alias("category"),
+        F.struct((F.col("event_id") % 3 / 10.0).cast("string").alias("rate")).alias("feeSchedule"),
+        F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.lit("t").alias("slug"), F.lit("T").alias("label")))).alias("tags"),
+        F.lit("not in the schema").alias("unknown"),
+    )
+    sinks.write_projection(made, path, "json")
+    return ingest.read_markets(spark, path).groupBy("category").agg(
+        F.count("*").alias("markets"), F.sum("volumeNum").alias("volume"),
+        F.sum(F.col("feeSchedule.rate").cast("double")).alias("rate"), F.count_if(F.size("tags") > 0).alias("tagged"),
+    )
+
+
+@query(
+    "SRC8_history_files",
+    """SELECT CAST(user_id AS VARCHAR) AS token, count(*) AS points, sum(value) AS total,
+      max(epoch_us(ts) // 1000000) AS last FROM events GROUP BY 1""",
+    ("total",),
+)
+def history_files(spark, directory):
+    """Price histories, one JSON line a token, read and unnested."""
+    path = scratch(spark) + "/histories.json"
+    point = F.struct(
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("p"), F.lit("trade").alias("source")
+    )
+    histories = ingest.table(spark, directory, "events").groupBy(F.col("user_id").cast("string").alias("token")).agg(
+        F.collect_list(point).alias("points")
+    )
+    sinks.write_projection(histories, path, "json")
+    points = ingest.read_histories(spark, path).select("token", F.inline("points"))
+    return points.groupBy("token").agg(
+        F.count("*").alias("points"), F.sum("p").alias("total"), F.max("t").alias("last")
+    )

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigate.functions.columns import hash_low_bit, stable_seed
 from verdigate.operators import labels, metrics, rules
 from verdigate.operators import structure as X
+from verdigate.operators.distributed import shared_folder
 from verdigate.plans.proxies import DECISION_SQL, TWO_TASK_SQL, decision_view, two_task_inputs
 from verdigate.plans.registry import query
 from verdigate.sources.ingest import table
-from verdigate.sources.sinks import canonical_rows, dataset_manifest
+from verdigate.sources.sinks import dataset_manifest, publish_partitions, write_canonical_json
 
 WITH_V = f"WITH {DECISION_SQL}"
 NAMESPACE = "decision-audit"
@@ -417,12 +420,14 @@ def manifest(spark, directory):
       || ',"row_id":"' || row_id || '","tail":null}}' AS value FROM v""",
 )
 def canonical_json_rows(spark, directory):
-    """Canonical JSON with NaN as null and sorted keys."""
-    return canonical_rows(
+    """Canonical JSON with NaN as null and sorted keys, written and read back."""
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}.json"
+    write_canonical_json(
         decision_view(spark, directory).select(
             "row_id", "horizon", "candidate_action", F.lit(float("nan")).alias("tail")
-        )
+        ), path,
     )
+    return spark.read.text(path)
 
 
 @query(
@@ -432,19 +437,30 @@ def canonical_json_rows(spark, directory):
       count(*) OVER () AS n FROM c)
     SELECT CASE WHEN split <> 'test' THEN split WHEN rn <= n // 2 THEN 'paper_test'
         WHEN n % 2 = 1 AND rn = n // 2 + 1 THEN 'unassigned'
-        ELSE 'community_hidden' END AS destination, count(*) AS rows
+        ELSE 'community_hidden' END AS destination, count(*) AS rows, count(*) AS counted_rows,
+      sum(confidence) AS confidence
     FROM v LEFT JOIN k ON event_cluster_id = id WHERE split <> 'test' OR id IS NOT NULL GROUP BY 1""",
+    ("confidence",),
 )
 def split_router(spark, directory):
+    """Rows published by destination; the published table, and the counts of the sink."""
     v = decision_view(spark, directory)
     halves = X.hash_halves(
         test_clusters(v), "event_cluster_id", NAMESPACE, spare="unassigned"
     )
-    return X.route_rows(v, halves, "event_cluster_id").groupBy("destination").agg(
-        F.count("*").alias("rows")
+    routed = X.route_rows(v, halves, "event_cluster_id").select("row_id", "event_cluster_id", "confidence", "destination")
+    path = f"{shared_folder(spark)}/partitions-{uuid.uuid4().hex}"
+    counted = publish_partitions(routed, path, DESTINATIONS)
+    counts = spark.createDataFrame(list(counted.items()), "destination string, counted_rows bigint")
+    return (
+        spark.read.parquet(path).groupBy("destination")
+        .agg(F.count("*").alias("rows"), F.sum("confidence").alias("confidence")).join(counts, "destination")
     )
 
 
+DESTINATIONS = ("train", "validation", "paper_test", "community_hidden", "unassigned")
+
+
 def test_clusters(v: DataFrame) -> DataFrame:
     return v.filter(F.col("split") == "test").select("event_cluster_id").distinct()
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,51 @@ def write_canonical_json(df: DataFrame, path: str) -> None:
     canonical_rows(df).write.mode("errorifexists").text(path)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and a function that makes its paths."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+def publish_partitions(
+    df: DataFrame, path: str, destinations: Sequence[str], column: str = "destination"
+) -> dict[str, int]:
+    """Write the rows of each destination to its own folder of a new table and return
+    their counts.
+
+    An existing target is refused, and so are rows of another or no destination.  The
+    table is written beside the target, read back and counted, and only then renamed to
+    its place, so readers see all of it or nothing; a failure leaves no target.  The
+    rename is one step on a file system that has it; an object store copies.  Rows
+    are counted while they are written, and not moved before.
+    """
+    spark = df.sparkSession
+    files, of = file_system(spark, path)
+    if files.exists(of(path)):
+        raise FileExistsError(f"refusing to overwrite published table: {path}")
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    sent = Observation()
+    counts = [F.count_if(F.col(column) == d).alias(f"d{i}") for i, d in enumerate(destinations)]
+    try:
+        df.observe(sent, F.count(F.lit(1)).alias("all"), *counts).write.partitionBy(column).parquet(staged)
+        found = dict(sent.get)
+        wanted = {d: found[f"d{i}"] for i, d in enumerate(destinations)}
+        if sum(wanted.values()) != found["all"]:
+            raise ValueError(f"{found['all'] - sum(wanted.values())} rows have no listed destination")
+        stored = {d: 0 for d in destinations}
+        if found["all"]:
+            back = spark.read.schema(df.schema).parquet(staged)
+            stored |= {r[column]: r["n"] for r in back.groupBy(column).agg(F.count("*").alias("n")).collect()}
+        if stored != wanted:
+            raise ValueError(f"stored rows {stored} differ from written rows {wanted}")
+        if not files.rename(of(staged), of(path)):
+            raise FileExistsError(f"could not publish {path}")
+    finally:
+        if files.exists(of(staged)):
+            files.delete(of(staged), True)
+    return wanted
+
+
 def write_projection(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt not in ("json", "csv"):
         raise ValueError(f"unsupported projection format: {fmt}")
