@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdigate.operators import labels, learn, metrics, ranks, studies
 from verdigate.operators.distributed import materialize
 from verdigate.operators.structure import curriculum_quotas
+from verdigate.plans.inference import _bound_sql, scored_frame
 from verdigate.plans.proxies import DECISION_SQL, ROLES, decision_view, provenance_view
 from verdigate.plans.registry import query
 
@@ -370,3 +371,65 @@ def training_robustness(spark, directory):
         F.avg("primary_far").alias("far_mean"), F.stddev_samp("primary_far").alias("far_std"),
     )
     return curve.join(shares, keys)
+
+
+def _given_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Two score columns of the given rows in the place of models: 0 and 1."""
+    rows = scored_frame(spark, directory).drop("authorized").withColumn("source_layer", F.col("opportunity_slice"))
+    scores = F.array(F.col("confidence").cast("double"), (1.0 - F.col("uncertainty")).cast("double"))
+    return studies.by_model(rows.withColumn("scores", scores))
+
+
+THRESHOLD_SQL = f"""WITH {DECISION_SQL}, sc AS (
+      SELECT event_cluster_id, opportunity_slice, full_utility, original_source_eligible, 0 AS model, confidence AS score FROM v
+      UNION ALL SELECT event_cluster_id, opportunity_slice, full_utility, original_source_eligible, 1, 1.0e0 - uncertainty FROM v),
+    th AS (
+      SELECT model, target, max(score) FILTER (WHERE i = CAST(ceil((n - 1) * (1.0e0 - target)) AS BIGINT)) AS threshold
+      FROM (SELECT model, score, row_number() OVER (PARTITION BY model ORDER BY score) - 1 AS i,
+          count(*) OVER (PARTITION BY model) AS n FROM sc),
+        (SELECT unnest([0.05e0, 0.1e0, 0.2e0]) AS target) GROUP BY 1, 2),
+    au AS (SELECT sc.*, target, threshold, score >= threshold AS authorized FROM sc JOIN th USING (model))"""
+
+
+def _rates_sql(keys: str) -> str:
+    return f"""cr AS (
+      SELECT {keys}, event_cluster_id, avg(CAST(authorized AS DOUBLE)) AS coverage,
+        avg(CASE WHEN authorized THEN CASE WHEN full_utility > 0 AND original_source_eligible THEN 0.0e0 ELSE 1.0e0 END END) AS far,
+        coalesce(sum(full_utility) FILTER (WHERE authorized), 0.0e0) AS cau
+      FROM au GROUP BY ALL),
+    rb AS (SELECT {keys}, avg(coverage) AS coverage, {_bound_sql("coverage", "-")} AS coverage_lcb95,
+        avg(far) AS far, avg(cau) AS cau FROM cr GROUP BY ALL)"""
+
+
+@query(
+    "T3_selective_threshold",
+    f"""{THRESHOLD_SQL}, {_rates_sql("model, target, threshold, opportunity_slice")},
+    rk AS (SELECT model, target, threshold,
+        CASE WHEN count(far) > 0 AND min(coverage_lcb95) >= {FLOOR}e0 THEN 0 ELSE 1 END AS invalid,
+        coalesce(max(far), 'inf'::DOUBLE) AS mx, coalesce(avg(far), 'inf'::DOUBLE) AS mn, avg(cau) AS cau FROM rb GROUP BY ALL)
+    SELECT CAST(model AS INTEGER) AS model, target, threshold, invalid = 0 AS floor_satisfied FROM rk
+    QUALIFY row_number() OVER (PARTITION BY model ORDER BY invalid, mx, mn, cau DESC, target DESC) = 1""",
+    ("target", "threshold"),
+)
+def selective_threshold(spark, directory):
+    """The selective threshold of each score: valid first, then worst and mean harm over
+    the layers, utility and coverage."""
+    long = materialize(_given_scores(spark, directory))
+    ruled = studies.authorized(long, materialize(studies.coverage_thresholds(long, SELECTIVE_TARGETS)))
+    per_layer = metrics.cluster_rate_bounds(ruled, ["model", "target", "threshold", "source_layer"])
+    return studies.best_selective(per_layer, FLOOR)
+
+
+@query(
+    "T2_best_candidate",
+    f"""{THRESHOLD_SQL}, {_rates_sql("model, target, threshold")}
+    SELECT target, CAST(model AS INTEGER) AS model, threshold, coverage, far FROM rb
+    QUALIFY row_number() OVER (PARTITION BY target ORDER BY far NULLS LAST, abs(coverage - {COVERAGE}e0), cau DESC, model) = 1""",
+    ("target", "threshold", "coverage", "far"),
+)
+def best_candidate(spark, directory):
+    """Of the scores at each target the one with least harm, then nearest coverage, then utility."""
+    long = materialize(_given_scores(spark, directory))
+    ruled = studies.authorized(long, materialize(studies.coverage_thresholds(long, SELECTIVE_TARGETS)))
+    rates = metrics.cluster_rate_metrics(ruled, ["target", "model", "threshold"]).withColumn("c", F.col("model").cast("double"))
+    return studies.best_candidate(rates, ["target"], COVERAGE).select("target", "model", "threshold", "coverage", "far")
