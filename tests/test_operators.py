@@ -17,7 +17,7 @@ from verdigate.operators import text as TX
 from verdigate.operators.distributed import (
     global_position, grouped_quantiles, hash_position, quantile_bins,
 )
-from verdigate.operators.timeseries import asof_join, busy_spans, sliced_lag, with_slices
+from verdigate.operators.timeseries import asof_join, asof_many, busy_spans, quote_spans, sliced_lag, with_slices
 from verdigate.sources.ingest import clean_doubles, parse_bars, require_columns
 
 BASE = {
@@ -599,3 +599,20 @@ def test_published_partitions_are_counted_and_never_overwritten(spark, tmp_path)
         publish_partitions(lost, str(tmp_path / "other"), ("a", "b"))
     assert sorted(os.listdir(tmp_path)) == ["out"]
     assert publish_partitions(df.limit(0), str(tmp_path / "none"), ("a",)) == {"a": 0}
+
+
+def test_several_asof_joins_in_one_pass(spark):
+    """Tagged probes of one pass give what single joins give, ties and missing times included."""
+    rng = np.random.default_rng(12)
+    quotes = pd.DataFrame({"k": rng.integers(0, 3, 200), "qs": rng.integers(0, 300, 200), "v": rng.normal(size=200), "i": np.arange(200)})
+    probes = pd.DataFrame({"pid": np.arange(60), "k": rng.integers(0, 4, 60), "a": rng.integers(0, 300, 60), "b": rng.integers(0, 300, 60)})
+    q = spark.createDataFrame(quotes).withColumn("qt", F.timestamp_seconds("qs"))
+    p = spark.createDataFrame(probes).withColumns({
+        "at": F.timestamp_seconds("a"), "bt": F.when(F.col("pid") % 7 > 0, F.timestamp_seconds("b"))})
+    for direction in ("backward", "forward"):
+        busy = quote_spans(q, ["k"], "qt", 1000, 20)
+        got = asof_many(p, q, ["k"], "pid", [("x_", "at", True, ("v", "i")), ("y_", "bt", False, ("i",))], "qt", "i", direction, 40, 1000, busy)
+        one = asof_join(p, q, ["k"], "at", "qt", ["v", "i"], "i", direction, True, 40, prefix="x_")
+        both = asof_join(one, q, ["k"], "bt", "qt", ["i"], "i", direction, False, 40, prefix="y_")
+        key = lambda r: r["pid"]
+        assert busy is not None and sorted(got.collect(), key=key) == sorted(both.select(*got.columns).collect(), key=key)

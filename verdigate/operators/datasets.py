@@ -13,7 +13,7 @@ from verdigate.operators.distributed import materialize
 from verdigate.operators.labels import order_book_stress, weak_priors
 from verdigate.operators.structure import first_reason, role_by_hash
 from verdigate.operators.timeseries import (
-    asof_join, bar_window, realised_volatility, resample_last,
+    asof_many, bar_window, quote_spans, realised_volatility, resample_last,
 )
 
 
@@ -105,11 +105,11 @@ def order_book_decisions(bars: DataFrame, depth: DataFrame, plan: BookPlan) -> D
     )
     sides = ("bid_depth_1pct", "ask_depth_1pct")
     quoted = depth.withColumn("_tie", micros(F.col("timestamp")))
-    for at, prefix in (("decision_timestamp", ""), ("outcome_timestamp", "exit_")):
-        probes = asof_join(
-            probes, quoted, by, at, "timestamp", sides, "_tie",
-            max_age_seconds=plan.max_age_seconds, slice_seconds=86400, prefix=prefix,
-        )
+    wanted = [("", "decision_timestamp", False, sides), ("exit_", "outcome_timestamp", False, sides)]
+    probes = asof_many(
+        probes, quoted, by, "decision_id", wanted, "timestamp", "_tie", "backward", plan.max_age_seconds,
+        86400, quote_spans(quoted, by, "timestamp", 86400),
+    )
     prices = ("start_close", "end_close", "short_close", "entry_price", "exit_price")
     depths = (*sides, *[f"exit_{s}" for s in sides])
     day = F.to_date("decision_timestamp")
@@ -219,18 +219,20 @@ def session_decisions(quotes: DataFrame, plan: SessionPlan) -> DataFrame:
     )
     sides = ("bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00", "mid")
 
-    def nearest(df, at, direction, strict, prefix, values=sides):
-        return asof_join(
-            df, q, by, at, "ts", values, "_tie", direction, strict, plan.max_age_seconds,
-            86400, prefix,
+    busy = quote_spans(q, by, "ts", 86400)
+
+    def nearest(df, direction, wanted):
+        return asof_many(
+            df, q, by, "decision_id", wanted, "ts", "_tie", direction, plan.max_age_seconds, 86400, busy
         )
 
-    p = nearest(p, "decision_timestamp", "backward", True, "now_")
-    p = nearest(p, "_start", "backward", False, "start_", ("mid",))
-    p = nearest(p, "_short", "backward", False, "short_", ("mid",))
-    p = nearest(p, "_target", "forward", False, "entry_")
+    p = nearest(p, "backward", [
+        ("now_", "decision_timestamp", True, sides), ("start_", "_start", False, ("mid",)),
+        ("short_", "_short", False, ("mid",)),
+    ])
+    p = nearest(p, "forward", [("entry_", "_target", False, sides)])
     p = p.withColumn("_exit", shift(F.col("entry_observed_timestamp"), plan.holding_seconds))
-    p = nearest(p, "_exit", "forward", False, "exit_")
+    p = nearest(p, "forward", [("exit_", "_exit", False, sides)])
 
     p = materialize(p)
     # Quotes inside each look-back window, found by the minute they fall in.
@@ -319,11 +321,11 @@ def two_task_contexts(
     )
     sides = ("bid_depth_1pct", "ask_depth_1pct")
     quoted = depth.withColumn("_tie", micros(F.col("timestamp")))
-    for at, prefix in (("action_timestamp", "entry_"), ("risk_timestamp", "late_")):
-        base = asof_join(
-            base, quoted, by, at, "timestamp", sides, "_tie",
-            max_age_seconds=plan.max_age_seconds, slice_seconds=86400, prefix=prefix,
-        )
+    wanted = [("entry_", "action_timestamp", False, sides), ("late_", "risk_timestamp", False, sides)]
+    base = asof_many(
+        base, quoted, by, "decision_id", wanted, "timestamp", "_tie", "backward", plan.max_age_seconds,
+        86400, quote_spans(quoted, by, "timestamp", 86400),
+    )
     total = F.col("entry_bid_depth_1pct") + F.col("entry_ask_depth_1pct")
     later = F.col("late_bid_depth_1pct") + F.col("late_ask_depth_1pct")
     broken = ~(F.col("direct_complete") & F.col("risk_complete"))

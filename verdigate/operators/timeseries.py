@@ -32,7 +32,7 @@ def busy_spans(events: DataFrame, by: Sequence[str], width: int, most: int = SLI
     full = events.groupBy(*by, "_span").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
 
     def finer(of: Column) -> Column:
-        return F.greatest(F.floor(of * most / F.col("_n") / 2), F.lit(1)).cast("bigint")
+        return F.greatest(F.floor(of.cast("double") * most / F.col("_n") / 2), F.lit(1)).cast("bigint")
 
     open_ = materialize(full.select(*by, "_span", finer(F.lit(width)).alias("_fine")))
     if open_.isEmpty():
@@ -61,6 +61,76 @@ def with_slices(df: DataFrame, by: Sequence[str], width: int, busy: DataFrame |
     return placed.withColumn("_slice", F.coalesce(fine, "_span")).drop("_span", "_fine")
 
 
+def quote_spans(
+    quotes: DataFrame, by: Sequence[str], time: str, slice_seconds: int, slice_rows: int = SLICE_ROWS
+) -> DataFrame | None:
+    """The busy spans of quotes, to be counted once and used by several joins."""
+    timed = quotes.dropna(subset=[*by, time]).select(*by, micros(F.col(time)).alias("_t"))
+    return busy_spans(timed, by, slice_seconds * EPOCH_MICROS, slice_rows)
+
+
+#: Sides of equal times: a strict probe comes before the quotes of its time, others after.
+_STRICT, _QUOTE, _OPEN = 0, 1, 2
+
+
+def _last_seen(
+    probes: DataFrame, quotes: DataFrame, by: list[str], quote_time: str, values: Sequence[str],
+    tiebreak: str, sign: int, width: int, busy: DataFrame | None,
+) -> DataFrame:
+    """Probes (by, _t, _side, _p) -> _p and _f, the last quote before each in the
+    direction of the clock.  A probe without key or time finds nothing."""
+    payload = F.struct(
+        micros(F.col(quote_time)).alias("_us"), *[F.col(v).alias(v) for v in dict.fromkeys(values)]
+    )
+    q = quotes.dropna(subset=[*by, quote_time]).select(
+        *by, micros(F.col(quote_time)).alias("_t"), F.lit(_QUOTE).alias("_side"),
+        (F.lit(sign) * F.col(tiebreak)).alias("_order"), payload.alias("_q"),
+    )
+    lost = probes.filter(" or ".join(f"`{c}` is null" for c in [*by, "_t"]))
+    p = probes.dropna(subset=[*by, "_t"]).withColumn("_order", F.lit(None).cast("bigint"))
+    q, p = with_slices(q, by, width, busy), with_slices(p, by, width, busy)
+    clock = F.lit(sign) * F.col("_t")
+    ordered = Window.partitionBy(*by, "_slice").orderBy(clock, "_side", "_order")
+    seen = F.last("_q", ignorenulls=True).over(
+        ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    inside = (
+        q.unionByName(p, allowMissingColumns=True)
+        .withColumn("_hit", seen)
+        .filter(F.col("_p").isNotNull())
+        .select(*by, "_slice", "_p", "_hit")
+    )
+    last = q.groupBy(*by, "_slice").agg(F.max_by("_q", F.struct(clock, "_order")).alias("_end"))
+    asked = p.select(*by, "_slice").distinct()
+    before = Window.partitionBy(*by).orderBy(F.lit(sign) * F.col("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        last.join(asked, [*by, "_slice"], "full_outer")
+        .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
+        .select(*by, "_slice", "_before")
+    )
+    found = F.coalesce("_hit", "_before")
+    joined = inside.join(carry, [*by, "_slice"], "left").select("_p", found.alias("_f"))
+    return joined.unionByName(lost.select("_p"), allowMissingColumns=True)
+
+
+def _columns_of(found: Column, time: Column, values: Sequence[str], prefix: str, max_age: float | None) -> list[Column]:
+    age = F.abs(micros(time) - found["_us"]) / F.lit(float(EPOCH_MICROS))
+    fresh = found.isNotNull()
+    if max_age is not None:
+        fresh = fresh & (age <= max_age)
+    return [
+        *[F.when(fresh, found[v]).alias(f"{prefix}{v}") for v in values],
+        F.when(fresh, from_micros(found["_us"])).alias(f"{prefix}observed_timestamp"),
+        F.when(fresh, age).alias(f"{prefix}age_seconds"),
+    ]
+
+
+def _sign(direction: str) -> int:
+    if direction not in ("backward", "forward"):
+        raise ValueError(f"unknown direction: {direction}")
+    return 1 if direction == "backward" else -1
+
+
 def asof_join(
     probes: DataFrame,
     quotes: DataFrame,
@@ -81,69 +151,62 @@ def asof_join(
     `strict` leaves out quotes at the probe's own time.  A quote older than
     `max_age_seconds` leaves the added columns NULL.  `tiebreak` orders quotes with
     equal times.  A probe without key or time finds nothing.  Slices are
-    `slice_seconds` wide, and narrower where a key has more than `slice_rows` rows.
+    `slice_seconds` wide, and narrower where a key has more than `slice_rows` quotes.
     """
-    if direction not in ("backward", "forward"):
-        raise ValueError(f"unknown direction: {direction}")
     by = list(by)
-    sign = 1 if direction == "backward" else -1
-    width = slice_seconds * EPOCH_MICROS
-    quote_side, probe_side = (1, 0) if strict else (0, 1)
-    payload = F.struct(
-        micros(F.col(quote_time)).alias("_us"), F.col(tiebreak).alias("_tie"),
-        *[F.col(v).alias(v) for v in values],
-    )
-
-    def clock(c: str) -> Column:
-        return F.lit(sign) * micros(F.col(c))
-
-    q = quotes.dropna(subset=[*by, quote_time]).select(
-        *by, clock(quote_time).alias("_t"), F.lit(quote_side).alias("_side"),
-        (F.lit(sign) * F.col(tiebreak)).alias("_order"), payload.alias("_q"),
-    )
-    carried = F.struct(*[F.col(c) for c in probes.columns])
     p = probes.select(
-        *by, clock(probe_time).alias("_t"), F.lit(probe_side).alias("_side"),
-        F.lit(None).cast("bigint").alias("_order"), carried.alias("_p"),
+        *by, micros(F.col(probe_time)).alias("_t"), F.lit(_STRICT if strict else _OPEN).alias("_side"),
+        F.struct(*[F.col(c) for c in probes.columns]).alias("_p"),
     )
-    lost = p.filter(" or ".join(f"`{c}` is null" for c in [*by, "_t"]))
-    p = p.dropna(subset=[*by, "_t"])
-    busy = busy_spans(q.select(*by, "_t").unionByName(p.select(*by, "_t")), by, width, slice_rows)
-    q, p = with_slices(q, by, width, busy), with_slices(p, by, width, busy)
-
-    ordered = Window.partitionBy(*by, "_slice").orderBy("_t", "_side", "_order")
-    seen = F.last("_q", ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = _last_seen(
+        p, quotes, by, quote_time, values, tiebreak, _sign(direction), slice_seconds * EPOCH_MICROS,
+        quote_spans(quotes, by, quote_time, slice_seconds, slice_rows),
     )
-    inside = (
-        q.unionByName(p, allowMissingColumns=True)
-        .withColumn("_hit", seen)
-        .filter(F.col("_p").isNotNull())
-        .select(*by, "_slice", "_p", "_hit")
-    )
-    last = q.groupBy(*by, "_slice").agg(
-        F.max_by("_q", F.struct("_t", "_order")).alias("_end")
-    )
-    asked = p.select(*by, "_slice").distinct()
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        last.join(asked, [*by, "_slice"], "full_outer")
-        .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
-        .select(*by, "_slice", "_before")
-    )
-    found = F.coalesce("_hit", "_before")
-    joined = inside.join(carry, [*by, "_slice"], "left").select("_p", found.alias("_f"))
-    joined = joined.unionByName(lost.select("_p"), allowMissingColumns=True)
-    age = F.abs(micros(F.col(f"_p.{probe_time}")) - F.col("_f._us")) / F.lit(float(EPOCH_MICROS))
-    fresh = F.col("_f").isNotNull()
-    if max_age_seconds is not None:
-        fresh = fresh & (age <= max_age_seconds)
     return joined.select(
-        "_p.*",
-        *[F.when(fresh, F.col(f"_f.{v}")).alias(f"{prefix}{v}") for v in values],
-        F.when(fresh, from_micros(F.col("_f._us"))).alias(f"{prefix}observed_timestamp"),
-        F.when(fresh, age).alias(f"{prefix}age_seconds"),
+        "_p.*", *_columns_of(F.col("_f"), F.col(f"_p.{probe_time}"), values, prefix, max_age_seconds)
+    )
+
+
+def asof_many(
+    probes: DataFrame,
+    quotes: DataFrame,
+    by: Sequence[str],
+    probe_id: str,
+    wanted: Sequence[tuple[str, str, bool, Sequence[str]]],
+    quote_time: str,
+    tiebreak: str,
+    direction: str = "backward",
+    max_age_seconds: float | None = None,
+    slice_seconds: int = 3600,
+    busy: DataFrame | None = None,
+) -> DataFrame:
+    """Several as-of joins of the same direction in one pass over the quotes.
+
+    `wanted` lists (prefix, probe time column, strict, values).  Each row of `probes`,
+    which `probe_id` identifies, asks once per entry; the quotes are shuffled once.
+    `busy` are the spans found by `quote_spans`.
+    """
+    by = list(by)
+    sign = _sign(direction)
+    asks = F.array(*[
+        F.struct(
+            F.lit(i).alias("_kind"), micros(F.col(time)).alias("_t"),
+            F.lit(_STRICT if strict else _OPEN).alias("_side"),
+        )
+        for i, (_, time, strict, _) in enumerate(wanted)
+    ])
+    asked = probes.select(*by, F.col(probe_id).alias("_id"), F.inline(asks)).select(
+        *by, "_t", "_side", F.struct("_id", "_kind").alias("_p")
     )
+    every = [v for _, _, _, values in wanted for v in values]
+    found = _last_seen(asked, quotes, by, quote_time, every, tiebreak, sign, slice_seconds * EPOCH_MICROS, busy)
+    kinds = [F.first(F.when(F.col("_p._kind") == i, F.col("_f")), ignorenulls=True).alias(f"_f{i}") for i in range(len(wanted))]
+    rows = found.groupBy(F.col("_p._id").alias(probe_id)).agg(*kinds)
+    added = [
+        c for i, (prefix, time, _, values) in enumerate(wanted)
+        for c in _columns_of(F.col(f"_f{i}"), F.col(time), values, prefix, max_age_seconds)
+    ]
+    return probes.join(rows, probe_id).select(*probes.columns, *added)
 
 
 def sliced_lag(
