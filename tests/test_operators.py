@@ -616,3 +616,9 @@ def test_several_asof_joins_in_one_pass(spark):
         both = asof_join(one, q, ["k"], "bt", "qt", ["i"], "i", direction, False, 40, prefix="y_")
         key = lambda r: r["pid"]
         assert busy is not None and sorted(got.collect(), key=key) == sorted(both.select(*got.columns).collect(), key=key)
+
+
+def test_white_space_does_not_hide_a_sensitive_value(spark):
+    df = spark.createDataFrame([(w + "hidden" + w,) for w in ("", " ", "\t", "\n", "\r\n", "\x0b\x0c")] + [("plain",)], "v STRING")
+    reasons = [r[0] for r in df.select(TX.sensitive_value(F.col("v"))).collect()]
+    assert reasons[0] is not None and len(set(reasons[:6])) == 1 and reasons[6] is None

@@ -374,9 +374,13 @@ def forbidden_field(name: str, extra: Sequence[str] = ()) -> bool:
     return listed or any(policy.covers(plain) for policy in NAME_POLICIES)
 
 
+#: White space around a value does not hide it.
+WHITE = "\t\n\x0b\x0c\r "
+
+
 def sensitive_value(value: Column) -> Column:
     """Reason a string must not be published, or NULL."""
-    plain = F.translate(F.lower(F.trim(value)), "\\", "/")
+    plain = F.translate(F.lower(F.trim(value, F.lit(WHITE))), "\\", "/")
     checked = [
         F.when(reduce(Column.__and__, [plain.rlike(p) for p in patterns]), F.lit(reason))
         for reason, patterns in VALUE_POLICIES
