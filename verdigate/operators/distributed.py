@@ -116,7 +116,7 @@ def _offsets(df: DataFrame, groups: list[str], range_column: str) -> DataFrame:
 
 
 #: Rows of a group that one task may sort, and cells a larger group is cut into per round.
-SORTED_ROWS = 100_000
+SORTED_ROWS = 1_000_000
 CELLS = 1000
 #: A sketch of this accuracy is off by n / ACCURACY ranks at most.
 ACCURACY = 10_000
