@@ -147,12 +147,17 @@ def exact_permutation(
         F.col("_n") > MAX_PERMUTED,
         F.raise_error(F.lit(f"exact enumeration is limited to {MAX_PERMUTED} rules")).cast("int"),
     ).otherwise(F.col("_n"))
-    valid = joined.filter("valid").withColumn("_n", limit)
+    observed = F.arrays_zip(F.col("_rx").alias("x"), F.col("_ry").alias("y"))
+    valid = joined.filter("valid").withColumns(
+        {"_n": limit, "_s0": _total(observed, lambda t: t["x"] * t["y"])}
+    )
     total = F.factorial("_n")
     run = 5040
+    # A number, because few rows without one would be put together in one task.
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     runs = valid.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(factorial(_n) - 1) div {run}"))).alias("_run")
-    ).repartition("_run", *groups)
+    ).repartition(spread, "_run", *groups)
     last = F.least((F.col("_run") + 1) * run, total) - 1
     each = runs.select("*", F.explode(F.sequence(F.col("_run") * run, last)).alias("_id"))
 
@@ -169,15 +174,20 @@ def exact_permutation(
         F.sequence(F.lit(1), F.col("_n")).alias("rest"),
     )
     order = F.aggregate(F.sequence(F.lit(1), F.col("_n")), start, step)["done"]
+    # Both rankings keep their spread, so rho grows with the sum of products alone, and sums of
+    # products of half ranks are exact.
+    def products(ys: Column) -> Column:
+        both = F.arrays_zip(F.col("_rx").alias("x"), ys.alias("y"))
+        return _total(both, lambda t: t["x"] * t["y"])
+
     shuffled = F.transform(F.col("_order"), lambda i: F.element_at(F.col("_ry"), i))
-    rho = _pearson(F.col("_rx"), F.col("_py"))
     counted = (
         each.withColumn("_order", order)
         .withColumn("_py", shuffled)
         .groupBy(*groups)
         .agg(
             F.count("*").alias("permutations"),
-            F.count_if(rho <= F.col("spearman_rho") + 1e-12).alias("_extreme"),
+            F.count_if(products(F.col("_py")) <= F.col("_s0")).alias("_extreme"),
         )
     )
     result = stats.join(counted, groups, "left") if groups else (

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigate.operators import certify, labels, metrics, ranks, resample, rules
+from verdigate.operators import certify, labels, metrics, ranks, resample, rules, transfer
 from verdigate.operators.text import jensen_shannon_drift
 from verdigate.plans import sql_rules as S
 from verdigate.plans.coverage import WITH_D, core_decisions
 from verdigate.plans.inference import (
     CORE_NAMES, MEASURES, PAIR, PAIR_SQL, REPLICATES, SEED, SURFACE_SQL, burdens, core_bounds,
-    draws_sql, pair_tests_sql,
+    COMPONENTS, draws_sql, pair_tests_sql,
 )
 from verdigate.plans.proxies import DECISION_SQL, TWO_TASK_SQL, decision_view
 from verdigate.plans.registry import query
-from verdigate.plans.tasks import task_decisions
+from verdigate.plans.tasks import REGIME_SQL, task_decisions, task_frame, with_regime
 
 METRIC = "material_harm_authorization_rate"
 
@@ -39,11 +39,12 @@ def observed_scores(ruled: DataFrame, groups: list[str], metric: str = METRIC) -
     )
 
 
-SCORES_SQL = f"""{WITH_D}, {TWO_TASK_SQL}, {S.task_outcomes(S.TWO_TASK)},
+CONTROLLED_SQL = """
 ctl AS (
   SELECT rule, avg(CASE WHEN authorized THEN CAST(selected_harm AS DOUBLE) END) AS controlled
   FROM d WHERE certification_eligible GROUP BY 1),
 dirr AS (SELECT * FROM td WHERE is_dir)"""
+SCORES_SQL = f"{WITH_D}, {TWO_TASK_SQL}, {S.task_outcomes(S.TWO_TASK)}, {CONTROLLED_SQL}"
 OBS = "avg(CASE WHEN authorized THEN CAST(selected_material_harm AS DOUBLE) END) AS observed"
 
 
@@ -181,8 +182,6 @@ ST7_METRICS = ("coverage", "economic_loss_authorization_rate", METRIC,
 
 
 def _score_sql() -> str:
-    from verdigate.plans.inference import COMPONENTS
-
     parts = [
         f"SELECT rule, '{m}' AS metric, sum(CAST({COMPONENTS[m][0]} AS DOUBLE)) AS num, "
         f"sum(CAST({COMPONENTS[m][1]} AS DOUBLE)) AS den FROM td GROUP BY 1"
@@ -314,6 +313,124 @@ def rank_transfer_surface(spark, directory):
     return joined.withColumn("primary_support", support)
 
 
+TRANSFER_METRICS = (METRIC, "economic_loss_authorization_rate", "tail_harm_authorization_rate")
+TRANSFER_DIMENSIONS = ("model_id", "symbol", "volatility_regime")
+
+
+def transfer_scores(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Directional decisions against the controlled ranking, per set and per replicate."""
+    ruled = labels.apply_task_decision(
+        rules.decide(with_regime(task_frame(spark, directory)), rules.two_task_rules())
+    ).filter(F.col("task_id") == labels.DIRECTIONAL)
+    parts = metrics.task_components()
+    return transfer.transfer_scores(
+        ruled, controlled_scores(spark, directory), {m: parts[m] for m in TRANSFER_METRICS},
+        TRANSFER_DIMENSIONS, TASK_NAMES, REPLICATES, SEED,
+    )
+
+
+def _transfer_sql() -> str:
+    """CTEs to s0: scores per metric, set, replicate (-1: all rows) and rule."""
+    by_metric = " UNION ALL ".join(
+        f"SELECT {', '.join(TRANSFER_DIMENSIONS)}, event_cluster_id, rule, '{m}' AS metric, "
+        f"sum(CAST({COMPONENTS[m][0]} AS DOUBLE)) AS num, sum(CAST({COMPONENTS[m][1]} AS DOUBLE)) AS den "
+        "FROM dirr GROUP BY ALL"
+        for m in TRANSFER_METRICS
+    )
+    by_set = " UNION ALL ".join(
+        f"SELECT '{part}' AS part, {member} AS member, event_cluster_id, rule, metric, "
+        "sum(num) AS num, sum(den) AS den FROM md GROUP BY ALL"
+        for part, member in (("overall", "''"), *((d, d) for d in TRANSFER_DIMENSIONS))
+    )
+    return f"""{WITH_D}, {REGIME_SQL}, {S.task_outcomes(S.TWO_TASK, "tr")}, {CONTROLLED_SQL},
+    md AS ({by_metric}), sets AS ({by_set}),
+    cl AS (
+      SELECT part, member, event_cluster_id, row_number() OVER (PARTITION BY part, member
+        ORDER BY md5(CAST(event_cluster_id AS VARCHAR)), event_cluster_id) - 1 AS position
+      FROM (SELECT DISTINCT part, member, event_cluster_id FROM sets)),
+    sz AS (SELECT part, member, count(*) AS n FROM cl GROUP BY ALL), {draws_sql("sz", "part, member")},
+    w AS (SELECT part, member, replicate, position, count(*) AS w FROM draws GROUP BY ALL),
+    bs AS (
+      SELECT metric, part, member, replicate, rule, sum(w * num) / nullif(sum(w * den), 0) AS observed
+      FROM w JOIN cl USING (part, member, position) JOIN sets USING (part, member, event_cluster_id)
+      GROUP BY ALL),
+    pt AS (
+      SELECT metric, part, member, -1 AS replicate, rule, sum(num) / nullif(sum(den), 0) AS observed
+      FROM sets GROUP BY ALL),
+    s0 AS (
+      SELECT metric, part, member, replicate, rule, controlled, observed
+      FROM (SELECT * FROM bs UNION ALL SELECT * FROM pt) JOIN ctl USING (rule))"""
+
+
+@query(
+    "ST6_transfer_views",
+    f"""{_transfer_sql()},
+    sc AS (SELECT * FROM s0 UNION ALL
+      SELECT metric, 'leave_one_out', o.rule, replicate, s.rule, controlled, observed
+      FROM s0 s JOIN (SELECT DISTINCT rule FROM s0) o ON s.rule <> o.rule WHERE part = 'overall'),
+    {_rank_sql("sc", "metric, part, member, replicate")}, {_PERMUTE.split("ri AS")[0]}
+    rl AS (SELECT metric, part, member, list(rx ORDER BY rule) AS xs, list(ry ORDER BY rule) AS ys
+      FROM rkd WHERE replicate = -1 GROUP BY ALL),
+    ps AS (
+      SELECT metric, part, member, list_sum([xs[k] * ys[k] FOR k IN range(1, len(xs) + 1)]) AS s0,
+        list_sum([xs[k] * ys[p[k]] FOR k IN range(1, len(xs) + 1)]) AS s
+      FROM rl JOIN pm ON len(xs) = 7 OR (len(xs) = 6 AND p[7] = 7)),
+    ex AS (
+      SELECT metric, part, member, avg(CAST(s <= s0 + 1e-9 AS DOUBLE)) AS exact_p_value
+      FROM ps GROUP BY ALL),
+    rs AS (
+      SELECT metric, part, member, count(spearman_rho) AS valid_replicates,
+        count(spearman_rho) / {REPLICATES}.0e0 AS valid_replicate_fraction,
+        quantile_cont(spearman_rho, 0.5) AS spearman_median,
+        quantile_cont(spearman_rho, 0.025) AS spearman_lcb95,
+        quantile_cont(spearman_rho, 0.975) AS spearman_ucb95,
+        avg(CASE WHEN valid THEN CAST(spearman_rho < -1e-12 AS DOUBLE) END) AS probability_below_zero
+      FROM stat WHERE replicate >= 0 GROUP BY ALL),
+    rn AS (SELECT part, member, n AS clusters FROM sz
+      UNION ALL SELECT 'leave_one_out', rule, n FROM sz, (SELECT DISTINCT rule FROM s0) WHERE part = 'overall')
+    SELECT metric, part, member, n_rules, valid, reason, spearman_rho, kendall_tau_b,
+      CASE WHEN valid THEN exact_p_value END AS exact_p_value, valid_replicates, valid_replicate_fraction,
+      spearman_median, spearman_lcb95, spearman_ucb95, probability_below_zero, clusters,
+      CASE WHEN part = 'overall' THEN probability_below_zero >= 0.95e0
+        AND CASE WHEN valid THEN exact_p_value END <= 0.05e0 END AS primary_support
+    FROM stat JOIN ex USING (metric, part, member) JOIN rs USING (metric, part, member)
+      JOIN rn USING (part, member) WHERE replicate = -1""",
+    ("spearman_rho", "kendall_tau_b", "exact_p_value", *RS),
+)
+def transfer_views(spark, directory):
+    """Three metrics over all rows, with each rule left out, and per model, symbol and
+    volatility regime."""
+    return transfer.transfer_views(*transfer_scores(spark, directory), TASK_NAMES, REPLICATES)
+
+
+@query(
+    "ST6_transfer_pairs",
+    f"""{_transfer_sql()},
+    pr AS (
+      SELECT metric, replicate, a.rule AS rule_a, b.rule AS rule_b,
+        a.controlled - b.controlled AS controlled_delta, a.observed - b.observed AS observed_delta
+      FROM (SELECT * FROM s0 WHERE part = 'overall') a JOIN (SELECT * FROM s0 WHERE part = 'overall') b
+        USING (metric, replicate) WHERE a.rule < b.rule),
+    q AS (
+      SELECT *, CASE WHEN controlled_delta IS NULL OR observed_delta IS NULL THEN 'pair_missing_n_a'
+        WHEN abs(controlled_delta) <= 1e-8 OR abs(observed_delta) <= 1e-8 THEN 'pair_tied_n_a' END AS reason
+      FROM pr),
+    z AS (SELECT *, CASE WHEN reason IS NULL THEN controlled_delta * observed_delta < 0 END AS reversal FROM q),
+    rs AS (
+      SELECT metric, rule_a, rule_b, count(reversal) / {REPLICATES}.0e0 AS valid_replicate_fraction,
+        avg(CAST(reversal AS DOUBLE)) AS probability_of_reversal,
+        quantile_cont(observed_delta, 0.025) AS observed_delta_lcb95,
+        quantile_cont(observed_delta, 0.975) AS observed_delta_ucb95
+      FROM z WHERE replicate >= 0 GROUP BY ALL)
+    SELECT z.* EXCLUDE (replicate), reason IS NULL AS valid, rs.* EXCLUDE (metric, rule_a, rule_b)
+    FROM z JOIN rs USING (metric, rule_a, rule_b) WHERE replicate = -1""",
+    ("controlled_delta", "observed_delta", "valid_replicate_fraction", "probability_of_reversal",
+     "observed_delta_lcb95", "observed_delta_ucb95"),
+)
+def transfer_pairs(spark, directory):
+    return transfer.transfer_pairs(*transfer_scores(spark, directory), REPLICATES)
+
+
 SYMBOL_PAIR_SQL = PAIR_SQL.replace(
     "SELECT event_cluster_id,", "SELECT symbol, event_cluster_id,", 1
 ).replace("FROM d GROUP BY 1)", "FROM d GROUP BY 1, 2)", 1)
