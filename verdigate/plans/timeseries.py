@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigate.functions.columns import micros
-from verdigate.operators import datasets, labels
+from verdigate.operators import datasets, labels, sealing
 from verdigate.operators import structure as X
-from verdigate.operators.distributed import materialize
+from verdigate.operators.distributed import materialize, shared_folder
 from verdigate.operators.timeseries import (
     asof_join, bar_window, exact_bar, outcome_buffer, realised_volatility, resample_last,
 )
@@ -525,6 +527,42 @@ def order_book_dataset(spark, directory):
     )
 
 
+def seal(keys: list[str], *sealed: str) -> sealing.Seal:
+    return sealing.Seal(keys, sealed, [("development", 5), ("paper_test", 10)], "community_hidden")
+
+
+def published(rows: DataFrame, plan: sealing.Seal, required: list[str]) -> DataFrame:
+    """The open splits, read back from both published sides."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/sides-{uuid.uuid4().hex}"
+    sealing.publish_sides(rows, path, plan)
+    return sealing.unseal(spark, path, plan, ["development", "paper_test"], required)
+
+
+@query(
+    "PL7_order_book_sides",
+    f"""WITH {PRIOR_ROWS_SQL}, days AS (
+      SELECT day, row_number() OVER (ORDER BY day) AS place FROM (SELECT DISTINCT day FROM pr)),
+    g AS (
+      SELECT *, CASE WHEN place <= 5 THEN 'development' ELSE 'paper_test' END AS split,
+        {BOOK_GROSS_SQL} AS gross FROM pr JOIN days USING (day) WHERE place <= 15)
+    SELECT split, prior_family, count(*) AS rows, count(DISTINCT day) AS clusters,
+      avg(confidence) AS confidence, sum({BOOK_FULL_SQL}) AS full_utility,
+      count(*) FILTER (WHERE {BOOK_FULL_SQL} < 0) AS harms FROM g GROUP BY 1, 2""",
+    ("confidence", "full_utility"),
+)
+def order_book_sides(spark, directory):
+    """Features and sealed outcomes of the order-book rows, published by split; outcomes
+    of the open splits from the joined sides."""
+    plan = seal(["row_id"], "outcome_timestamp", "entry_price", "exit_")
+    rows = published(prior_rows(spark, directory), plan, ["entry_price", "exit_price"])
+    return labels.order_book_outcomes(rows, with_impact=True).groupBy("split", "prior_family").agg(
+        F.count("*").alias("rows"), F.countDistinct("event_cluster_id").alias("clusters"),
+        F.avg("confidence").alias("confidence"), F.sum("full_utility").alias("full_utility"),
+        F.count_if("harm_label").alias("harms"),
+    )
+
+
 SESSION = datasets.SessionPlan(
     times=("10:00", "13:00"), lookback_seconds=7200, short_seconds=3600, holding_seconds=3600,
     max_age_seconds=3600.0, step_seconds=600, minimum_steps=3,
@@ -547,7 +585,7 @@ def session_decision_rows(spark, directory):
 
 @query("PL8_session_dataset")
 def session_dataset(spark, directory):
-    """Session prior rows; the outcome time is split off to the sealed side."""
+    """Labelled session prior rows, per symbol and prior family."""
     kept = X.keep_complete(materialize(sessions(spark, directory)), "local_date")
     rows = labels.order_book_outcomes(
         datasets.session_rows(kept, "session", SESSION.fee_bps), with_impact=False
@@ -558,6 +596,21 @@ def session_dataset(spark, directory):
     )
 
 
+@query("PL8_session_sides")
+def session_sides(spark, directory):
+    """The same rows in two published sides; entry and exit quotes come after the decision
+    and are sealed.  Outcomes of the open splits."""
+    kept = X.keep_complete(materialize(sessions(spark, directory)), "local_date")
+    rows = published(
+        datasets.session_rows(kept, "session", SESSION.fee_bps), seal(["row_id"], "entry_", "exit_"),
+        ["entry_price", "exit_price"],
+    )
+    return labels.order_book_outcomes(rows, with_impact=False).groupBy("split", "symbol", "prior_family").agg(
+        F.count("*").alias("rows"), F.avg("full_utility").alias("full_utility"),
+        F.count_if("harm_label").alias("harms"),
+    )
+
+
 def contexts(spark: SparkSession, directory: str) -> DataFrame:
     return datasets.two_task_contexts(
         materialize(hourly_bars(spark, directory)), materialize(depth_view(spark, directory)),
@@ -576,6 +629,24 @@ def two_task_context_rows(spark, directory):
     )
 
 
+@query("PL9_context_sides")
+def context_sides(spark, directory):
+    """Kept contexts in two published sides: all prices and depths after the decision are
+    sealed, what an agent is shown is not."""
+    kept = contexts(spark, directory).filter(F.col("reason").isNull()).drop("reason")
+    plan = seal(
+        ["context_id"], "outcome_timestamp", "task_outcome_timestamp", "entry_", "exit_", "direct_", "risk_",
+        "late_", "depth_deterioration",
+    )
+    rows = published(kept, plan, ["task_outcome_timestamp", "risk_volatility_bps"])
+    return rows.groupBy("split", "task_id", "assigned_source_role").agg(
+        F.count("*").alias("rows"), F.countDistinct("event_cluster_id").alias("clusters"),
+        F.avg("momentum_30_bps").alias("momentum_30_bps"),
+        F.avg("risk_volatility_bps").alias("risk_volatility_bps"),
+        F.avg("depth_deterioration_fraction_60m").alias("depth_deterioration"),
+    )
+
+
 @query(
     "PRJ32_prompt_projection",
     f"""WITH {BOOK_SQL} SELECT decision_id || '-' || task AS context_id, task AS task_id, symbol,
