@@ -449,6 +449,18 @@ def test_similar_bits_by_brute_force(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_seed_numbers(spark):
+    texts = [
+        '{"seeds": {"a": 11, "b": "12", "c": 13.5, "d": true, "e": -4, "f": null, "g": {"h": 14}}}',
+        ' {"seeds": [15], "x": {"seeds": {"y": 16}}}', '{"seeds": {"a": 17}', '["seeds"]', "", None,
+        "SEEDS : 21, x22 23\r24\nseeds 25\x0cseeds:\n26", "my_seed: 31 random_state=32 default_rng( 33 )",
+        '{"seeds": {}}', '{"seeds": {"a": 11, "big": 18446744073709551616}}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    assert sorted(r["seed"] for r in TX.seed_numbers(df, "t").collect()) == [-4, 11, 21, 23, 31, 32, 33]
+    assert TX.seed_numbers(df.limit(0), "t").count() == 0
+
+
 def test_ngrams_and_markup(spark):
     df = spark.createDataFrame([(r"% note" + "\n" + r"\textbf{Big} cats-eat \cite{x} fish",), ("two",)], "t STRING")
     got = [r[0] for r in df.select(TX.tokens(F.col("t"))).collect()]

@@ -150,11 +150,29 @@ SEED_PATTERNS = (
 )
 
 
+#: A line that lists seeds, and the numbers on it.
+SEED_LINE, LISTED = r"(?i)\bseeds\s*:", r"\b(\d{1,12})\b"
+LINE_END = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
 def seed_numbers(df: DataFrame, text: str) -> DataFrame:
-    found = F.flatten(
+    """Distinct seeds a text names: literals, numbers on a line that lists `seeds:`, and the
+    whole numbers of the map `seeds` of a JSON object.  Numbers that JSON writes as text,
+    with a fraction or beyond 64 bits are no seeds; broken JSON counts as plain text."""
+    plain = F.flatten(
         F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in SEED_PATTERNS])
     )
-    return df.select(F.explode(found).alias("s")).select(F.col("s").cast("bigint").alias("seed")).distinct()
+    lines = F.filter(F.split(F.col(text), LINE_END), lambda line: line.rlike(SEED_LINE))
+    listed = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(LISTED), 1)))
+    found = df.select(F.explode(F.concat(plain, listed)).alias("s")).select(F.col("s").cast("bigint").alias("seed"))
+    # Only a text that mentions the map is parsed.
+    maps = df.filter(F.col(text).contains('"seeds"')).select(
+        F.try_parse_json(F.ltrim(F.col(text))).alias("_j")
+    ).filter(F.col("_j").isNotNull()).select(F.try_variant_get("_j", "$.seeds", "map<string,variant>").alias("_m"))
+    mapped = maps.select(F.explode(F.map_values("_m")).alias("_v")).filter(
+        F.schema_of_variant("_v") == "BIGINT"
+    ).select(F.try_variant_get("_v", "$", "bigint").alias("seed"))
+    return found.unionByName(mapped).distinct()
 
 
 BITS = 64
