@@ -618,7 +618,55 @@ def contexts(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@query("PL9_two_task_contexts")
+def _later_window_sql(name: str, last: int, steps: int, horizon: int) -> str:
+    """Bars from one hour after the decision to `last` hours after it."""
+    return f"""{name}w AS (
+      SELECT decision_id, open, high, low, close, ln(close / lag(close) OVER (
+        PARTITION BY decision_id ORDER BY open_time)) AS r
+      FROM dec JOIN bars b ON b.symbol = dec.symbol
+        AND b.open_time BETWEEN d + INTERVAL 1 HOUR AND d + INTERVAL {last} HOUR),
+    {name} AS (
+      SELECT decision_id, coalesce(stddev_samp(r) * sqrt({horizon}.0e0) * 10000.0e0, 0) AS volatility,
+        count(*) = {steps} AND min(least(open, high, low, close)) > 0 AS complete
+      FROM {name}w GROUP BY 1)"""
+
+
+def _depth_at_sql(name: str, hours: int) -> str:
+    """Both sides of the last depth not older than six hours, `hours` after the decision."""
+    return f"""{name} AS (
+      SELECT decision_id, total FROM (
+        SELECT decision_id, q.bid_depth_1pct + q.ask_depth_1pct AS total, q.timestamp AS qt,
+          d + INTERVAL {hours} HOUR AS probe,
+          row_number() OVER (PARTITION BY decision_id ORDER BY q.timestamp DESC) AS rn
+        FROM dec JOIN depth q ON q.symbol = dec.symbol AND q.timestamp <= d + INTERVAL {hours} HOUR)
+      WHERE rn = 1 AND epoch(probe) - epoch(qt) <= 21600)"""
+
+
+CONTEXT_SQL = f"""{BOOK_SQL}, {_later_window_sql("direct", 3, 3, 2)}, {_later_window_sql("risk", 5, 5, 4)},
+{_depth_at_sql("soon", 1)}, {_depth_at_sql("late", 5)},
+cx0 AS (
+  SELECT bk.* EXCLUDE (reason), 'dates-' || strftime(d, '%Y-%m-%d') AS cluster, risk.volatility AS risk_volatility_bps,
+    greatest(0.0e0, least(1.0e0, 1.0e0 - late.total / nullif(soon.total, 0))) AS depth_deterioration,
+    coalesce(reason, CASE WHEN NOT (coalesce(direct.complete, FALSE) AND coalesce(risk.complete, FALSE))
+        THEN 'missing_required_outcome_kline'
+      WHEN soon.total IS NULL OR late.total IS NULL THEN 'missing_or_stale_depth' END) AS reason
+  FROM bk LEFT JOIN direct USING (decision_id) LEFT JOIN risk USING (decision_id)
+    LEFT JOIN soon USING (decision_id) LEFT JOIN late USING (decision_id)),
+cx AS (
+  SELECT *, 'directional_execution' AS task_id, 'edge_proposer' AS assigned_source_role FROM cx0
+  UNION ALL
+  SELECT *, 'risk_limit_increase', CASE WHEN CAST('0x' || right(sha256(cluster), 1) AS BIGINT) % 2 = 0
+    THEN 'risk_limit_proposer' ELSE 'risk_critic' END FROM cx0)"""
+
+
+@query(
+    "PL9_two_task_contexts",
+    f"""WITH {CONTEXT_SQL}
+    SELECT task_id, assigned_source_role, coalesce(reason, 'kept') AS reason, count(*) AS rows,
+      count(DISTINCT cluster) AS clusters, avg(risk_volatility_bps) AS risk_volatility_bps,
+      avg(depth_deterioration) AS depth_deterioration FROM cx GROUP BY 1, 2, 3""",
+    ("risk_volatility_bps", "depth_deterioration"),
+)
 def two_task_context_rows(spark, directory):
     return contexts(spark, directory).groupBy(
         "task_id", "assigned_source_role", F.coalesce("reason", F.lit("kept")).alias("reason")
@@ -629,7 +677,18 @@ def two_task_context_rows(spark, directory):
     )
 
 
-@query("PL9_context_sides")
+@query(
+    "PL9_context_sides",
+    f"""WITH {CONTEXT_SQL}, kept AS (SELECT * FROM cx WHERE reason IS NULL),
+    place AS (
+      SELECT cluster, row_number() OVER (ORDER BY min(d), cluster) AS place FROM kept GROUP BY 1)
+    SELECT CASE WHEN place <= 5 THEN 'development' ELSE 'paper_test' END AS split, task_id,
+      assigned_source_role, count(*) AS rows, count(DISTINCT cluster) AS clusters,
+      avg(m30) AS momentum_30_bps, avg(risk_volatility_bps) AS risk_volatility_bps,
+      avg(depth_deterioration) AS depth_deterioration
+    FROM kept JOIN place USING (cluster) WHERE place <= 15 GROUP BY 1, 2, 3""",
+    ("momentum_30_bps", "risk_volatility_bps", "depth_deterioration"),
+)
 def context_sides(spark, directory):
     """Kept contexts in two published sides: all prices and depths after the decision are
     sealed, what an agent is shown is not."""
