@@ -575,7 +575,71 @@ def sessions(spark: SparkSession, directory: str) -> DataFrame:
     return datasets.session_decisions(hours, SESSION)
 
 
-@query("PL8_session_decisions")
+def _quote_at_sql(name: str, source: str, probe: str, forward: bool = False, strict: bool = False) -> str:
+    """The quote next to `probe` in one direction, not further away than an hour."""
+    compare = (">" if forward else "<") + ("" if strict else "=")
+    return f"""{name} AS (
+      SELECT * EXCLUDE (rn, gap) FROM (
+        SELECT decision_id, q.*, abs(epoch_us(q.ts) - epoch_us({probe})) AS gap,
+          row_number() OVER (PARTITION BY decision_id ORDER BY q.ts {"" if forward else "DESC"}) AS rn
+        FROM {source} p JOIN hq q ON q.symbol = p.symbol AND q.ts {compare} {probe})
+      WHERE rn = 1 AND gap <= 3600000000)"""
+
+
+SESSION_SQL = f"""{QUOTES_SQL},
+hq AS (
+  SELECT symbol, ts, CAST(loc AS DATE) AS local_date, bid, ask, bs, asz, (bid + ask) / 2.0e0 AS mid
+  FROM quotes WHERE strftime(loc, '%H:%M:%S') BETWEEN '07:00:00' AND '16:00:00'),
+sp AS (
+  SELECT symbol, local_date, symbol || '-' || local_date || '-' || t AS decision_id,
+    (CAST(local_date || ' ' || t || ':00' AS TIMESTAMP) AT TIME ZONE 'America/Chicago') AT TIME ZONE 'UTC' AS d
+  FROM (SELECT DISTINCT symbol, local_date FROM hq), (SELECT unnest(['10:00', '13:00']) AS t)),
+{_quote_at_sql("now_", "sp", "d", strict=True)}, {_quote_at_sql("start_", "sp", "d - INTERVAL 2 HOUR")},
+{_quote_at_sql("short_", "sp", "d - INTERVAL 1 HOUR")},
+{_quote_at_sql("entry_", "sp", "d + INTERVAL 1 SECOND", forward=True)},
+se AS (SELECT decision_id, symbol, ts + INTERVAL 1 HOUR AS leave FROM entry_),
+{_quote_at_sql("exit_", "se", "leave", forward=True)},
+sb AS (
+  SELECT decision_id, epoch_us(q.ts) // 600000000 AS b, last(mid ORDER BY q.ts) AS v
+  FROM sp JOIN hq q ON q.symbol = sp.symbol AND q.ts BETWEEN d - INTERVAL 2 HOUR AND d GROUP BY 1, 2),
+sg0 AS (SELECT decision_id, unnest(range(min(b), max(b) + 1)) AS b FROM sb GROUP BY 1),
+sj AS (SELECT decision_id, b, coalesce(v, lag(v) OVER (PARTITION BY decision_id ORDER BY b)) AS v
+  FROM sg0 LEFT JOIN sb USING (decision_id, b)),
+sr AS (SELECT decision_id, ln(v / lag(v) OVER (PARTITION BY decision_id ORDER BY b)) AS r
+  FROM sj WHERE v IS NOT NULL),
+sv AS (SELECT decision_id, CASE WHEN count(*) >= 3 THEN stddev_samp(r) * sqrt(30.0e0) * 10000.0e0 END
+  AS volatility_bps FROM sr GROUP BY 1),
+sd AS (
+  SELECT sp.*, volatility_bps, n.mid AS now_mid, e.bid AS entry_bid, e.ask AS entry_ask, x.bid AS exit_bid,
+    x.ask AS exit_ask,
+    CASE WHEN n.mid IS NULL OR s.mid IS NULL OR h.mid IS NULL OR e.mid IS NULL OR x.mid IS NULL
+        THEN 'missing_or_stale_required_quote'
+      WHEN e.local_date <> sp.local_date OR x.local_date <> sp.local_date
+        THEN 'action_or_exit_crosses_session_boundary'
+      WHEN least(n.mid, s.mid, h.mid) <= 0 THEN 'nonpositive_mid'
+      WHEN volatility_bps IS NULL THEN 'insufficient_feature_window' END AS reason,
+    (n.mid / s.mid - 1.0e0) * 10000.0e0 AS m30, (n.mid / h.mid - 1.0e0) * 10000.0e0 AS m5,
+    (n.bs - n.asz) * 1.0e0 / (n.bs + n.asz) AS imb, (n.ask - n.bid) / n.mid * 10000.0e0 AS spread_bps,
+    greatest(0.0e0, least(1.0e0, 1.0e0 - least(n.bs, n.asz) / 10.0e0)) AS thin
+  FROM sp LEFT JOIN now_ n USING (decision_id) LEFT JOIN start_ s USING (decision_id)
+    LEFT JOIN short_ h USING (decision_id) LEFT JOIN entry_ e USING (decision_id)
+    LEFT JOIN exit_ x USING (decision_id) LEFT JOIN sv USING (decision_id))"""
+SESSION_ROWS_SQL = f"""{SESSION_SQL},
+sk AS (
+  SELECT *, CASE WHEN m30 > 0 THEN 1 WHEN m30 < 0 THEN -1 ELSE 1 END AS sg FROM sd
+  WHERE local_date NOT IN (SELECT local_date FROM sd WHERE reason IS NOT NULL)),
+sa AS ({" UNION ALL ".join(f"SELECT *, '{n}' AS prior_family, {a} AS act FROM sk" for n, (a, *_) in _PRIOR_SQL.items())}),
+sx AS (
+  SELECT *, CASE WHEN act > 0 THEN (exit_bid / entry_ask - 1.0e0) * 10000.0e0
+      ELSE (entry_bid / exit_ask - 1.0e0) * 10000.0e0 END - 1.0e0 AS full_utility FROM sa)"""
+
+
+@query(
+    "PL8_session_decisions",
+    f"""WITH {SESSION_SQL} SELECT decision_id, reason, m30 AS momentum_30_bps, m5 AS momentum_5_bps,
+      volatility_bps, spread_bps, thin AS thinness FROM sd""",
+    ("momentum_30_bps", "momentum_5_bps", "volatility_bps", "spread_bps", "thinness"),
+)
 def session_decision_rows(spark, directory):
     return sessions(spark, directory).select(
         "decision_id", "reason", "momentum_30_bps", "momentum_5_bps", "volatility_bps",
@@ -583,7 +647,12 @@ def session_decision_rows(spark, directory):
     )
 
 
-@query("PL8_session_dataset")
+@query(
+    "PL8_session_dataset",
+    f"""WITH {SESSION_ROWS_SQL} SELECT symbol, prior_family, count(*) AS rows,
+      avg(full_utility) AS full_utility, count(*) FILTER (WHERE full_utility < 0) AS harms FROM sx GROUP BY 1, 2""",
+    ("full_utility",),
+)
 def session_dataset(spark, directory):
     """Labelled session prior rows, per symbol and prior family."""
     kept = X.keep_complete(materialize(sessions(spark, directory)), "local_date")
@@ -596,7 +665,15 @@ def session_dataset(spark, directory):
     )
 
 
-@query("PL8_session_sides")
+@query(
+    "PL8_session_sides",
+    f"""WITH {SESSION_ROWS_SQL}, place AS (
+      SELECT local_date, row_number() OVER (ORDER BY local_date) AS place FROM (SELECT DISTINCT local_date FROM sx))
+    SELECT CASE WHEN place <= 5 THEN 'development' ELSE 'paper_test' END AS split, symbol, prior_family,
+      count(*) AS rows, avg(full_utility) AS full_utility, count(*) FILTER (WHERE full_utility < 0) AS harms
+    FROM sx JOIN place USING (local_date) WHERE place <= 15 GROUP BY 1, 2, 3""",
+    ("full_utility",),
+)
 def session_sides(spark, directory):
     """The same rows in two published sides; entry and exit quotes come after the decision
     and are sealed.  Outcomes of the open splits."""
