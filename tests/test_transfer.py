@@ -5,7 +5,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from verdigate.operators import transfer
+from verdigate.operators import ranks, transfer
 
 RULES = ["a", "b", "c", "d"]
 
@@ -83,3 +83,27 @@ def test_tied_reference_is_undefined(spark):
 def test_no_rows(spark):
     with pytest.raises(ValueError, match="no event clusters"):
         transfer.transfer_scores(_frame(spark).limit(0), _controlled(spark, {"a": 1.0}), _parts(), ["model"], RULES, 5, 1)
+
+
+def test_confirmatory_gate(spark):
+    def gate(sources, checks=((True,),), access=(("VALID",),)):
+        return ranks.confirmatory_gate(
+            spark.createDataFrame(list(sources), "source STRING, test_clusters BIGINT, active_rules BIGINT, power_lcb95 DOUBLE"),
+            spark.createDataFrame(list(checks), "passed BOOLEAN"),
+            spark.createDataFrame(list(access), "status STRING"), per_source=10, combined=25,
+        ).first().asDict()
+
+    good = [("a", 12, 5, 0.9), ("b", 14, 4, 0.85)]
+    assert gate(good)["classification"] == "confirmatory_eligible"
+    assert gate(good, (), ())["classification"] == "confirmatory_eligible"
+    for sources, extra, failing in (
+        (good, {"checks": ((True,), (False,))}, {"point_in_time_checks"}),
+        (good, {"access": (("VALID",), ("INVALID",))}, {"feature_access"}),
+        ([("a", 9, 5, 0.9), ("b", 20, 4, 0.9)], {}, {"test_clusters_per_source"}),
+        ([("a", 12, 5, 0.9), ("b", 12, 4, 0.9)], {}, {"test_clusters_combined"}),
+        ([("a", 30, 3, 0.9)], {}, {"active_rule_configurations", "validation_power"}),
+        ([("a", 30, 5, None)], {}, {"validation_power"}),
+    ):
+        row = gate(sources, **extra)
+        assert {k for k, v in row.items() if v is False} == failing and row["classification"] == "exploratory_only"
+    assert sum(v is False for v in gate([]).values()) == 4

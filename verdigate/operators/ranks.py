@@ -408,3 +408,38 @@ def gate_conditions(
     return judged.withColumn(
         "classification", F.when(met, "confirmatory_eligible").otherwise("exploratory_only")
     )
+
+
+def confirmatory_gate(
+    sources: DataFrame, checks: DataFrame, access: DataFrame, per_source: int = 500, combined: int = 500,
+    minimum_rules: int = 4, minimum_power: float = 0.80,
+) -> DataFrame:
+    """The six conditions of a confirmatory design and the class they give: one row.
+
+    `sources` has source, test_clusters, active_rules, power_lcb95; the poorest source
+    decides but for the sum of clusters.  `checks` has passed, `access` has status; an
+    empty one holds no objection, no source at all meets nothing."""
+    key = F.lit(1).alias("_k")
+    design = sources.agg(
+        F.min("test_clusters").alias("fewest"), F.sum("test_clusters").alias("all"),
+        F.min("active_rules").alias("rules"), F.min("power_lcb95").alias("power"),
+    ).select("*", key)
+    passed = checks.agg(F.coalesce(F.every("passed"), F.lit(True)).alias("passed")).select("*", key)
+    legal = access.agg(F.coalesce(F.every(F.col("status") == "VALID"), F.lit(True)).alias("legal")).select("*", key)
+    conditions = {
+        "point_in_time_checks": F.col("passed"),
+        "test_clusters_per_source": F.col("fewest") >= per_source,
+        "test_clusters_combined": F.col("all") >= combined,
+        "active_rule_configurations": F.col("rules") >= minimum_rules,
+        "validation_power": (F.col("rules") >= minimum_rules) & (F.col("power") >= minimum_power),
+        "feature_access": F.col("legal"),
+    }
+    judged = design.join(passed, "_k").join(legal, "_k").select(
+        *[F.coalesce(met, F.lit(False)).alias(name) for name, met in conditions.items()]
+    )
+    every = F.lit(True)
+    for name in conditions:
+        every = every & F.col(name)
+    return judged.withColumn(
+        "classification", F.when(every, "confirmatory_eligible").otherwise("exploratory_only")
+    )

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from verdigate.operators import certify, labels, metrics, ranks, resample, rules, transfer
 from verdigate.operators.text import jensen_shannon_drift
 from verdigate.plans import sql_rules as S
-from verdigate.plans.coverage import WITH_D, core_decisions
+from verdigate.plans.coverage import WITH_D, core_decisions, feature_access_audit
 from verdigate.plans.inference import (
     CORE_NAMES, MEASURES, PAIR, PAIR_SQL, REPLICATES, SEED, SURFACE_SQL, burdens, core_bounds,
     COMPONENTS, draws_sql, pair_tests_sql,
 )
 from verdigate.plans.proxies import DECISION_SQL, TWO_TASK_SQL, decision_view
-from verdigate.plans.registry import query
+from verdigate.plans.registry import ORACLES, query
+from verdigate.plans.structure import point_in_time_audit
 from verdigate.plans.tasks import REGIME_SQL, task_decisions, task_frame, with_regime
 
 METRIC = "material_harm_authorization_rate"
@@ -558,6 +559,44 @@ def power_gate(spark, directory, power_lcb95: float = 0.160):
     return ranks.gate_conditions(joined.withColumn("power_lcb95", F.lit(power_lcb95)))
 
 
+@query(
+    "ST13_confirmatory_gate",
+    f"""WITH checks AS ({ORACLES["AU1_point_in_time_audit"]}),
+    access AS ({ORACLES["R25_feature_access_audit"]}),
+    active AS ({WITH_D} SELECT symbol AS source, count(*) AS n FROM (
+      SELECT symbol, rule, avg(CAST(authorized AS DOUBLE)) AS coverage FROM d
+      WHERE certification_eligible GROUP BY 1, 2) WHERE coverage >= 0.05e0
+        AND rule IN (SELECT rule FROM access WHERE status = 'VALID') GROUP BY 1),
+    clusters AS (WITH {DECISION_SQL} SELECT symbol AS source, count(DISTINCT event_cluster_id) AS c
+      FROM v WHERE split = 'test' GROUP BY 1)
+    SELECT *, CASE WHEN point_in_time_checks AND test_clusters_per_source AND test_clusters_combined
+        AND active_rule_configurations AND validation_power AND feature_access
+      THEN 'confirmatory_eligible' ELSE 'exploratory_only' END AS classification
+    FROM (SELECT (SELECT bool_and(passed) FROM checks) AS point_in_time_checks,
+      min(c) >= 500 AS test_clusters_per_source, sum(c) >= 500 AS test_clusters_combined,
+      min(coalesce(n, 0)) >= 4 AS active_rule_configurations, FALSE AS validation_power,
+      (SELECT bool_and(status = 'VALID') FROM access) AS feature_access
+      FROM clusters LEFT JOIN active USING (source))""",
+)
+def confirmatory_gate(spark, directory, power_lcb95: float = 0.160):
+    """All six conditions, each symbol a source, for a given bound of the power."""
+    access = feature_access_audit(spark, directory).select("rule", "status")
+    legal = access.filter(F.col("status") == "VALID").select("rule")
+    coverage = core_decisions(spark, directory).filter("certification_eligible").groupBy(
+        F.col("symbol").alias("source"), "rule"
+    ).agg(F.avg(F.col("authorized").cast("double")).alias("coverage"))
+    active = coverage.filter(F.col("coverage") >= 0.05).join(legal, "rule", "left_semi").groupBy("source").agg(
+        F.count("*").alias("active_rules")
+    )
+    sources = decision_view(spark, directory).filter(F.col("split") == "test").groupBy(
+        F.col("symbol").alias("source")
+    ).agg(F.countDistinct("event_cluster_id").alias("test_clusters")).join(active, "source", "left").select(
+        "source", "test_clusters", F.coalesce("active_rules", F.lit(0)).alias("active_rules"),
+        F.lit(power_lcb95).alias("power_lcb95"),
+    )
+    return ranks.confirmatory_gate(sources, point_in_time_audit(spark, directory), access)
+
+
 FAMILY_SQL = f"""{WITH_D}, m AS (
   SELECT symbol AS generator_family, rule, avg(CAST(authorized AS DOUBLE)) AS coverage,
     avg(CASE WHEN authorized THEN CAST(selected_harm AS DOUBLE) END) AS far,
