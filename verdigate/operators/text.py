@@ -219,6 +219,7 @@ def similar_bits(
     width = BITS // bands
     mask = (1 << width) - 1
     choices = list(combinations(range(bands), bands - allowed))
+    up_to = {sum(1 << i for i in c): (1 << (c[-1] + 1)) - 1 for c in choices}
 
     def band(hi: Column, lo: Column, i: int) -> Column:
         word, shift = (hi, i * width) if i * width < 32 else (lo, i * width - 32)
@@ -229,12 +230,12 @@ def similar_bits(
         keys = F.array(
             *[
                 F.struct(
-                    F.lit(c).alias("_c"),
+                    F.lit(sum(1 << i for i in chosen)).alias("_c"),
                     F.concat_ws(
                         "-", *[band(F.col("hi"), F.col("lo"), i).cast("string") for i in chosen]
                     ).alias("_k"),
                 )
-                for c, chosen in enumerate(choices)
+                for chosen in choices
             ]
         )
         return distinct.select(
@@ -245,17 +246,21 @@ def similar_bits(
     met = keyed(left, "left").join(keyed(right, "right"), ["_c", "_k"])
     dh = F.col("left_hi").bitwiseXOR(F.col("right_hi"))
     dl = F.col("left_lo").bitwiseXOR(F.col("right_lo"))
-    first = F.lit(-1)
-    for c in range(len(choices) - 1, -1, -1):
-        clean = F.lit(True)
-        for i in choices[c]:
-            clean = clean & (band(F.col("_dh"), F.col("_dl"), i) == 0)
-        first = F.when(clean, F.lit(c)).otherwise(first)
+    # Choices are sets of bands, so the first one holds the lowest untouched bands: none
+    # below its highest band is left out.
+    untouched = F.lit(0)
+    for i in range(bands):
+        same = band(F.col("_dh"), F.col("_dl"), i) == 0
+        untouched = untouched + F.when(same, F.lit(1 << i)).otherwise(F.lit(0))
+    below = F.create_map(*[F.lit(v) for pair in up_to.items() for v in pair])[F.col("_c")]
+    first = F.col("_m").bitwiseAND(below) == F.col("_c")
     distance = F.bit_count(F.col("_dh")) + F.bit_count(F.col("_dl"))
     return (
         met.withColumns({"_dh": dh, "_dl": dl})
         .withColumn("_d", distance)
-        .filter((F.col("_d") <= allowed) & (F.col("_c") == first))
+        .filter(F.col("_d") <= allowed)
+        .withColumn("_m", untouched)
+        .filter(first)
         .select(
             "left_hi", "left_lo", "right_hi", "right_lo", "left_texts", "right_texts",
             (1.0 - F.col("_d") / F.lit(float(BITS))).alias("similarity"),
