@@ -406,6 +406,37 @@ def test_moving_block_keeps_n(spark):
         assert len(out) == 25 and (out["x"] == 10.0).all()
 
 
+def test_draws_are_counted_before_they_are_shuffled(spark):
+    """What a task hands on does not grow with replicates times clusters."""
+    df = spark.range(20000).select(F.col("id").alias("c"), F.lit(1.0).alias("x"))
+    items = resample._items(df, ["g"], 40).collect()
+    assert [(r["_first"], r["_last"]) for r in sorted(items, key=lambda r: r["_first"])] == [(0, 25), (25, 40)]
+    out = resample.resampled_sums(df, "c", ["x"], 40, 3)
+    assert "generate" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("explode(sequence", "")        or "_slot" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["x"] for r in out.collect()} == {20000.0}
+
+
+def test_moving_blocks_over_several_ranges(spark):
+    """Every block is added up as a plain loop does, around the end and over range ends."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 50, 47).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"c": np.arange(47), "x": x}))
+    old, resample.WIDE, chunk, resample.CHUNK = resample.WIDE, 5, resample.CHUNK, 4
+    try:
+        got = resample.resampled_sums(df, "c", ["x"], 20, 9, block_length=7).toPandas().set_index("replicate")["x"]
+    finally:
+        resample.WIDE, resample.CHUNK = old, chunk
+    for r, own in enumerate(resample.replicate_hashes(np.arange(20), 9)):
+        starts = resample._starts(47, own, resample._slot_hashes(0, 7), 0)
+        taken = [(s + o) % 47 for i, s in enumerate(starts) for o in range(7) if i * 7 + o < 47]
+        assert got[r] == x[taken].sum()
+
+
+def test_steps_of_a_byte(spark):
+    for starts in ([0], [255, 255, 510], [3, 3, 4, 70000], [254, 1000]):
+        assert resample._decoded(resample._coded(np.array(starts))).tolist() == starts
+
+
 def test_pareto_by_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(f"r{i}", *map(float, rng.integers(0, 4, 4))) for i in range(25)] + [("na", 9.0, None, 0.0, 0.0)]
