@@ -41,7 +41,8 @@ def exact_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, similarity 0.8 or more) the smallest
-    doc_id stays (operator 9)."""
+    doc_id stays.  Candidates are what the fingerprints of operator 9 link, and lists of
+    smallest shingles for the pairs these miss; the texts decide."""
     return similar.one_of_each_group(docs, _begin(spark))
 
 

@@ -155,8 +155,19 @@ def forests(lists: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     return dealt.join(texts, "node").groupBy("name", "i", "j").applyInPandas(run, "a string, b string")
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Written pairs (node, fp) -> candidate pairs of nodes (a > b) that operator 9 links:
+    equal fingerprints, and those at two or fewer differing bits."""
+    heads = prints.groupBy("fp").agg(F.min("node").alias("head"))
+    same = prints.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    of = [heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")) for side in ("a", "b")]
+    near = simhash.near_links(heads.select("fp")).join(of[0], "a").join(of[1], "b").select("head_a", "head_b")
+    both = same.unionByName(near.toDF("a", "b"))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def groups(rows: DataFrame, text: str, scratch: Scratch, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Written rows (_row, node, lists, and the text at `text`) -> node, root of each node
+    """Written rows (_row, node, lists, fp, and the text at `text`) -> node, root of each node
     that has near copies."""
     nodes = scratch.table(rows.groupBy("node").agg(F.min("_row").alias("_row"), F.first("lists").alias("lists")))
     posted = nodes.select("node", F.explode("lists").alias("name"))
@@ -165,9 +176,11 @@ def groups(rows: DataFrame, text: str, scratch: Scratch, shingle: int = SHINGLE,
         posted.withColumn("members", F.count("*").over(of_list)).withColumn("low", F.min("node").over(of_list))
         .where("members > 1")
     )
-    some = met.select("node").distinct().join(nodes.select("node", "_row"), "node")
+    hashed = scratch.table(fingerprint_links(scratch.table(rows.select("node", "fp").distinct())))
+    some = met.select("node").unionByName(hashed.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes.select("node", "_row"), "node")
     texts = some.join(rows.select("_row", F.col(text).alias("text")), "_row").select("node", "text")
-    stars = scratch.table(met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    of_lists = met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    stars = scratch.table(of_lists.unionByName(hashed).distinct())
     links = scratch.table(verified(stars, texts, shingle, least))
     roots = components(links)
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -194,7 +207,7 @@ def one_of_each_group(
         F.monotonically_increasing_id().alias("_row"), docs["doc_id"].alias("doc_id"),
         packed.alias("_doc"), docs["text"].alias("text"),
     )
-    rows = scratch.table(with_names(marked, shingle))
+    rows = scratch.table(with_names(simhash.with_fingerprint(marked), shingle))
     found = groups(rows, f"_doc.c{docs.columns.index('text')}", scratch, shingle, least)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     kept = (
