@@ -436,6 +436,39 @@ def test_steps_of_a_byte(spark):
         assert resample._decoded(resample._coded(np.array(starts))).tolist() == starts
 
 
+def test_only_wanted_ngrams_are_counted(spark):
+    left = spark.createDataFrame([("a b c d a b",), ("x y a b",), (None,)], "text STRING")
+    right = spark.createDataFrame([("a b q",), ("b c",)], "text STRING")
+    bench = TX.ngram_counts(right, "text", (2, 3))
+    found = {(r.n, r.ngram): r.occurrences for r in TX.ngram_counts(left, "text", (2, 3), bench).collect()}
+    assert found == {(2, "a b"): 3, (2, "b c"): 1}
+    rows = {r.n: r for r in TX.ngram_overlap(TX.ngram_rows(left, "text", (2, 3)), TX.ngram_rows(right, "text", (2, 3))).collect()}
+    assert (rows[2].left_unique, rows[2].right_unique, rows[2].shared_unique) == (6, 3, 2)
+    assert (rows[3].left_unique, rows[3].right_unique, rows[3].shared_unique) == (6, 1, 0)
+    plan = TX.ngram_overlap(TX.ngram_rows(left, "text", (2,)), TX.ngram_rows(right, "text", (2,)))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_a_fit_reads_its_training_rows_once(spark):
+    from verdigate.operators import learn
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(400).select(
+        (F.col("id") % 7 / 7.0).alias("a"), F.concat(F.lit("k"), F.col("id") % 3).alias("b"),
+        (F.col("id") % 2).cast("int").alias("training_label"),
+    )
+    features = learn.Features(("a",), ("b",))
+    model = learn.fit(rows.mapInPandas(seen, rows.schema), features)
+    assert read.value == 400
+    assert learn.score(model, rows, features).filter("score between 0 and 1").count() == 400
+
+
 def test_pareto_by_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(f"r{i}", *map(float, rng.integers(0, 4, 4))) for i in range(25)] + [("na", 9.0, None, 0.0, 0.0)]
