@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigate.operators.distributed import grouped_quantiles
+from verdigate.operators.distributed import grouped_quantiles, materialize
 from verdigate.operators.labels import coerce_features
 from verdigate.operators.metrics import cluster_rate_bounds
 
@@ -51,9 +51,16 @@ def fit(
     train: DataFrame, features: Features, learner: str = "logistic", c: float = 1.0, seed: int = 7,
     label: str = LABEL, iterations: int = 50,
 ) -> PipelineModel:
-    """Preprocessing and classifier as one fitted pipeline."""
-    weighted, n = balanced(coerce_features(train, features.numeric, features.categorical), label)
-    weighted = weighted.select(*features.all, F.col(label).cast("double").alias(label), "class_weight")
+    """Preprocessing and classifier as one fitted pipeline.
+
+    The features are written once: every stage of the pipeline reads them, and the plan
+    of `train` is neither run again nor carried by the fitted model.
+    """
+    ready = materialize(
+        coerce_features(train, features.numeric, features.categorical)
+        .select(*features.all, F.col(label).cast("double").alias(label))
+    )
+    weighted, n = balanced(ready, label)
     indexed = [f"{f}_index" for f in features.categorical]
     hot = [f"{f}_hot" for f in features.categorical]
     stages = [
