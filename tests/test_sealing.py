@@ -4,6 +4,7 @@ import datetime as dt
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigate.operators import sealing
 from verdigate.operators.distributed import shared_folder
@@ -74,3 +75,13 @@ def test_row_without_cluster_and_wrong_columns(spark, path):
 
 def test_no_rows(spark, path):
     assert sealing.publish_sides(_rows(spark).limit(0), path, SEAL) == {"development": 0, "paper_test": 0, "hidden": 0}
+
+
+@pytest.mark.parametrize("name", ["PL7_order_book_sides", "PL9_context_sides", "PL11_order_book_evaluation"])
+def test_no_complete_day_gives_no_rows(spark, tmp_path, name):
+    """Without a day whose bars are all there, the data sets are empty and so are the results."""
+    import __spark_entry__ as entry
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("value", -F.abs("value")).write.parquet(str(tmp_path / "events.parquet"))
+    assert entry.queries()[name](spark, str(tmp_path)).collect() == []

@@ -288,6 +288,9 @@ def validation_to_test_stability(spark, directory):
     return ranks.spearman(wide, ["metric"], "x", "y")
 
 
+BOUNDS = ("coverage_lcb95", "far_ucb95", "alr_ucb95")
+
+
 def book_decisions(spark: SparkSession, directory: str) -> DataFrame:
     rows = labels.order_book_outcomes(prior_rows(spark, directory), with_impact=True)
     return materialize(labels.decision_outcomes(rules.decide(rows, rules.core_rules())).select(
@@ -323,8 +326,12 @@ def order_book_evaluation(spark, directory):
     """Profile metrics of the core rules on order-book rows with cluster bounds."""
     d = book_decisions(spark, directory)
     m = metrics.profile_metrics(d, labels.stress_profiles(), tail=False)
-    sums = metrics.cluster_sums(labels.explode_profiles(d, labels.stress_profiles()))
-    bounds = resample.cluster_bootstrap_bounds(sums, CORE_NAMES, REPLICATES, SEED)
+    if d.isEmpty():
+        # No day is complete: nothing is rated, and nothing can be drawn.
+        bounds = m.select("rule", "profile", *[F.lit(None).cast("double").alias(c) for c in BOUNDS])
+    else:
+        sums = metrics.cluster_sums(labels.explode_profiles(d, labels.stress_profiles()))
+        bounds = resample.cluster_bootstrap_bounds(sums, CORE_NAMES, REPLICATES, SEED)
     return m.join(bounds, ["rule", "profile"]).select(
         "rule", "profile", "rows", "coverage", "far", "alr", "cau", "coverage_lcb95", "far_ucb95",
         "alr_ucb95",

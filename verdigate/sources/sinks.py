@@ -73,6 +73,10 @@ def publish_partitions(
         if found["all"]:
             back = spark.read.schema(df.schema).parquet(staged)
             stored |= {r[column]: r["n"] for r in back.groupBy(column).agg(F.count("*").alias("n")).collect()}
+        else:
+            # Without rows there is no file to read the columns from; an empty one has them.
+            none = df.drop(column).limit(0)
+            none.write.mode("overwrite").parquet(f"{staged}/{column}={destinations[0]}")
         if stored != wanted:
             raise ValueError(f"stored rows {stored} differ from written rows {wanted}")
         if not files.rename(of(staged), of(path)):
