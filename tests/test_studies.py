@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from verdigate.operators import learn, models, perceptron, studies
+from verdigate.operators import learn, metrics, models, perceptron, studies
 
 
 def made(n, seed):
@@ -113,3 +113,72 @@ def test_keyed_fits_scores_and_choice(spark):
         assert cuts[i] == np.quantile(table.scores.str[i], 0.8, method="higher")
     named = studies.coefficients(fitted.filter("learner = 'logistic'"), ["seed", "c"])
     assert named.count() == 2 * 2 * 5
+
+
+def studied(spark):
+    """Models of three learners and rows in clusters, as pandas and as a table."""
+    frame = pd.concat([made(150, s).assign(seed=s, training_label=lambda f: f.label) for s in (1, 2)])
+    tried = [("logistic", 0.1), ("boosting", 0.0), ("perceptron", 0.0)]
+    features = learn.Features(("a", "b"), ("kind",))
+    fitted = studies.fit_all(spark.createDataFrame(frame), ["seed"], tried, features)
+    fitted = [r.asDict() for r in fitted.orderBy("seed", "learner", "c").collect()]
+    fitted += [{**m, "mask": "role"} for m in fitted[:3]] + [{**m, "mask": "cost"} for m in fitted[:3]]
+    rng = np.random.default_rng(3)
+    fresh = made(900, 9).assign(
+        a=lambda f: f.a.round(1), kind=lambda f: f.kind.where(f.index % 50 > 0, "new"),
+        evaluation_cluster_id=[f"c{i}" for i in rng.integers(0, 300, 900)], authorization_harm=rng.integers(0, 2, 900),
+        authority_laundering=rng.random(900) < 0.2, full_utility=rng.normal(size=900), odd=rng.random(900) < 0.5,
+    )
+    return features, fitted, {"role": ("kind",), "cost": ("a",)}, fresh, spark.createDataFrame(fresh).repartition(3)
+
+
+def test_stacked_models_score_like_single_ones_in_any_batch(spark):
+    features, fitted, masks, fresh, _ = studied(spark)
+    stack = studies._stack(fitted, features, masks)
+    whole = stack.scores(fresh)
+    for i, m in enumerate(fitted):
+        hidden = {"role": {"kind": "masked"}, "cost": {"a": 0.0}}.get(m.get("mask"), {})
+        assert np.allclose(whole[:, i], models.probability(json.loads(m["model"]), fresh.assign(**hidden)), atol=1e-12)
+    pieces = np.vstack([stack.scores(fresh.iloc[lo : lo + 7]) for lo in range(0, len(fresh), 7)])
+    assert (pieces == whole).all()
+
+
+def test_thresholds_and_rates_move_no_scores(spark):
+    features, fitted, masks, fresh, rows = studied(spark)
+    scores = studies._stack(fitted, features, masks).scores(fresh)
+    targets = (0.05, 0.2, 0.5)
+    for cells, handed_on in ((4, 1), (1024, 10), (1024, 10_000)):
+        cuts = studies.exact_thresholds(rows, fitted, features, targets, masks, cells, handed_on)
+        for i, cut in enumerate(cuts):
+            assert cut == {t: np.quantile(scores[:, i], 1 - t, method="higher") for t in targets}
+    rulings = [(i, cut[t]) for i, cut in enumerate(cuts) for t in targets] + [(0, 2.0)]
+    frames = {"all": F.lit(True), "odd": F.col("odd")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        found = {(r.ruling, r.frame): r for r in studies.cluster_rates(rows, fitted, rulings, features, frames, masks).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    long = pd.concat([
+        fresh.assign(ruling=k, authorized=scores[:, m] >= cut, frame=name)[keep]
+        for k, (m, cut) in enumerate(rulings) for name, keep in (("all", np.ones(900, bool)), ("odd", fresh.odd))
+    ])
+    plain = spark.createDataFrame(long.drop(columns=["a", "b", "kind", "label"]))
+    expected = metrics.cluster_rate_bounds(plain, ["ruling", "frame"]).collect()
+    assert len(found) == len(expected) == 2 * len(rulings)
+    for e in expected:
+        row = found[e.ruling, e.frame].asDict()
+        for name, value in e.asDict().items():
+            assert row[name] == value if value is None or isinstance(value, str) else math.isclose(row[name], value, abs_tol=1e-9)
+
+
+def test_draw_takes_a_larger_part_when_the_first_is_short(spark, monkeypatch):
+    rows = spark.range(3000).select(F.lit("p").alias("pool"), F.col("id").alias("cluster"), F.col("id").alias("row_id"), F.lit(1.0).alias("x"))
+    quotas = spark.createDataFrame([("p", 40)], "pool string, quota int")
+    drawn = studies.draw(rows, ["pool"], "cluster", "row_id", quotas, [1, 2])
+    number = studies.draw_number(F.lit("cluster"), F.lit("p"), F.lit(1), F.col("cluster"))
+    first = [r.cluster for r in rows.select("cluster", number.alias("n")).orderBy("n").limit(40).collect()]
+    assert [r.cluster for r in drawn.filter("seed = 1").orderBy("draw").collect()] == first
+    # A part of the range as if it held a thousandth: too few at first, the same in the end.
+    monkeypatch.setattr(studies, "NUMBERS", studies.NUMBERS / 1000)
+    short = studies.draw(rows, ["pool"], "cluster", "row_id", quotas, [1, 2])
+    assert sorted(short.collect()) == sorted(drawn.collect())

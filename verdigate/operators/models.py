@@ -173,3 +173,152 @@ def probability(model: dict, frame: pd.DataFrame) -> np.ndarray:
     else:
         margin = perceptron_margin(model["layers"], x)
     return 1.0 / (1.0 + np.exp(-margin))
+
+
+class Stack:
+    """Many models over the same columns: probabilities of a batch, a column per model.
+
+    Each number is made by the same additions whatever rows share its batch, so a score
+    may be computed again and compared with a threshold found earlier.  `hidden` names the
+    columns that a model sees as `blank` (columns of text or numbers).
+    """
+
+    def __init__(self, parsed: Sequence[tuple[dict, Sequence[str]]], numeric, categorical, blank_text="masked", blank_number=0.0):
+        self.numeric, self.categorical, self.width = list(numeric), list(categorical), len(parsed)
+        self.blank_text, self.blank_number = blank_text, blank_number
+        levels: dict[str, set] = {c: {blank_text} for c in self.categorical}
+        for model, _ in parsed:
+            for c, seen in zip(model["how"]["categorical"], model["how"]["levels"]):
+                levels[c].update(seen)
+        self.levels = {c: sorted(v) for c, v in levels.items()}
+        self.linear, self.boosted, self.deep = [], [], []
+        for i, (model, hidden) in enumerate(parsed):
+            kind = self.linear if "coefficients" in model else self.boosted if "trees" in model else self.deep
+            kind.append((i, model, set(hidden)))
+        self.lines = self._folded([(m["how"], np.array(m["coefficients"])[:, None], h) for _, m, h in self.linear])
+        self.firsts = self._folded([
+            (m["how"], np.vstack([np.array(m["layers"][0][0]), np.array(m["layers"][0][1])[None, :]]), h) for _, m, h in self.deep
+        ])
+        self.forests = [(i, model, hidden, self._masks(model, hidden)) for i, model, hidden in self.boosted]
+
+    def _folded(self, parts):
+        """Weights of numbers, a row of weights for each level (last: unseen) and constants."""
+        numbers, tables, constants = [], [], []
+        for how, weights, hidden in parts:
+            scale = np.array(how["scale"])[:, None]
+            slope = weights[: len(how["numeric"])] / scale
+            constant = weights[-1] - (slope * np.array(how["mean"])[:, None]).sum(axis=0)
+            by_name = {c: slope[j] for j, c in enumerate(how["numeric"])}
+            own, at = [], len(how["numeric"])
+            for c, seen in zip(how["categorical"], how["levels"]):
+                table = np.zeros((len(self.levels[c]) + 1, weights.shape[1]))
+                table[[self.levels[c].index(v) for v in seen]] = weights[at : at + len(seen)]
+                at += len(seen)
+                if c in hidden:
+                    constant = constant + table[self.levels[c].index(self.blank_text)]
+                    table = np.zeros_like(table)
+                own.append(table)
+            for c in hidden & set(by_name):
+                constant = constant + by_name[c] * self.blank_number
+                by_name[c] = np.zeros_like(by_name[c])
+            numbers.append(np.stack([by_name[c] for c in self.numeric]))
+            tables.append(own)
+            constants.append(constant)
+        if not parts:
+            return None
+        joined = [np.ascontiguousarray(np.hstack([t[k] for t in tables])) for k in range(len(self.categorical))]
+        return np.ascontiguousarray(np.hstack(numbers)), joined, np.concatenate(constants)
+
+    @staticmethod
+    def _lines(folded, numbers: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
+        slopes, tables, constants = folded
+        out = np.tile(constants, (len(numbers), 1))
+        for j, slope in enumerate(slopes):
+            out += numbers[:, j : j + 1] * slope
+        for table, code in zip(tables, codes):
+            out += table[code]
+        return out
+
+    def _masks(self, model: dict, hidden: set):
+        """For every bin of a number and every level a byte per tree: the leaves still
+        possible; and the value of the first leaf left, for every byte."""
+        how, trees = model["how"], model["trees"]
+        width = len(how["numeric"])
+        numbers = np.full((width, BINS, len(trees)), 255, np.uint8)
+        spans, at = [], width
+        for seen in how["levels"]:
+            spans.append((at, at + len(seen)))
+            at += len(seen)
+        texts = [np.full((len(self.levels[c]) + 1, len(trees)), 255, np.uint8) for c in how["categorical"]]
+        values = np.zeros((len(trees), 256))
+        for t, nodes in enumerate(trees):
+            leaves: list[float] = []
+
+            def walk(k: int) -> int:
+                feature, cut, left, right, value = nodes[k]
+                if feature < 0:
+                    leaves.append(value)
+                    return 1 << (len(leaves) - 1)
+                below = walk(int(left))
+                above = walk(int(right))
+                keep = np.uint8(255 & ~below)
+                if feature < width:
+                    numbers[int(feature), int(cut) + 1 :, t] &= keep
+                else:
+                    c = next(n for n, (a, b) in enumerate(spans) if a <= feature < b)
+                    edges = model["edges"][int(feature)]
+                    name = how["levels"][c][int(feature) - spans[c][0]]
+                    for k2, level in enumerate([*self.levels[how["categorical"][c]], None]):
+                        if np.searchsorted(edges, 1.0 if level == name else 0.0) > cut:
+                            texts[c][k2, t] &= keep
+                return below | above
+
+            walk(0)
+            if len(leaves) > 8:
+                raise ValueError("a tree has more than eight leaves")
+            for mask in range(1, 256):
+                first = (mask & -mask).bit_length() - 1
+                values[t, mask] = leaves[first] if first < len(leaves) else 0.0
+        for c, name in enumerate(how["categorical"]):
+            if name in hidden:
+                texts[c][:] = texts[c][self.levels[name].index(self.blank_text)]
+        return numbers, texts, values.ravel(), np.arange(len(trees)) * 256
+
+    def _forest(self, model, hidden, masks, numbers, codes) -> np.ndarray:
+        how = model["how"]
+        by_bin, by_level, values, offset = masks
+        left = None
+        for j, c in enumerate(how["numeric"]):
+            x = np.full(len(numbers), self.blank_number) if c in hidden else numbers[:, j]
+            bins = np.searchsorted(model["edges"][j], (x - how["mean"][j]) / how["scale"][j])
+            part = by_bin[j][bins]
+            left = part if left is None else np.bitwise_and(left, part, out=left)
+        for table, code in zip(by_level, codes):
+            left = table[code] if left is None else np.bitwise_and(left, table[code], out=left)
+        return model["start"] + values[left + offset].sum(axis=1)
+
+    def scores(self, frame: pd.DataFrame) -> np.ndarray:
+        numbers = frame[self.numeric].to_numpy(float)
+        codes = []
+        for c in self.categorical:
+            code = pd.Categorical(frame[c], categories=self.levels[c]).codes.astype(np.intp)
+            codes.append(np.where(code < 0, len(self.levels[c]), code))
+        margin = np.empty((len(numbers), self.width))
+        for lo in range(0, len(numbers), 2048):
+            part = slice(lo, lo + 2048)
+            x, code = numbers[part], [c[part] for c in codes]
+            if self.linear:
+                margin[part, [i for i, _, _ in self.linear]] = self._lines(self.lines, x, code)
+            if self.deep:
+                first, at = self._lines(self.firsts, x, code), 0
+                for i, model, _ in self.deep:
+                    size = len(model["layers"][0][1])
+                    out = first[:, at : at + size].copy()
+                    at += size
+                    for w, b in model["layers"][1:]:
+                        out = (np.tanh(out)[:, :, None] * np.array(w)[None]).sum(axis=1) + np.array(b)
+                    margin[part, i] = out[:, 0]
+            for i, model, hidden, masks in self.forests:
+                margin[part, i] = self._forest(model, hidden, masks, x, code)
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-margin))

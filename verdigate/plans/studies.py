@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigate.operators import labels, learn, metrics, ranks, studies
@@ -199,12 +199,25 @@ def validation_rows(spark: SparkSession, directory: str) -> DataFrame:
     })
 
 
-KEPT = ("evaluation_cluster_id", "source_layer", "authorization_harm", "authority_laundering", "full_utility")
+#: Evaluation frames of `validation_rows`.
+FRAMES = (
+    "unseen", "unseen_controlled", "unseen_provenance", "controlled_severe_stress", "controlled_no_opportunity",
+    "provenance_paraphrase", "provenance_multi_hop", "public_validation",
+)
+
+
+def _info(spark: SparkSession, rulings: list, names: Sequence[str], schema: str) -> DataFrame:
+    """Place in the list and key columns of the few rulings of a study."""
+    return spark.createDataFrame([(i, *[m[n] for n in names]) for i, m in enumerate(rulings)], f"ruling int, {schema}")
+
 
+def _frames() -> dict[str, Column]:
+    return {f: F.array_contains("evaluations", f) for f in FRAMES}
 
-def _info(spark: SparkSession, fitted: list, names: Sequence[str], schema: str) -> DataFrame:
-    """Place in the list and key columns of the few models of a study."""
-    return spark.createDataFrame([(i, *[m[n] for n in names]) for i, m in enumerate(fitted)], f"model int, {schema}")
+
+RATES = (
+    "rows", "clusters", "authorized_count", "coverage", "coverage_lcb95", "far", "far_ucb95", "alr", "alr_ucb95", "cau",
+)
 
 
 def utility_models(
@@ -221,12 +234,13 @@ def utility_models(
     mask = F.when(F.col("variant") == NEUTRAL, "role")
     fitted = [r.asDict() for r in fitted.withColumn("mask", mask).orderBy("variant", "seed", "c").collect()]
     validation = materialize(validation_rows(spark, directory))
-    scored = studies.score_all(validation.filter("seen"), fitted, FEATURES, KEPT, labels.FEATURE_GROUPS)
-    long = studies.by_model(scored)
-    thresholds = materialize(studies.coverage_thresholds(long, [target]))
-    rates = metrics.cluster_rate_metrics(studies.authorized(long, thresholds), ["model", "threshold"])
-    info = _info(spark, fitted, ("variant", "seed", "c"), "variant string, seed int, c double")
-    best = studies.best_candidate(rates.join(info, "model"), ["variant", "seed"], target).collect()
+    seen = validation.filter("seen")
+    cuts = studies.exact_thresholds(seen, fitted, FEATURES, [target], labels.FEATURE_GROUPS)
+    rulings = [(i, found[target]) for i, found in enumerate(cuts) if target in found]
+    rates = studies.cluster_rates(seen, fitted, rulings, FEATURES, {"seen": F.lit(True)}, labels.FEATURE_GROUPS)
+    table = [{**fitted[m], "model": m, "threshold": cut} for m, cut in rulings]
+    info = _info(spark, table, ("model", "threshold", "variant", "seed", "c"), "model int, threshold double, variant string, seed int, c double")
+    best = studies.best_candidate(rates.join(info, "ruling"), ["variant", "seed"], target).collect()
     return [{**fitted[b["model"]], "threshold": b["threshold"]} for b in sorted(best, key=lambda b: b["model"])], validation
 
 
@@ -242,15 +256,14 @@ def utility_results(spark: SparkSession, directory: str, ablations: bool = False
         tried += [
             {**m, "mask": g, "masked_group": g} for m in chosen if m["variant"] != NEUTRAL for g in ("role", "cost", "belief")
         ]
-    rows = validation.filter(F.size("evaluations") > 0)
-    scored = studies.score_all(rows, tried, FEATURES, (*KEPT, "evaluations"), labels.FEATURE_GROUPS)
-    names = ("threshold", "variant", "seed", "c", "masked_group")
-    info = _info(spark, tried, names, "threshold double, variant string, seed int, c double, masked_group string")
-    long = studies.authorized(studies.by_model(scored), info)
-    long = long.select("*", F.explode("evaluations").alias("evaluation")).filter(
-        "masked_group = 'none' or evaluation = 'unseen'"
+    rulings = [(i, m["threshold"]) for i, m in enumerate(tried)]
+    rates = studies.cluster_rates(validation, tried, rulings, FEATURES, _frames(), labels.FEATURE_GROUPS)
+    names = ("variant", "seed", "c", "masked_group", "threshold")
+    info = _info(spark, tried, names, "variant string, seed int, c double, masked_group string, threshold double")
+    return (
+        rates.withColumnRenamed("frame", "evaluation").join(info, "ruling")
+        .filter("masked_group = 'none' or evaluation = 'unseen'").select(*names, "evaluation", *RATES)
     )
-    return metrics.cluster_rate_bounds(long, [*names[1:], "threshold", "evaluation"])
 
 
 @query("PL14_training_utility")
@@ -335,23 +348,29 @@ def robustness_results(
     fitted = studies.fit_all(samples, keys, fit, FEATURES)
     fitted = [r.asDict() for r in fitted.orderBy(*keys, "learner").collect()]
     validation = materialize(validation_rows(spark, directory))
-    kept = (*KEPT, "seen", "evaluations")
-    long = studies.by_model(studies.score_all(validation, fitted, FEATURES, kept))
-    seen = long.filter("seen")
-    thresholds = materialize(studies.coverage_thresholds(seen, SELECTIVE_TARGETS))
-    info = _info(spark, fitted, (*keys, "learner"), "curriculum string, budget int, seed int, learner string")
-    fixed = thresholds.filter(F.col("target") == COVERAGE).join(info, "model")
-    parts = [fixed.select("model", *keys, "learner", "target", "threshold")]
+    seen = validation.filter("seen")
+    cuts = studies.exact_thresholds(seen, fitted, FEATURES, SELECTIVE_TARGETS)
+    ruled = [
+        {**m, "model": i, "target": COVERAGE, "threshold": cut[COVERAGE]}
+        for i, (m, cut) in enumerate(zip(fitted, cuts)) if m["learner"] in learners and cut
+    ]
     if "selective_logistic" in learners:
-        logistic = info.filter(F.col("learner") == "logistic")
-        tried = studies.authorized(seen, thresholds.join(logistic.select("model"), "model"))
-        per_layer = metrics.cluster_rate_bounds(tried, ["model", "target", "threshold", "source_layer"])
-        picked = studies.best_selective(per_layer, FLOOR).join(logistic, "model")
-        parts.append(picked.select("model", *keys, F.lit("selective_logistic").alias("learner"), "target", "threshold"))
-    cuts = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
-    ruled = studies.authorized(long, materialize(cuts.filter(F.col("learner").isin(*learners))))
-    shown = ruled.select("*", F.explode("evaluations").alias("evaluation"))
-    return metrics.cluster_rate_bounds(shown, [*keys, "learner", "target", "evaluation"])
+        tried = [
+            {"model": i, "target": t, "threshold": c}
+            for i, cut in enumerate(cuts) if fitted[i]["learner"] == "logistic" for t, c in cut.items()
+        ]
+        by_layer = {x: F.col("source_layer") == x for x in ("controlled", "provenance", "public")}
+        rates = studies.cluster_rates(seen, fitted, [(r["model"], r["threshold"]) for r in tried], FEATURES, by_layer)
+        info = _info(spark, tried, ("model", "target", "threshold"), "model int, target double, threshold double")
+        for row in studies.best_selective(rates.join(info, "ruling"), FLOOR).orderBy("model").collect():
+            ruled.append({
+                **fitted[row["model"]], "learner": "selective_logistic", "model": row["model"],
+                "target": row["target"], "threshold": row["threshold"],
+            })
+    rates = studies.cluster_rates(validation, fitted, [(r["model"], r["threshold"]) for r in ruled], FEATURES, _frames())
+    names = (*keys, "learner", "target")
+    info = _info(spark, ruled, names, "curriculum string, budget int, seed int, learner string, target double")
+    return rates.withColumnRenamed("frame", "evaluation").join(info, "ruling").select(*names, "evaluation", *RATES)
 
 
 @query("PL15_training_robustness")
