@@ -22,6 +22,10 @@ PAYLOAD_SCHEMA = f"proposals ARRAY<STRUCT<{RECORD_SCHEMA.replace(' STRING', ': S
 ACTION_MAP = {"long": 1, "short": -1, "increase_limit": 1, "abstain": 0}
 
 
+def _readable(payload: str) -> Column:
+    return F.get_json_object(F.col(payload), "$").isNotNull()
+
+
 def proposal_records(
     payloads: DataFrame, batch: str, payload: str, sequence: str | None = None
 ) -> DataFrame:
@@ -31,9 +35,8 @@ def proposal_records(
     """
     part = F.lit(0) if sequence is None else F.col(sequence)
     parsed = F.from_json(F.col(payload), PAYLOAD_SCHEMA)
-    readable = F.get_json_object(F.col(payload), "$").isNotNull()
     records = payloads.select(
-        batch, part.alias("_part"), readable.alias("readable"),
+        batch, part.alias("_part"), _readable(payload).alias("readable"),
         F.posexplode_outer(parsed["proposals"]).alias("_pos", "r"),
     )
     place = F.when(F.col("_pos").isNotNull(), F.struct("_part", "_pos"))
@@ -56,7 +59,8 @@ def validate_proposals(
     first = numbered.groupBy(batch, "context_id").agg(
         F.min_by(whole, "pos").alias("r"), (F.count("*") - 1).alias("duplicates")
     )
-    readable = records.groupBy(batch).agg(F.bool_or("readable").alias("readable"))
+    # From the payloads: over the records each payload would be parsed twice.
+    readable = payloads.groupBy(batch).agg(F.bool_or(_readable(payload)).alias("readable"))
     asked = contexts.select(batch, "context_id", F.col("task_id").alias("expected_task"))
     j = asked.join(first, [batch, "context_id"], "left").join(readable, batch, "left")
     r = F.col("r")
