@@ -50,3 +50,10 @@ def test_blocks_of_a_task_are_added_up_before_the_shuffle(spark, monkeypatch):
     # Two tasks and strata at most, not one part for each of 13 blocks.
     assert handed[0] <= 2 * 2 * 10
     assert len(rows) == 20 and (rows.one == 200).all() and rows.v.between(400, 800).all()
+
+
+def test_points_of_a_replay_are_made_once(spark):
+    from verdigate.plans import markets
+
+    files = markets.replay(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/table-" in f for f in files)

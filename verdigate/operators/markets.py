@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigate.functions.columns import is_true
-from verdigate.operators.distributed import grouped_quantiles
+from verdigate.operators.distributed import grouped_quantiles, materialize
 from verdigate.operators.labels import market_stress
 from verdigate.operators.structure import first_reason
 from verdigate.operators.timeseries import sliced_lag
@@ -173,6 +173,8 @@ def replay_rows(
         .groupBy("id", "t", "p", "decision_at")
         .agg(F.min("source").alias("source"))
     )
+    # The points and their differences are read by several aggregates each.
+    p = materialize(p)
     t, at = F.col("t"), F.col("decision_at")
     point = F.struct("t", "p", "source")
     totals = p.groupBy("id").agg(
@@ -186,6 +188,7 @@ def replay_rows(
     moved = sliced_lag(before, ["id"], "ts", ["p"], "p", "_prev", slice_seconds).withColumn(
         "_d", F.col("p") - F.col("_prev")
     ).filter(F.col("_d").isNotNull())
+    moved = materialize(moved.select("id", "_d"))
     spread = moved.groupBy("id").agg(F.coalesce(F.stddev_samp("_d"), F.lit(0.0)).alias("_std"))
     middle = grouped_quantiles(
         moved.withColumn("_a", F.abs("_d")), ["id"], "_a", {"m": 0.5}
