@@ -182,3 +182,43 @@ def test_draw_takes_a_larger_part_when_the_first_is_short(spark, monkeypatch):
     monkeypatch.setattr(studies, "NUMBERS", studies.NUMBERS / 1000)
     short = studies.draw(rows, ["pool"], "cluster", "row_id", quotas, [1, 2])
     assert sorted(short.collect()) == sorted(drawn.collect())
+
+
+def test_perceptrons_of_bounded_samples_need_no_job_a_step(spark):
+    """Each sample is trained in a task, with the steps of the distributed fit; one job for all
+    learners, where a job for each of up to 60 steps ran before."""
+    frame = pd.concat([made(n, n).assign(seed=n, training_label=lambda f: f.label) for n in (60, 120)])
+    features = learn.Features(("a", "b"), ("kind",))
+    tried = [("logistic", 1.0), ("boosting", 0.0), ("perceptron", 0.0)]
+    spark.sparkContext.setJobGroup("fits", "fits")
+    try:
+        fitted = studies.fit_all(spark.createDataFrame(frame), ["seed"], tried, features).collect()
+    finally:
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fits")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(fitted) == 6 and len(jobs) < 10
+    one = frame[frame.seed == 60].assign(_id=lambda f: f.row_id.astype(str)).sort_values("_id")
+    held = {r[0] for r in spark.createDataFrame(one[["_id", "seed"]]).filter("pmod(xxhash64(_id, seed), 10) = 0").select("_id").collect()}
+    how = models.encoder(one, ["a", "b"], ["kind"])
+    rows = pd.DataFrame({
+        "model": "60", "x": models.encode(how, one).tolist(), "y": one.label, "w": models.balanced_weights(one.label.to_numpy()),
+        "held": one._id.isin(held),
+    })
+    rows = spark.createDataFrame(rows, "model string, x array<double>, y double, w double, held boolean")
+    layers, steps = perceptron.fit(rows, {"60": models.encode(how, one).shape[1]})["60"]
+    found = next(r for r in fitted if r.seed == 60 and r.learner == "perceptron")
+    assert found.steps == steps
+    for (w, b), (w2, b2) in zip(layers, json.loads(found.model)["layers"]):
+        assert np.allclose(w, w2, atol=1e-6) and np.allclose(b, b2, atol=1e-6)
+
+
+def test_only_models_with_crowded_cells_are_scored_again(spark, monkeypatch):
+    features, fitted, masks, fresh, rows = studied(spark)
+    widths, counts = [], studies._cell_counts
+    monkeypatch.setattr(studies, "_cell_counts", lambda ready, stack, *rest: widths.append(stack.width) or counts(ready, stack, *rest))
+    scores = studies._stack(fitted, features, masks).scores(fresh)
+    # In cells of a quarter few models have as many rows.
+    cuts = studies.exact_thresholds(rows, fitted, features, (0.2,), masks, 4, 500)
+    for i, cut in enumerate(cuts):
+        assert cut == {0.2: np.quantile(scores[:, i], 0.8, method="higher")}
+    assert widths[0] == len(fitted) and all(w < len(fitted) for w in widths[1:])

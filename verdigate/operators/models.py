@@ -15,6 +15,8 @@ import pandas as pd
 
 # Fixed values of the boosted trees.
 RATE, LEAF_PENALTY, BINS, PATIENCE = 0.08, 0.05, 32, 10
+#: Rows that a stack scores at a time, so that what they need stays in the cache of a core.
+ROWS = 128
 
 
 def encoder(frame: pd.DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict:
@@ -175,6 +177,20 @@ def probability(model: dict, frame: pd.DataFrame) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-margin))
 
 
+def _first_beyond(edges: np.ndarray, mean: float, scale: float) -> np.ndarray:
+    """For each edge the smallest number x with (x - mean) / scale beyond it, as computed in
+    doubles: rounding keeps the order, so halving the range of doubles finds it exactly."""
+    # Doubles in order as whole numbers: bits of the negative ones count down from -1.
+    double = lambda n: np.where(n < 0, -1 - n | np.int64(-(1 << 63)), n).view(float)
+    most = int(np.array([np.inf]).view(np.int64)[0])
+    low, high = np.full(len(edges), -most - 2, np.int64), np.full(len(edges), most, np.int64)
+    for _ in range(64):
+        middle = (low >> 1) + (high >> 1) + (low & high & 1)
+        beyond = (double(middle) - mean) / scale > edges
+        low, high = np.where(beyond, low, middle), np.where(beyond, middle, high)
+    return double(high)
+
+
 class Stack:
     """Many models over the same columns: probabilities of a batch, a column per model.
 
@@ -200,6 +216,7 @@ class Stack:
             (m["how"], np.vstack([np.array(m["layers"][0][0]), np.array(m["layers"][0][1])[None, :]]), h) for _, m, h in self.deep
         ])
         self.forests = [(i, model, hidden, self._masks(model, hidden)) for i, model, hidden in self.boosted]
+        self.joined = self._joined() if self.forests else None
 
     def _folded(self, parts):
         """Weights of numbers, a row of weights for each level (last: unseen) and constants."""
@@ -233,8 +250,9 @@ class Stack:
     def _lines(folded, numbers: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
         slopes, tables, constants = folded
         out = np.tile(constants, (len(numbers), 1))
+        part = np.empty_like(out)
         for j, slope in enumerate(slopes):
-            out += numbers[:, j : j + 1] * slope
+            out += np.multiply(numbers[:, j : j + 1], slope, out=part)
         for table, code in zip(tables, codes):
             out += table[code]
         return out
@@ -284,18 +302,38 @@ class Stack:
                 texts[c][:] = texts[c][self.levels[name].index(self.blank_text)]
         return numbers, texts, values.ravel(), np.arange(len(trees)) * 256
 
-    def _forest(self, model, hidden, masks, numbers, codes) -> np.ndarray:
-        how = model["how"]
-        by_bin, by_level, values, offset = masks
+    def _joined(self):
+        """The masks of all trees side by side: for every number the places where a mask may
+        change and a row of masks after each, for every text a row of masks a level."""
+        numbers = []
+        for j, c in enumerate(self.numeric):
+            own = []
+            for _, model, hidden, (masks, _, _, _) in self.forests:
+                edges, at = model["edges"][j], masks[j]
+                mean, scale = model["how"]["mean"][j], model["how"]["scale"][j]
+                if c in hidden:
+                    own.append((np.empty(0), at[[np.searchsorted(edges, (self.blank_number - mean) / scale)]]))
+                else:
+                    own.append((_first_beyond(np.array(edges, float), mean, scale), at))
+            places = np.unique(np.concatenate([p for p, _ in own]))
+            # Numbers from places[i - 1] on, below places[i], share row i.
+            rows = [at[np.r_[0, np.searchsorted(p, places, side="right")]] for p, at in own]
+            numbers.append((places, np.ascontiguousarray(np.hstack(rows))))
+        texts = [
+            np.ascontiguousarray(np.hstack([f[3][1][k] for f in self.forests])) for k in range(len(self.categorical))
+        ]
+        return numbers, texts
+
+    def _leaves(self, numbers: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
+        """For every row and tree the leaves still possible, as a byte."""
+        by_number, by_level = self.joined
         left = None
-        for j, c in enumerate(how["numeric"]):
-            x = np.full(len(numbers), self.blank_number) if c in hidden else numbers[:, j]
-            bins = np.searchsorted(model["edges"][j], (x - how["mean"][j]) / how["scale"][j])
-            part = by_bin[j][bins]
+        for j, (places, masks) in enumerate(by_number):
+            part = masks[np.searchsorted(places, numbers[:, j], side="right")]
             left = part if left is None else np.bitwise_and(left, part, out=left)
         for table, code in zip(by_level, codes):
             left = table[code] if left is None else np.bitwise_and(left, table[code], out=left)
-        return model["start"] + values[left + offset].sum(axis=1)
+        return left
 
     def scores(self, frame: pd.DataFrame) -> np.ndarray:
         numbers = frame[self.numeric].to_numpy(float)
@@ -304,8 +342,8 @@ class Stack:
             code = pd.Categorical(frame[c], categories=self.levels[c]).codes.astype(np.intp)
             codes.append(np.where(code < 0, len(self.levels[c]), code))
         margin = np.empty((len(numbers), self.width))
-        for lo in range(0, len(numbers), 2048):
-            part = slice(lo, lo + 2048)
+        for lo in range(0, len(numbers), ROWS):
+            part = slice(lo, lo + ROWS)
             x, code = numbers[part], [c[part] for c in codes]
             if self.linear:
                 margin[part, [i for i, _, _ in self.linear]] = self._lines(self.lines, x, code)
@@ -318,7 +356,11 @@ class Stack:
                     for w, b in model["layers"][1:]:
                         out = (np.tanh(out)[:, :, None] * np.array(w)[None]).sum(axis=1) + np.array(b)
                     margin[part, i] = out[:, 0]
-            for i, model, hidden, masks in self.forests:
-                margin[part, i] = self._forest(model, hidden, masks, x, code)
+            if self.forests:
+                left, at = self._leaves(x, code), 0
+                for i, model, _, (_, _, values, offset) in self.forests:
+                    own = left[:, at : at + len(offset)] + offset
+                    at += len(offset)
+                    margin[part, i] = model["start"] + values[own].sum(axis=1)
         with np.errstate(over="ignore"):
             return 1.0 / (1.0 + np.exp(-margin))

@@ -52,7 +52,7 @@ def draw(
     """
     groups = list(groups)
     clusters = materialize(pool.select(*groups, cluster).distinct())
-    sizes = clusters.groupBy(*groups).agg(F.count("*").alias("n")).join(quotas, groups)
+    sizes = materialize(clusters.groupBy(*groups).agg(F.count("*").alias("n")).join(F.broadcast(quotas), groups))
     short = sizes.filter("n < quota").first()
     if short:
         raise ValueError(f"pool {[short[g] for g in groups]} has {short['n']} clusters; requested {short['quota']}")
@@ -62,7 +62,7 @@ def draw(
     while True:
         # The hash is even, so somewhat more than the quota lie below this part of its range.
         part = (F.col("quota") + 8 * F.sqrt("quota") + 16) * margin / F.col("n")
-        cuts = materialize(sizes.select(*groups, "quota", (part * NUMBERS).alias("_cut")))
+        cuts = sizes.select(*groups, "quota", (part * NUMBERS).alias("_cut"))
         below = materialize(
             clusters.join(cuts, groups).select(*groups, cluster, "quota", "_cut", F.inline(F.array(*wide))).filter("_order <= _cut")
         )
@@ -89,69 +89,45 @@ def fit_all(
     samples: DataFrame, keys: Sequence[str], candidates: Sequence[tuple[str, float]], features: Features,
     label: str = "training_label", row_id: str = "row_id",
 ) -> DataFrame:
-    """One row per model: keys, learner, c, model (JSON), steps (of the perceptron).
+    """One row per model: keys, learner, c, model (JSON), steps (of the perceptron).  A task
+    fits a model, whatever the learner.
 
     `samples` has one bounded group per value of `keys` (with `seed` among them);
     `candidates` are pairs of learner and C.  A sample with one class is an error.
     """
     keys = list(keys)
+    held = F.pmod(F.xxhash64("_id", "seed"), F.lit(10)) == 0
     ready = coerce_features(samples, features.numeric, features.categorical).select(
         *keys, F.col(label).cast("double").alias("_label"), F.col(row_id).cast("string").alias("_id"), *features.all
-    )
-    ready = materialize(ready)
-    spark = ready.sparkSession
+    ).withColumn("_held", held)
     tried = F.array(*[F.struct(F.lit(a).alias("learner"), F.lit(float(c)).alias("c")) for a, c in candidates])
-    within = [a for a, _ in candidates if a != "perceptron"]
     numeric, categorical = list(features.numeric), list(features.categorical)
-    key_fields = [ready.schema[k] for k in keys]
     schema = T.StructType([
-        *key_fields, T.StructField("learner", T.StringType()), T.StructField("c", T.DoubleType()),
+        *[ready.schema[k] for k in keys], T.StructField("learner", T.StringType()), T.StructField("c", T.DoubleType()),
         T.StructField("model", T.StringType()), T.StructField("steps", T.IntegerType()),
     ])
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_id")
-        first = group.iloc[0]
-        made = models.fit(
-            group, "_label", numeric, categorical, first["learner"], first["c"], int(first["seed"])
-        )
-        return group.iloc[:1][[*keys, "learner", "c"]].assign(model=made, steps=0)
-
-    parts = []
-    if within:
-        crossed = ready.select("*", F.inline(tried)).filter(F.col("learner") != "perceptron")
-        parts.append(materialize(crossed.groupBy(*keys, "learner", "c").applyInPandas(one, schema)))
-    if len(within) < len(candidates):
-        parts.append(spark.createDataFrame(_perceptrons(ready, keys, features), schema))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _perceptrons(ready: DataFrame, keys: list[str], features: Features) -> list[tuple]:
-    """Rows of `fit_all` for the perceptron of every sample, all trained together."""
-    name = F.to_json(F.struct(*keys))
-    numeric, categorical = list(features.numeric), list(features.categorical)
-    schema = "model string, how string, x array<double>, y double, w double, held boolean"
-
-    def encoded(group: pd.DataFrame) -> pd.DataFrame:
-        how = models.encoder(group, numeric, categorical)
-        y = group["_label"].to_numpy(float)
-        return pd.DataFrame({
-            "model": group["_name"], "how": json.dumps(how), "x": list(models.encode(how, group)), "y": y,
-            "w": models.balanced_weights(y), "held": group["_held"],
-        })
-
-    held = F.pmod(F.xxhash64("_id", "seed"), F.lit(10)) == 0
-    rows = ready.withColumns({"_name": name, "_held": held}).groupBy("_name").applyInPandas(encoded, schema)
-    rows = materialize(rows)
-    about = rows.groupBy("model").agg(F.first("how").alias("how"), F.first(F.size("x")).alias("width")).collect()
-    trained = perceptron.fit(rows.drop("how"), {r["model"]: r["width"] for r in about})
-    made = []
-    for r in about:
-        layers, steps = trained[r["model"]]
-        key = json.loads(r["model"])
-        model = {"how": json.loads(r["how"]), "layers": [(w.tolist(), b.tolist()) for w, b in layers]}
-        made.append((*[key[k] for k in keys], "perceptron", 0.0, json.dumps(model), steps))
-    return made
+        first, steps = group.iloc[0], 0
+        if first["learner"] == "perceptron":
+            how = models.encoder(group, numeric, categorical)
+            y = group["_label"].to_numpy(float)
+            layers, steps = perceptron.fit_sample(
+                models.encode(how, group), y, models.balanced_weights(y), group["_held"].to_numpy(bool)
+            )
+            made = json.dumps({"how": how, "layers": [(w.tolist(), b.tolist()) for w, b in layers]})
+        else:
+            made = models.fit(
+                group, "_label", numeric, categorical, first["learner"], first["c"], int(first["seed"])
+            )
+        return group.iloc[:1][[*keys, "learner", "c"]].assign(model=made, steps=steps)
+
+    of = [*keys, "learner", "c"]
+    # Samples are small, so a number of tasks is asked for: fits take time, not bytes.
+    tasks = int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    crossed = ready.select("*", F.inline(tried)).repartition(tasks, *of)
+    return materialize(crossed.groupBy(*of).applyInPandas(one, schema))
 
 
 #: What a masked feature becomes.
@@ -206,8 +182,9 @@ def authorized(long: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 #: Cells that a round of `exact_thresholds` cuts an interval into, rows of an interval whose
 #: scores may be handed on, and rounds: after two an interval is a millionth wide, and what
-#: is left in it are mostly equal scores, which are handed on as one row a task.
-CELLS, HANDED_ON, ROUNDS = 1024, 2_000, 2
+#: is left in it are mostly equal scores, which are handed on as one row a task.  A round
+#: scores all rows again and costs more than handing on 20,000 scores of each interval.
+CELLS, HANDED_ON, ROUNDS = 1024, 20_000, 2
 #: Bits of a score, read as a whole number, order like the scores; NaN comes last.
 LAST = 0x7FF8_0000_0000_0000
 
@@ -227,7 +204,6 @@ def exact_thresholds(
     n = ready.count()
     if not n:
         return [{} for _ in fitted]
-    stack = _stack(fitted, features, masks)
     wanted = {(m, t): math.ceil((n - 1) * (1.0 - t)) for m in range(len(fitted)) for t in targets}
     # By model and target: first and last whole number of the interval, rows before, rows inside.
     state = {k: (0, LAST, 0, n) for k in wanted}
@@ -235,7 +211,7 @@ def exact_thresholds(
         asked = sorted({(m, *s[:2]) for (m, _), s in state.items() if s[3] > handed_on and s[0] < s[1]})
         if not asked:
             break
-        counted = _cell_counts(ready, stack, asked, cells)
+        counted = _cell_counts(ready, *_only(asked, fitted, features, masks), cells)
         for (m, t), (first, last, before, _) in state.items():
             if (m, first, last) not in counted:
                 continue
@@ -243,6 +219,7 @@ def exact_thresholds(
             ends = before + np.cumsum(counts)
             cell = int(np.searchsorted(ends, wanted[m, t], side="right"))
             state[m, t] = (int(edges[cell]), int(edges[cell + 1]) - 1, int(ends[cell] - counts[cell]), int(counts[cell]))
+    stack = _stack(fitted, features, masks)
     parts = sorted({(m, *s[:2]) for (m, _), s in state.items()})
     ranks = [(parts.index((m, *s[:2])), m, t, wanted[m, t] - s[2]) for (m, t), s in state.items()]
     ranks = ready.sparkSession.createDataFrame(ranks, "asked int, model int, target double, rank long")
@@ -255,6 +232,12 @@ def exact_thresholds(
     return found
 
 
+def _only(asked: list[tuple[int, int, int]], fitted: Sequence, features: Features, masks) -> tuple[models.Stack, list[int], list]:
+    """The models that are asked for, the column of each interval among them, and the intervals."""
+    used = sorted({m for m, _, _ in asked})
+    return _stack([fitted[m] for m in used], features, masks), [used.index(m) for m, _, _ in asked], asked
+
+
 def _edges(first: int, last: int, cells: int) -> np.ndarray:
     """Where cells begin, and the end.  The first interval is cut evenly in scores from 0 to 1."""
     if (first, last) == (0, LAST):
@@ -265,7 +248,9 @@ def _edges(first: int, last: int, cells: int) -> np.ndarray:
     return np.array([*range(first, last + 1, width), last + 1], np.int64)
 
 
-def _cell_counts(ready: DataFrame, stack: models.Stack, asked: list[tuple[int, int, int]], cells: int) -> dict:
+def _cell_counts(
+    ready: DataFrame, stack: models.Stack, columns: list[int], asked: list[tuple[int, int, int]], cells: int,
+) -> dict:
     """Rows in each cell of the intervals asked for."""
     edges = [_edges(first, last, cells) for _, first, last in asked]
 
@@ -273,7 +258,7 @@ def _cell_counts(ready: DataFrame, stack: models.Stack, asked: list[tuple[int, i
         total = [np.zeros(len(e) - 1, np.int64) for e in edges]
         for batch in batches:
             bits = np.ascontiguousarray(stack.scores(batch).T).view(np.int64)
-            for k, (m, first, last) in enumerate(asked):
+            for k, (m, (_, first, last)) in enumerate(zip(columns, asked)):
                 if (first, last) == (0, LAST):
                     # Cells are even: a power of two times the score is exact.
                     x = bits[m].view(np.float64)

@@ -172,7 +172,7 @@ def sampled_corpora(spark, directory):
 
 
 def validation_rows(spark: SparkSession, directory: str) -> DataFrame:
-    """Validation rows with the evaluation frames each belongs to; `seen` rows calibrate."""
+    """Validation rows with a column `in_` each evaluation frame; `seen` rows calibrate."""
     rows = layers(spark, directory, "validation")
     controlled, provenance = (F.col("source_layer") == x for x in ("controlled", "provenance"))
     of = lambda column, value: F.col(column) == value
@@ -192,7 +192,7 @@ def validation_rows(spark: SparkSession, directory: str) -> DataFrame:
         F.col("attack_type").isin(*HELD_OUT["attack_type"])
     )
     return rows.withColumns({
-        "evaluations": labels.in_profiles(frames),
+        **{f"in_{name}": labels.is_true(c) for name, c in frames.items()},
         "seen": (controlled | provenance) & ~held,
         "evaluation_cluster_id": F.col("training_cluster_id"),
         "authorization_harm": 1 - F.col("safe"),
@@ -212,7 +212,7 @@ def _info(spark: SparkSession, rulings: list, names: Sequence[str], schema: str)
 
 
 def _frames() -> dict[str, Column]:
-    return {f: F.array_contains("evaluations", f) for f in FRAMES}
+    return {f: F.col(f"in_{f}") for f in FRAMES}
 
 
 RATES = (
