@@ -697,3 +697,28 @@ def test_white_space_does_not_hide_a_sensitive_value(spark):
     df = spark.createDataFrame([(w + "hidden" + w,) for w in ("", " ", "\t", "\n", "\r\n", "\x0b\x0c")] + [("plain",)], "v STRING")
     reasons = [r[0] for r in df.select(TX.sensitive_value(F.col("v"))).collect()]
     assert reasons[0] is not None and len(set(reasons[:6])) == 1 and reasons[6] is None
+
+
+def test_joins_are_checked_by_keys_alone(spark):
+    """The same verdicts as the join itself, null keys included, for both kinds of join."""
+    make = lambda rows, name: spark.createDataFrame(rows, f"id int, {name} string")
+    left, right = make([(1, "a"), (2, "b"), (3, "c")], "a"), make([(1, "x"), (2, "y"), (3, "z"), (4, None)], "b")
+    X.assert_joins(left, right, ["id"], required=["b"])
+    X.assert_joins(left, right.limit(2), ["id"], "inner", required=["b"])
+    X.assert_joins(left.unionByName(left), right, ["id"], "left", "many_to_one", ["b"])
+    for bad, how in ((left.unionByName(make([(4, "d")], "a")), "inner"), (left.unionByName(make([(None, "d")], "a")), "left")):
+        with pytest.raises(ValueError, match="lack"):
+            X.assert_joins(bad, right.unionByName(make([(None, "n")], "b")), ["id"], how, required=["b"])
+    with pytest.raises(ValueError, match="right keys"):
+        X.assert_joins(left, right.unionByName(right), ["id"], "left", "many_to_one", ["b"])
+    with pytest.raises(ValueError, match="left keys"):
+        X.assert_joins(left.unionByName(left), right, ["id"])
+
+
+def test_calibration_run_joins_lines_to_orders_once(spark, monkeypatch):
+    from verdigate.plans import calibration, proxies
+
+    reads, joined = [], proxies.lines_with_orders
+    monkeypatch.setattr(proxies, "lines_with_orders", lambda *a: reads.append(a) or joined(*a))
+    assert calibration.calibration_run(spark, "/root/testdata/sf0.001").count() == 3
+    assert len(reads) == 1

@@ -12,8 +12,8 @@ from verdigate.plans.proxies import TWO_TASK_SQL, two_task_inputs
 from verdigate.plans.registry import query
 
 
-def task_frame(spark: SparkSession, directory: str) -> DataFrame:
-    return labels.two_task_outcomes(two_task_inputs(spark, directory))
+def task_frame(spark: SparkSession, directory: str, lines: DataFrame | None = None) -> DataFrame:
+    return labels.two_task_outcomes(two_task_inputs(spark, directory, lines))
 
 
 def task_decisions(spark: SparkSession, directory: str) -> DataFrame:
