@@ -107,3 +107,19 @@ def test_confirmatory_gate(spark):
         row = gate(sources, **extra)
         assert {k for k, v in row.items() if v is False} == failing and row["classification"] == "exploratory_only"
     assert sum(v is False for v in gate([]).values()) == 4
+
+
+def test_transfer_scores_join_lines_to_orders_once(spark, monkeypatch):
+    """Regimes, decisions and the controlled ranking share one join, and what is read several
+    times is a written table, not a plan over the rows."""
+    from verdigate.plans import proxies, ranks as plan, tasks
+
+    reads, joined = [], proxies.lines_with_orders
+    monkeypatch.setattr(proxies, "lines_with_orders", lambda *a: reads.append(a) or joined(*a))
+    monkeypatch.setattr(plan, "REPLICATES", 20)
+    point, drawn = plan.transfer_scores(spark, "/root/testdata/sf0.001")
+    assert point.count() and drawn.count() and len(reads) == 1
+    ranking = plan.controlled_scores(spark, "/root/testdata/sf0.001")
+    assert all("/table-" in f for f in ranking.inputFiles())
+    regimes = tasks.with_regime(tasks.task_frame(spark, "/root/testdata/sf0.001"))
+    assert any("/table-" in f for f in regimes.inputFiles())

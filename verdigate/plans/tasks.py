@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigate.operators import labels, metrics, rules
-from verdigate.operators.distributed import wide_quantiles
+from verdigate.operators.distributed import materialize, wide_quantiles
 from verdigate.plans import sql_rules as S
 from verdigate.plans.proxies import TWO_TASK_SQL, two_task_inputs
 from verdigate.plans.registry import query
@@ -112,7 +112,8 @@ tr AS (
 
 def with_regime(df: DataFrame) -> DataFrame:
     """High or low volatility by the cluster mean against the median cluster mean."""
-    means = df.groupBy("event_cluster_id").agg(F.avg("volatility_bps").alias("_m"))
+    # Written down, it is made once, and a small one is broadcast to the rows.
+    means = materialize(df.groupBy("event_cluster_id").agg(F.avg("volatility_bps").alias("_m")))
     threshold = wide_quantiles(means, [], "_m", {"t": 0.5}).first()["t"]
     regimes = means.select(
         "event_cluster_id",
