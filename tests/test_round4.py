@@ -1,10 +1,11 @@
-"""Rank power by simulation."""
+"""Rank power by simulation, queries that meet shards without a broadcast."""
 
 import math
 
 import numpy as np
 import pytest
 
+from verdigate.llm import neighbours
 from verdigate.operators import ranks
 from verdigate.plans.proxies import decision_view
 from verdigate.plans.ranks import power_gate
@@ -46,3 +47,24 @@ def test_the_power_of_the_gate_is_simulated(spark):
     conditions = ("test_clusters_per_source", "test_clusters_met", "active_rules_met", "power_met", "point_in_time_checks", "feature_access")
     met = all(row[c] for c in conditions)
     assert row["classification"] == ("confirmatory_eligible" if met else "exploratory_only")
+
+
+def test_queries_meet_shards_without_a_join(spark, monkeypatch):
+    plans = []
+
+    class Recorded(neighbours.Scratch):
+        def table(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().table(df)
+
+    monkeypatch.setattr(neighbours, "Scratch", Recorded)
+    rng = np.random.default_rng(3)
+    v = [rng.standard_normal(6 if i % 3 else 4) for i in range(400)]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(table, every=10, shard_rows=60, block_rows=7).toPandas()
+    # A join of shards and queries is broadcast by the size of the queries before the explode.
+    assert len(plans) == 2 and not any("Join" in plan or "Broadcast" in plan for plan in plans)
+    for q in range(0, 400, 10):
+        same = [i for i in range(400) if i != q and len(v[i]) == len(v[q])]
+        cos = [v[q] @ v[i] / np.linalg.norm(v[q]) / np.linalg.norm(v[i]) for i in same]
+        assert found[found.query_id == q].sort_values("rank").vec_id.tolist() == [same[i] for i in np.argsort(cos)[::-1][:5]]

@@ -8,6 +8,7 @@ nearest bound first, and a query leaves a shard once `factor` times the bound ex
 its k-th best distance.  A factor of one is exact search; larger factors prune more.
 
 Queries travel in blocks that meet each shard once; a shard returns k rows per query.
+Shards and blocks are shuffled, never broadcast: a task reads one shard, then its blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 K = 5
 FACTOR = 1.0
 SHARD_ROWS = 4096
+#: Numbers a shard may hold where there are more shards than tasks need.
+SHARD_VALUES = 1 << 20
 BLOCK_ROWS = 512
-LEAF_ROWS = 64
+LEAF_ROWS = 512
 #: Error allowed for in a distance, sqrt(2 - 2 cos): near 0 it is some 1.5e-8.
 SLACK = 1e-7
 
@@ -54,6 +57,9 @@ class Tree:
         self.nodes: list[tuple[int, np.ndarray, int, int]] = []
         self.leaves: list[np.ndarray] = []
         self.root = self._build(np.arange(len(unit)), leaf_rows)
+        self.leaf_of, self.place = np.empty(len(unit), np.int64), np.empty(len(unit), np.int64)
+        for i, rows in enumerate(self.leaves):
+            self.leaf_of[rows], self.place[rows] = i, np.arange(len(rows))
 
     def _build(self, rows: np.ndarray, leaf_rows: int) -> int:
         """Number of a node, or minus one minus the number of a leaf."""
@@ -96,11 +102,14 @@ def search(
     k: int = K, factor: float = FACTOR,
 ) -> tuple[pd.DataFrame, int]:
     """The k best rows of one shard for each query (its own id left out), and the number
-    of (query, leaf) visits."""
+    of (query, leaf) visits.  `ids` are distinct."""
     unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
     bounds = tree.bounds(unit)
     order = np.argsort(bounds, axis=1, kind="stable")
-    found = np.full((len(queries), len(ids)), -np.inf)
+    sorter = np.argsort(ids, kind="stable")
+    itself = sorter[np.minimum(np.searchsorted(ids, query_ids, sorter=sorter), len(ids) - 1)]
+    own_leaf = np.where(ids[itself] == query_ids, tree.leaf_of[itself], -1)
+    found: list[tuple[np.ndarray, ...]] = []
     best = np.full((len(queries), k), -np.inf)  # cosines, smallest first
     active, visits = np.arange(len(queries)), 0
     for step in range(len(tree.leaves)):
@@ -115,13 +124,17 @@ def search(
         for leaf in np.unique(leaf_of):
             who, members = active[leaf_of == leaf], tree.leaves[leaf]
             near = unit[who] @ tree.unit[members].T
-            near[query_ids[who][:, None] == ids[members][None, :]] = -np.inf
-            found[np.ix_(who, members)] = near
-            both = np.concatenate([best[who], near], axis=1)
-            best[who] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            best[who] = np.sort(best[who], axis=1)
-    near_enough = (found >= best[:, :1] - 1e-12) & np.isfinite(found)
-    q, r = np.nonzero(near_enough)
+            mine = np.flatnonzero(own_leaf[who] == leaf)
+            near[mine, tree.place[itself[who[mine]]]] = -np.inf
+            better = np.flatnonzero(near.max(axis=1) > best[who, 0])
+            if len(better):
+                both = np.concatenate([best[who[better]], near[better]], axis=1)
+                best[who[better]] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+            a, b = np.nonzero((near >= best[who, :1] - 1e-12) & np.isfinite(near))
+            found.append((who[a], members[b], near[a, b]))
+    q, r, near = (np.concatenate(part) for part in zip(*found))
+    near_enough = near >= best[q, 0] - 1e-12
+    q, r = q[near_enough], r[near_enough]
     score = cosine(queries[q], rows[r])
     ranked = np.lexsort((ids[r], -score, q))
     q, r, score = q[ranked], r[ranked], score[ranked]
@@ -169,13 +182,23 @@ def nearest(
     scratch = Scratch(spark)
     same = Window.partitionBy("v").orderBy("vec_id")
     rows = scratch.table(one_per_id(usable(vectors)))
-    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_rows))
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    counts = rows.agg(
+        F.count("*").alias("n"), F.count_if(asks).alias("q"), F.coalesce(F.sum("dim"), F.lit(0)).alias("values")
+    ).first()
+    # Small shards as long as tasks need them; then larger ones, as each meets all queries.
+    enough = 8 * spark.sparkContext.defaultParallelism
+    shards = max(1, -(-counts["values"] // SHARD_VALUES), min(-(-counts["n"] // shard_rows), enough))
+    blocks = max(1, -(-counts["q"] // block_rows))
     ranked = rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1)
-    indexed = _gathered(ranked, "shard", shards, 0).withColumnsRenamed({"ids": "row_ids", "values": "row_values"})
-    asked = _gathered(rows.where(F.pmod("vec_id", F.lit(every)) == 0), "block", blocks, 1)
+    indexed = _gathered(ranked, "shard", shards, 0).withColumn("block", F.lit(-1).cast("bigint"))
     everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
-    pairs = indexed.join(asked.withColumn("shard", everywhere), ["dim", "shard"])
+    asked = _gathered(rows.where(asks), "block", blocks, 1).withColumn("shard", everywhere)
+    # A join would broadcast the queries by their size before the explode.
+    meeting = (
+        indexed.unionByName(asked).repartitionById(shards, F.col("shard").cast("int"))
+        .sortWithinPartitions("dim", "shard", "block")
+    )
 
     def matrix(ids: np.ndarray, values: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(ids, kind="stable")
@@ -185,14 +208,16 @@ def nearest(
         built: tuple | None = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if built is None or built[0] != (row.dim, row.shard):
-                    ids, members = matrix(row.row_ids, row.row_values, row.dim)
+                given = matrix(row.ids, row.values, row.dim)
+                if row.block < 0:
+                    ids, members = given
                     tree = Tree(members / np.sqrt((members * members).sum(axis=1))[:, None])
                     built = (row.dim, row.shard), tree, ids, members
-                yield search(*built[1:], *matrix(row.ids, row.values, row.dim), k, factor)[0]
+                elif built is not None and built[0] == (row.dim, row.shard):
+                    yield search(*built[1:], *given, k, factor)[0]
 
     small_batches(spark, 4)  # a row holds a whole shard
-    local = scratch.table(pairs.mapInPandas(run, "query_id long, vec_id long, score double"))
+    local = scratch.table(meeting.mapInPandas(run, "query_id long, vec_id long, score double"))
     small_batches(spark)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
