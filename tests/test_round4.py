@@ -1,12 +1,14 @@
-"""Rank power by simulation, queries that meet shards without a broadcast."""
+"""Rank power by simulation, queries that meet shards without a broadcast, rules summed in columns."""
 
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdigate.llm import neighbours
-from verdigate.operators import ranks
+from verdigate.operators import labels, metrics, ranks, resample, rules
+from verdigate.plans import pipelines
 from verdigate.plans.proxies import decision_view
 from verdigate.plans.ranks import power_gate
 
@@ -68,3 +70,24 @@ def test_queries_meet_shards_without_a_join(spark, monkeypatch):
         same = [i for i in range(400) if i != q and len(v[i]) == len(v[q])]
         cos = [v[q] @ v[i] / np.linalg.norm(v[q]) / np.linalg.norm(v[i]) for i in same]
         assert found[found.query_id == q].sort_values("rank").vec_id.tolist() == [same[i] for i in np.argsort(cos)[::-1][:5]]
+
+
+def test_rules_in_columns_give_the_sums_of_rules_in_rows(spark):
+    view = decision_view(spark, "/root/testdata/sf0.001").withColumn("reduced_utility", F.expr("nullif(full_utility, full_utility)"))
+    view = view.withColumn("event_cluster_id", F.expr("nullif(event_cluster_id % 50, 7)"))
+    registry, profiles = rules.core_rules(), labels.stress_profiles()
+    names = [r.name for r in registry]
+    wide, layout = metrics.wide_cluster_sums(view, registry, profiles)
+    fields = ["rows", "authorized", "harmful", "laundering", "utility"]
+    d = labels.explode_profiles(labels.decision_outcomes(rules.decide(view, registry)), profiles)
+    expected = metrics.cluster_sums(d).toPandas().set_index(["profile", "event_cluster_id", "rule"])[fields].astype(float).sort_index()
+    got = resample.lengthen(wide, ["profile", "event_cluster_id"], layout, "rule").toPandas()
+    got = got.set_index(["profile", "event_cluster_id", "rule"])[fields].sort_index()
+    assert got.index.equals(expected.index) and np.allclose(got, expected) and set(layout) == set(names)
+
+
+def test_replay_rows_are_not_written_once_for_each_rule(spark, monkeypatch):
+    written, real = [], pipelines.materialize
+    monkeypatch.setattr(pipelines, "materialize", lambda df: written.append(real(df)) or written[-1])
+    assert pipelines.public_replay(spark, "/root/testdata/sf0.01").count() == 20
+    assert written and all("rule" not in df.columns for df in written)

@@ -45,7 +45,7 @@ def series_key() -> Column:
 def market_fields(markets: DataFrame) -> DataFrame:
     """Parsed times, prices, fee, cluster and series of raw market metadata."""
     event = F.try_element_at(F.col("events"), F.lit(1))
-    prices = json_doubles(F.col("outcomePrices"))
+    prices = F.col("_prices")
     rate = F.col("feeSchedule.rate").try_cast("double")
     free = ~is_true(F.col("feesEnabled"))
     source = (
@@ -54,7 +54,8 @@ def market_fields(markets: DataFrame) -> DataFrame:
         .when(F.col("feeSchedule.rate").isNotNull(), "invalid_fee_schedule")
         .otherwise("missing_fee_schedule")
     )
-    return markets.withColumns(
+    # The list is parsed once for both prices.
+    return markets.withColumn("_prices", json_doubles(F.col("outcomePrices"))).withColumns(
         {
             "created": epoch(F.coalesce("createdAt", "startDate")),
             "closed_at": epoch(F.col("closedTime")),
@@ -69,7 +70,7 @@ def market_fields(markets: DataFrame) -> DataFrame:
             ),
             "series_key": series_key(),
         }
-    )
+    ).drop("_prices")
 
 
 def resolution() -> Column:

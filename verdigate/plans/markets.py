@@ -15,7 +15,7 @@ from verdigate.sources.ingest import MARKET_SCHEMA, table
 def raw_market_json(spark: SparkSession, directory: str) -> DataFrame:
     """Orders written as market metadata JSON, then read like a market dump."""
     key, date = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
-    price = F.col("o_totalprice")
+    price, begin, end = F.col("o_totalprice"), F.col("_begin"), F.col("_end")
 
     def iso(ts):
         return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -23,13 +23,13 @@ def raw_market_json(spark: SparkSession, directory: str) -> DataFrame:
     win = F.when(key % 9 == 0, '["0.5", "0.5"]').when(key % 2 == 0, '["1", "0"]').otherwise('["0", "1"]')
     event = F.struct(
         F.when(key % 7 != 0, (F.floor(key / 2)).cast("string")).alias("id"),
-        iso(date + F.expr("INTERVAL 20 DAYS")).alias("endDate"),
+        end.alias("endDate"),
         F.array(F.struct(F.when(key % 3 == 0, F.col("o_orderpriority")).alias("slug"))).alias("series"),
     )
     market = F.struct(
-        key.cast("string").alias("id"), iso(date).alias("createdAt"),
-        F.when(key % 5 != 0, iso(date + F.expr("INTERVAL 20 DAYS"))).alias("endDate"),
-        F.when(key % 11 != 0, iso(date + F.expr("INTERVAL 20 DAYS"))).alias("closedTime"),
+        key.cast("string").alias("id"), begin.alias("createdAt"),
+        F.when(key % 5 != 0, end).alias("endDate"),
+        F.when(key % 11 != 0, end).alias("closedTime"),
         win.alias("outcomePrices"), F.lit('["a", "b"]').alias("clobTokenIds"),
         (F.col("o_orderstatus") != "P").alias("closed"), F.lit(True).alias("enableOrderBook"),
         price.alias("volumeNum"), (key % 4 == 0).alias("feesEnabled"),
@@ -37,7 +37,11 @@ def raw_market_json(spark: SparkSession, directory: str) -> DataFrame:
         F.when(key % 3 == 1, F.col("o_orderstatus")).alias("category"),
         F.array(event).alias("events"),
     )
-    return table(spark, directory, "orders").select(F.to_json(market).alias("value"))
+    # Dates are written once for all fields that hold them.
+    dated = table(spark, directory, "orders").withColumns(
+        {"_begin": iso(date), "_end": iso(date + F.expr("INTERVAL 20 DAYS"))}
+    )
+    return dated.select(F.to_json(market).alias("value"))
 
 
 def market_view(spark: SparkSession, directory: str) -> DataFrame:
@@ -216,9 +220,14 @@ STRESS_SQL = """CASE WHEN fee_rate > 0 AND prior BETWEEN 0.4 AND 0.6
 UTILITY_SQL = "payoff - entry - fee_rate * entry * (1 - entry)"
 
 
+#: What a replay and its readers take of a market.
+REPLAY_FIELDS = ("id", "created", "closed_at", "scheduled_end", "price_yes", "price_no", "fee_rate", "fee_source",
+                 "event_cluster_id", "volumeNum")
+
+
 def replay(spark: SparkSession, directory: str) -> DataFrame:
     return M.replay_rows(
-        materialize(market_view(spark, directory)), price_points(spark, directory), 0.5, 2
+        materialize(market_view(spark, directory).select(*REPLAY_FIELDS)), price_points(spark, directory), 0.5, 2
     )
 
 

@@ -150,17 +150,18 @@ STRESSED_SQL = """dp AS (SELECT *, 'overall' AS profile FROM d
 )
 def public_replay(spark, directory):
     """Grid rules over kept market replay rows: metrics, bounds and volumes."""
-    kept = replay(spark, directory).filter(F.col("reason").isNull()).withColumns(
-        {"source_role": F.lit("edge_proposer"), "original_source_eligible": F.lit(True)}
-    )
     registry = rules.grid_rules(PUBLIC_GRID)
-    d = materialize(labels.decision_outcomes(rules.decide(kept, registry)).select(
-        "rule", "decision", "event_cluster_id", "authorized", "selected_harm", "selected_laundering",
-        "selected_utility", "missed_opportunity", "stress_tag",
-    ))
+    outcome = ("event_cluster_id", "original_source_eligible", "full_utility", "reduced_utility", "stress_tag")
+    read = dict.fromkeys([*outcome, *(f for r in registry for f in r.features)])
+    kept = materialize(
+        replay(spark, directory).filter(F.col("reason").isNull()).withColumns(
+            {"source_role": F.lit("edge_proposer"), "original_source_eligible": F.lit(True)}
+        ).select(*read)
+    )
+    d = labels.decision_outcomes(rules.decide(kept, registry))
     m = metrics.profile_metrics(d, labels.stress_profiles(), tail=False)
-    sums = metrics.cluster_sums(labels.explode_profiles(d, labels.stress_profiles()))
-    bounds = resample.cluster_bootstrap_bounds(sums, [r.name for r in registry], REPLICATES, SEED)
+    sums, layout = metrics.wide_cluster_sums(kept, registry, labels.stress_profiles())
+    bounds = resample.wide_bootstrap_bounds(sums, layout, REPLICATES, SEED)
     volume = certify.worst_profile_volume(
         certify.certification_volume(certify.certification_surface(bounds))
     )
