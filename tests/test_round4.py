@@ -1,14 +1,16 @@
-"""Rank power by simulation, queries that meet shards without a broadcast, rules summed in columns."""
+"""Rank power by simulation, queries that meet shards without a broadcast, rules summed in
+columns, n-grams counted by hashes in arrays."""
 
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from verdigate.llm import neighbours
-from verdigate.operators import labels, metrics, ranks, resample, rules
-from verdigate.plans import pipelines
+from verdigate.operators import labels, metrics, overlap, ranks, resample, rules
+from verdigate.plans import pipelines, texts
 from verdigate.plans.proxies import decision_view
 from verdigate.plans.ranks import power_gate
 
@@ -91,3 +93,40 @@ def test_replay_rows_are_not_written_once_for_each_rule(spark, monkeypatch):
     monkeypatch.setattr(pipelines, "materialize", lambda df: written.append(real(df)) or written[-1])
     assert pipelines.public_replay(spark, "/root/testdata/sf0.01").count() == 20
     assert written and all("rule" not in df.columns for df in written)
+
+
+def _grams(corpus, n):
+    return {tuple(w[i:i + n]) for w in (t.split() for t in corpus if t) for i in range(len(w) - n + 1)}
+
+
+def test_overlap_counts_the_ngrams_of_both_corpora(spark):
+    rng = np.random.default_rng(8)
+    left = [" ".join(rng.choice(["a", "b", "c"], rng.integers(0, 30))) for _ in range(60)] + [None, "", "a", "a a a a a a", "b a b"]
+    right = [" ".join(rng.choice(["b", "c", "d"], rng.integers(0, 30))) for _ in range(20)] + [None, "a a a a a"]
+    sizes = (1, 3, 5, 12, 29)
+    frames = [spark.createDataFrame([(t,) for t in c], "text string") for c in (left, right)]
+    rows = {r["n"]: r for r in overlap.corpus_overlap(*frames, "text", sizes).collect()}
+    for n in sizes:
+        a, b = _grams(left, n), _grams(right, n)
+        assert a or b or n not in rows
+        if a or b:
+            got = [rows[n][c] for c in ("left_unique", "right_unique", "shared_unique", "left_rate", "right_rate")]
+            assert got == [len(a), len(b), len(a & b), len(a & b) / max(len(a), 1), len(a & b) / max(len(b), 1)]
+    nothing = [f.limit(0) for f in frames]
+    assert overlap.corpus_overlap(*nothing, "text", sizes).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_ngrams_do_not_depend_on_chunks(monkeypatch, at_once):
+    monkeypatch.setattr(overlap, "CHUNK_TOKENS", at_once)
+    words = [[str(i % 5) for i in range(k)] for k in (0, 9, 3, 40, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())).slice(1)], names=["_t"])
+    packed = list(overlap._packed(1, (2, 7), 3)(iter([batch])))
+    counted = next(overlap._counted(iter(packed))).to_pydict()
+    assert dict(zip(counted["n"], counted["_l"])) == {n: len(_grams([" ".join(w) for w in words if w], n)) for n in (2, 7)}
+    assert set(counted["_r"]) == set(counted["_s"]) == {0}
+
+
+def test_ngrams_are_not_made_as_rows(spark):
+    plan = texts.ngram_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
